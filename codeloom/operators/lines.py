@@ -36,35 +36,24 @@ def assemble_files(lines: DataFrame, order: str = "ln", final_newline: bool = Fa
     return lines.groupBy(*FILE_KEY).agg(content.alias("content"))
 
 
-def apply_edits(sources: DataFrame, edits: DataFrame) -> DataFrame:
+def apply_edits(sources: DataFrame, edits: DataFrame, flag: str | None = None) -> DataFrame:
     """Replace lines ``from_ln``..``to_ln`` by the array ``new_lines`` in every file that has edits.
 
     ``to_ln = from_ln - 1`` inserts before ``from_ln``; edits of one file must not overlap. Content is cut
     and joined inside its own row, so lines are never shuffled; line ends other than those of replaced
-    lines are kept as they are.
+    lines are kept as they are. With ``flag``, that column tells whether any edit of the file had ``flag`` set.
     """
-    plan = edits.groupBy(*FILE_KEY).agg(
-        F.array_sort(F.collect_list(F.struct("from_ln", "to_ln", "new_lines"))).alias("_edits")
-    )
-    lines = F.split("content", "\n")
-
-    def rewrite(row):
-        todo, text = row["e"], row["l"]
-        pieces = F.transform(
-            todo,
-            lambda edit, i: F.concat(
-                F.slice(
-                    text,
-                    F.coalesce(F.get(todo, i - 1)["to_ln"], F.lit(0)) + 1,
-                    edit["from_ln"] - F.coalesce(F.get(todo, i - 1)["to_ln"], F.lit(0)) - 1,
-                ),
-                edit["new_lines"],
-            ),
-        )
-        last = F.element_at(todo, -1)["to_ln"]
-        return F.concat(F.flatten(pieces), F.slice(text, last + 1, F.size(text)))
-
-    edited = F.transform(F.array(F.struct(F.col("_edits").alias("e"), lines.alias("l"))), rewrite)[0]
-    return sources.join(plan, FILE_KEY, "left").withColumn(
-        "content", F.when(F.col("_edits").isNull(), F.col("content")).otherwise(F.array_join(edited, "\n"))
-    ).drop("_edits")
+    aggs = [F.expr("array_sort(collect_list(struct(from_ln, to_ln, new_lines))) AS todo")]
+    if flag:
+        aggs.append(F.expr("bool_or(flag) AS flagged"))
+    plan = edits.groupBy(*FILE_KEY).agg(*aggs)
+    before = "ifnull(get(s.todo, i - 1).to_ln, 0)"
+    rewritten = f"""transform(array(struct(todo, split(content, '\\n') AS lines)), s -> concat(
+        flatten(transform(s.todo, (e, i) -> concat(
+            slice(s.lines, {before} + 1, e.from_ln - {before} - 1), e.new_lines))),
+        slice(s.lines, element_at(s.todo, -1).to_ln + 1, size(s.lines))))[0]"""
+    joined = sources.join(plan, FILE_KEY, "left")
+    content = f"if(todo IS NULL, content, array_join({rewritten}, '\\n')) AS content"
+    kept = [c for c in sources.columns if c not in ("content", flag)]
+    extra = [f"ifnull(flagged, false) AS {flag}"] if flag else []
+    return joined.selectExpr(*kept, content, *extra)
