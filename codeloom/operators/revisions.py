@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -74,7 +74,7 @@ def previous_revision(sources: DataFrame, span: int = BLOCK_SPAN) -> DataFrame:
     )
 
 
-def as_of_snapshot(sources: DataFrame, rev: int) -> DataFrame:
+def as_of_snapshot(sources: DataFrame, rev: int | Column) -> DataFrame:
     """The tree at ``rev``: per path the content of its last revision not after it."""
     return (
         sources.where(F.col("rev") <= rev)

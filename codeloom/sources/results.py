@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,9 @@ SCORE_COLUMNS = {
 }
 
 
-def _run_id() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+def _run_id(name: str) -> Column:
+    """Name of the folder above ``name``, which is a file or a folder of part files."""
+    return F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{re.escape(name)}(?:/|$)", 1)
 
 
 def load_scores(spark: SparkSession, root: str, name: str = "semantic_score.csv") -> DataFrame:
@@ -26,7 +29,7 @@ def load_scores(spark: SparkSession, root: str, name: str = "semantic_score.csv"
     rows = spark.read.csv(
         f"{root}/*/{name}", schema=schema, header=True, multiLine=True, escape='"', quote='"'
     )
-    return rows.select(_run_id().alias("run_id"), *[F.col(f"`{c}`").alias(n) for c, n in SCORE_COLUMNS.items()])
+    return rows.select(_run_id(name).alias("run_id"), *[F.col(f"`{c}`").alias(n) for c, n in SCORE_COLUMNS.items()])
 
 
 def load_attempts(spark: SparkSession, root: str, name: str = "success_rate.csv") -> DataFrame:
@@ -47,7 +50,7 @@ def load_attempts(spark: SparkSession, root: str, name: str = "success_rate.csv"
         spark.read.text(f"{root}/*/{name}")
         .where(F.col("value").rlike(fields))
         .select(
-            _run_id().alias("run_id"),
+            _run_id(name).alias("run_id"),
             (F.regexp_extract("value", fields, 1) == "True").alias("success"),
             F.replace(text, mark, F.lit("\\")).alias("comment"),
         )
