@@ -57,16 +57,18 @@ def _line_rows(regions: DataFrame, context: bool) -> DataFrame:
 
 
 def _split_at_anchors(regions: DataFrame, context: bool) -> DataFrame:
-    """Split regions at lines whose key occurs once on each side, unless two such anchors cross."""
+    """Split regions at lines whose key occurs once on each side, unless two such anchors cross. A line without
+    a letter or digit says too little to be an anchor by itself."""
     same_key = f"OVER (PARTITION BY {_REGION}, key)"
     side = f"PARTITION BY {_REGION}, side ORDER BY ln"
+    telling = "true" if context else "text RLIKE '(?U)\\\\w'"
     earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     # Later anchors are read in descending order: frames that follow the current row cost quadratic time.
     gaps = (
         _line_rows(regions, context)
         .selectExpr(
             "*",
-            f"""CASE WHEN count_if(side = {OLD}) {same_key} = 1 AND count_if(side = {NEW}) {same_key} = 1
+            f"""CASE WHEN {telling} AND count_if(side = {OLD}) {same_key} = 1 AND count_if(side = {NEW}) {same_key} = 1
                       AND min(text) {same_key} = max(text) {same_key}
                  THEN sum(ln) {same_key} - ln END AS partner""",
         )

@@ -90,8 +90,8 @@ pair AS (
   WHERE u.role = 'user' AND r.role = 'assistant'),
 words AS (
   SELECT conv_id, turn, a, b,
-         list_filter(string_split_regex(lower(a), '\\s+'), w -> w <> '') AS wa,
-         list_filter(string_split_regex(lower(b), '\\s+'), w -> w <> '') AS wb
+         list_filter(string_split_regex(lower(a), '\\s+'), lambda w: w <> '') AS wa,
+         list_filter(string_split_regex(lower(b), '\\s+'), lambda w: w <> '') AS wb
   FROM pair)
 """
 

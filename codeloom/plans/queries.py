@@ -37,7 +37,7 @@ from codeloom.operators.structure import (
 )
 from codeloom.plans.replay import replay_history
 from codeloom.plans.update import comment_pairs, function_docs_changed, update_docs
-from codeloom.session import scratch_dir
+from codeloom.session import materialize, scratch_dir
 from codeloom.sources.built import built_sources
 from codeloom.sources.results import append_run, load_attempts, load_scores
 from codeloom.sources.snapshots import read_snapshot, write_snapshot
@@ -128,13 +128,12 @@ def python_sources(spark: SparkSession, sf_dir: str, *revs: int) -> DataFrame:
 
 
 def step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Python files changed from revision 0 to 1."""
+    """Python files changed from revision 0 to 1, written once: several operators read them."""
     old, new = python_sources(spark, sf_dir, 0), python_sources(spark, sf_dir, 1)
-    return change_pairs(file_changes(old, new), 1)
+    return materialize(change_pairs(file_changes(old, new), 1), "pairs")
 
 
-def step_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = step(spark, sf_dir)
+def step_functions(pairs: DataFrame) -> DataFrame:
     return changed_functions(functions(cluster_files(rewrite.new_side(pairs))), changed_lines(pairs))
 
 
@@ -212,12 +211,12 @@ def src_doc_pairs(spark, sf_dir):
 
 @query
 def src_changed_functions(spark, sf_dir):
-    return step_functions(spark, sf_dir).select("path", "rev", "fn_id", "name")
+    return step_functions(step(spark, sf_dir)).select("path", "rev", "fn_id", "name")
 
 
 @query
 def src_changed_history(spark, sf_dir):
-    pairs = previous_revision(python_sources(spark, sf_dir)).where("prev_rev IS NOT NULL")
+    pairs = materialize(previous_revision(python_sources(spark, sf_dir)).where("prev_rev IS NOT NULL"), "pairs")
     changed = changed_functions(functions(cluster_files(rewrite.new_side(pairs))), changed_lines(pairs))
     return changed.select("path", "rev", "name")
 
@@ -237,15 +236,14 @@ def src_doc_change_lines(spark, sf_dir):
     return lines.join(texts, ["path", "rev", "ln"]).select("path", "rev", "ln", "text")
 
 
-def step_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = step(spark, sf_dir)
+def step_slots(pairs: DataFrame) -> DataFrame:
     new = cluster_files(rewrite.new_side(pairs))
     return doc_slots(changed_functions(functions(new), changed_lines(pairs)), new)
 
 
 @query
 def src_doc_slots(spark, sf_dir):
-    return step_slots(spark, sf_dir).select("path", "rev", "name", "code", "slot_ln", "replace_to_ln", "slot_col")
+    return step_slots(step(spark, sf_dir)).select("path", "rev", "name", "code", "slot_ln", "replace_to_ln", "slot_col")
 
 
 @query
@@ -262,7 +260,8 @@ def src_strip_changed(spark, sf_dir):
 def src_restore(spark, sf_dir):
     pairs = step(spark, sf_dir).where("old_content IS NOT NULL")
     cleaned = rewrite.strip_changed_comments(pairs).selectExpr("path", "rev", "content AS new_content")
-    return content_md5(rewrite.restore_comments(pairs.drop("new_content").join(cleaned, ["path", "rev"])))
+    both = materialize(pairs.drop("new_content").join(cleaned, ["path", "rev"]), "cleaned")
+    return content_md5(rewrite.restore_comments(both))
 
 
 # Generation with a stand-in for the model: what it answers depends on the length of the prompt only.
@@ -283,18 +282,18 @@ def stand_in() -> Callable[[], generate.TextModel]:
 TEMPLATE = "Document this {program_language} function:\n{code}\n"
 
 
-def step_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.render_prompt(step_slots(spark, sf_dir).withColumn("language", F.lit("python")), TEMPLATE)
+def step_prompts(pairs: DataFrame) -> DataFrame:
+    return generate.render_prompt(step_slots(pairs).withColumn("language", F.lit("python")), TEMPLATE)
 
 
 @query
 def src_prompt(spark, sf_dir):
-    return step_prompts(spark, sf_dir).select("path", "rev", "name", "prompt")
+    return step_prompts(step(spark, sf_dir)).select("path", "rev", "name", "prompt")
 
 
 @query
 def src_generate(spark, sf_dir):
-    return generate.map_generate(step_prompts(spark, sf_dir), stand_in()).select("path", "rev", "name", "answer")
+    return generate.map_generate(step_prompts(step(spark, sf_dir)), stand_in()).select("path", "rev", "name", "answer")
 
 
 @query
@@ -307,15 +306,16 @@ def src_validate(spark, sf_dir):
 
 @query
 def src_attempts(spark, sf_dir):
-    answers = generate.map_generate(step_prompts(spark, sf_dir), stand_in())
+    answers = generate.map_generate(step_prompts(step(spark, sf_dir)), stand_in())
     return generate.attempt_log(answers)
 
 
 @query
 def src_insert(spark, sf_dir):
-    answers = generate.map_generate(step_prompts(spark, sf_dir), stand_in())
+    pairs = step(spark, sf_dir)
+    answers = generate.map_generate(step_prompts(pairs), stand_in())
     valid = generate.accepted_insertions(generate.attempt_log(answers), answers)
-    return content_md5(rewrite.apply_insertions(rewrite.new_side(step(spark, sf_dir)), valid))
+    return content_md5(rewrite.apply_insertions(rewrite.new_side(pairs), valid))
 
 
 @query
@@ -473,7 +473,7 @@ def append_runs(spark, sf_dir):
 
 def _replay(spark: SparkSession, sf_dir: str):
     files = sources(spark, sf_dir)
-    commits = spark.range(0, 4).selectExpr("id AS rev")
+    commits = files.select("rev").distinct()
     return replay_history(files, commits, 0, 3, stand_in(), TEMPLATE)
 
 
@@ -494,7 +494,7 @@ def _feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def stream_ratio(spark, sf_dir):
-    attempts = _feed(spark, sf_dir, "events").selectExpr("ts", "event_type <> 'error' AS success")
+    attempts = _feed(spark, sf_dir, "events").selectExpr("cast(ts AS timestamp) AS ts", "event_type <> 'error' AS success")
     target, checkpoint = scratch_dir(spark, "ratio"), scratch_dir(spark, "ratio-query")
     ratios = stream_success_ratio(attempts)
     (
