@@ -12,21 +12,23 @@ from pyspark.sql import functions as F
 
 from codeloom.operators.lines import FILE_KEY
 
-# Marks in masked text: rest of a string, line inside a string, first and last sign of a string.
-_FILL, _INSIDE, _OPEN, _CLOSE = "\u0001", "\u0002", "\u0003", "\u0004"
+# Marks in masked text: rest of a string, line inside a string, first and last sign of a string, edge of a literal.
+_FILL, _INSIDE, _OPEN, _CLOSE, _EDGE = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005"
+_MARKS = _FILL + _INSIDE + _OPEN + _CLOSE + _EDGE
 
 # Strings and comments, whichever opens first. Possessive groups keep long strings off the Java stack.
 _LITERAL = (
-    r'(?s)"""[^"\\]*+(?:(?:\\.|"(?!""))[^"\\]*+)*+"""'
+    r"""(?s)(?=["'#])("""
+    r'"""[^"\\]*+(?:(?:\\.|"(?!""))[^"\\]*+)*+"""'
     r"|'''[^'\\]*+(?:(?:\\.|'(?!''))[^'\\]*+)*+'''"
     r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
     r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
-    r"|#[^\n]*+"
+    r"|#[^\n]*+)"
 )
 
-_DEF = r"(?U)^\s*+(async\s+)?def\s+(\w+)"
-_CLASS = r"(?U)^\s*+class\s+(\w+)"
-_STRING_FIRST = rf"^\s*+[rRbBuUfF]{{0,2}}{_OPEN}[^{_CLOSE}]*+(?:{_CLOSE}\s*+#?)?$"
+_DEF = r"(?U)^(async\s+)?def\s+(\w+)"
+_CLASS = r"(?U)^class\s+(\w+)"
+_STRING_FIRST = rf"^[rRbBuUfF]{{0,2}}{_OPEN}[^{_CLOSE}]*+(?:{_CLOSE}\s*+#?)?$"
 _STRING_NEXT = rf"^{_INSIDE}[^{_CLOSE}]*+(?:{_CLOSE}\s*+#?)?$"
 
 _FILE = "PARTITION BY path, rev"
@@ -34,67 +36,76 @@ _BEFORE = f"OVER ({_FILE} ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRE
 _UPTO = f"OVER ({_FILE} ORDER BY ln ROWS UNBOUNDED PRECEDING)"
 
 
+def _sql(pattern: str) -> str:
+    """A pattern as a SQL string literal."""
+    escaped = pattern.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return f"'{escaped}'"
+
+
 def _masked(sources: DataFrame) -> DataFrame:
-    """Line rows (path, rev, ln, text, mask)."""
-    blanks = " " * 4
-    clean = F.translate(F.regexp_replace("content", r"\r\n", "\n"), _FILL + _INSIDE + _OPEN + _CLOSE, blanks)
+    """Line rows (path, rev, ln, text, mask, code): the line, its mask, and the mask without its indent."""
+    content = F.col("content")
+    one_break = F.when(F.contains(content, F.lit("\r")), F.regexp_replace(content, r"\r\n", "\n")).otherwise(content)
+    marked = F.lit(False)
+    for mark in _MARKS:
+        marked = marked | F.contains(content, F.lit(mark))
+    clean = F.when(marked, F.translate(one_break, _MARKS, " " * len(_MARKS))).otherwise(one_break)
 
     def blank(token):
         body = F.translate(token.substr(F.lit(2), F.char_length(token) - 2), "()[]{}#\\\"'", _FILL * 10)
         string = F.concat(F.lit(_OPEN), F.replace(body, F.lit("\n"), F.lit("\n" + _INSIDE)), F.lit(_CLOSE))
         return F.when(F.startswith(token, F.lit("#")), F.lit("#")).otherwise(string)
 
-    code = F.zip_with(
-        F.split("clean", _LITERAL),
-        F.regexp_extract_all("clean", F.lit(_LITERAL), F.lit(0)),
-        lambda part, token: F.concat(part, F.coalesce(blank(token), F.lit(""))),
-    )
+    pieces = F.split(F.regexp_replace("clean", _LITERAL, f"{_EDGE}$1{_EDGE}"), _EDGE)
+    code = F.transform(pieces, lambda piece, i: F.when(i % 2 == 1, blank(piece)).otherwise(piece))
     both = F.arrays_zip(F.split("clean", "\n").alias("text"), F.split(F.array_join(code, ""), "\n").alias("mask"))
     return (
         sources.select(*FILE_KEY, clean.alias("clean"))
         .select(*FILE_KEY, F.posexplode(both).alias("pos", "line"))
-        .selectExpr(*FILE_KEY, "pos + 1 AS ln", "line.text AS text", "line.mask AS mask")
+        .selectExpr(
+            *FILE_KEY, "pos + 1 AS ln", "line.text AS text", "line.mask AS mask", "ltrim(' \\t\\f', line.mask) AS code"
+        )
     )
 
 
-def _classified(sources: DataFrame) -> DataFrame:
-    """Masked lines with indent and kind: continuation, blank, comment or start (of a statement)."""
-    opened = "char_length(mask) - char_length(translate(mask, '([{', ''))"
-    closed = "char_length(mask) - char_length(translate(mask, ')]}', ''))"
-    return (
+_OPENED = "char_length(code) - char_length(translate(code, '([{', ''))"
+_CLOSED = "char_length(code) - char_length(translate(code, ')]}', ''))"
+_DELTA = f"({_OPENED}) - ({_CLOSED}) AS delta"
+_INDENT = """char_length(text) - char_length(ltrim(' \\t', text))
+             + if(contains(text, '\\t'), 7 * (char_length(regexp_extract(text, '^[ \\\\t]*+', 0))
+             - char_length(replace(regexp_extract(text, '^[ \\\\t]*+', 0), '\\t', ''))), 0) AS indent"""
+
+
+def logical_lines(sources: DataFrame) -> DataFrame:
+    """(path, rev, start_ln, end_ln, indent, kind, suspect): statements and comments with their line range.
+
+    ``suspect`` flags files whose brackets do not add up or that hold an open quote, where ranges are a guess.
+    """
+    rows = (
         _masked(sources)
+        .selectExpr(*FILE_KEY, "ln", "code", _DELTA, _INDENT)
         .selectExpr(
             "*",
-            f"ifnull(sum(({opened}) - ({closed})) {_BEFORE}, 0) AS depth",
-            f"ifnull(lag(endswith(mask, '\\\\')) OVER ({_FILE} ORDER BY ln), false) AS wrapped",
+            f"ifnull(sum(delta) {_BEFORE}, 0) AS depth",
+            f"ifnull(lag(endswith(code, '\\\\')) OVER ({_FILE} ORDER BY ln), false) AS wrapped",
         )
         .selectExpr(
             *FILE_KEY,
             "ln",
-            "text",
-            "mask",
-            "depth",
-            f"""CASE WHEN depth > 0 OR wrapped OR startswith(mask, '{_INSIDE}') THEN 'continuation'
-                     WHEN mask RLIKE '^\\\\s*+$' THEN 'blank'
-                     WHEN mask RLIKE '^\\\\s*+#' THEN 'comment' ELSE 'start' END AS kind""",
-            "char_length(replace(regexp_extract(text, '^[ \\\\t]*+', 0), '\\t', '        ')) AS indent",
+            "indent",
+            f"""CASE WHEN depth > 0 OR wrapped OR startswith(code, '{_INSIDE}') THEN 'continuation'
+                     WHEN code = '' THEN 'blank' WHEN startswith(code, '#') THEN 'comment' ELSE 'start' END AS kind""",
+            "code RLIKE '[\"\\']' OR depth + delta < 0 AS odd",
+            "depth + delta AS depth",
+        )
+        .selectExpr(
+            "*",
+            f"max(CASE WHEN kind <> 'blank' THEN ln END) {_BEFORE} AS seen",
+            f"max(CASE WHEN kind <> 'blank' THEN ln END) OVER ({_FILE}) AS last_ln",
+            f"max(odd) OVER ({_FILE}) OR max_by(depth, ln) OVER ({_FILE}) <> 0 AS suspect",
         )
     )
-
-
-def logical_lines(sources: DataFrame) -> DataFrame:
-    """(path, rev, start_ln, end_ln, indent, kind, suspect): statements and comments with their line range.
-
-    ``suspect`` flags files whose brackets do not add up or that hold an open quote, where ranges are a guess.
-    """
-    rows = _classified(sources).selectExpr(
-        "*",
-        f"max(CASE WHEN kind <> 'blank' THEN ln END) {_BEFORE} AS seen",
-        f"max(CASE WHEN kind <> 'blank' THEN ln END) OVER ({_FILE}) AS last_ln",
-        f"max(mask RLIKE '[\"\\']') OVER ({_FILE}) OR min(depth) OVER ({_FILE}) < 0 AS suspect",
-    )
-    tokens = rows.where("kind IN ('start', 'comment')")
-    return tokens.selectExpr(
+    return rows.where("kind IN ('start', 'comment')").selectExpr(
         *FILE_KEY,
         "ln AS start_ln",
         f"ifnull(lead(seen) OVER ({_FILE} ORDER BY ln), last_ln) AS end_ln",
@@ -105,36 +116,73 @@ def logical_lines(sources: DataFrame) -> DataFrame:
 
 
 def _annotated(sources: DataFrame) -> DataFrame:
-    """Classified lines with what came before them in their file."""
-    regexes = {"def": _DEF, "class": _CLASS, "first": _STRING_FIRST, "next": _STRING_NEXT}
-    mask = F.col("mask")
-    start = F.col("kind") == "start"
-    rows = _classified(sources).select(
-        *FILE_KEY, "ln", "text", "mask", "kind", "indent",
-        (start & mask.rlike(regexes["def"])).alias("is_def"),
-        (start & mask.rlike(regexes["class"])).alias("is_class"),
-        (start & mask.rlike(regexes["first"])).alias("is_string"),
-        mask.rlike(regexes["next"]).alias("string_goes_on"),
-        F.regexp_extract("mask", regexes["def"], 2).alias("def_name"),
-        F.regexp_extract("mask", regexes["class"], 1).alias("class_name"),
+    """Lines that are not blank, with what came before them in their file.
+
+    All that patterns can tell is worked out before the lines are sorted; of the text only what may be part of a
+    doc travels on.
+    """
+    rows = (
+        _masked(sources)
+        .where("code <> ''")
+        .selectExpr(
+            *FILE_KEY,
+            "ln",
+            _DELTA,
+            _INDENT,
+            "endswith(code, '\\\\') AS wraps",
+            f"startswith(code, '{_INSIDE}') AS inside",
+            "startswith(code, '#') AS hash",
+            f"""CASE WHEN (startswith(code, 'def') OR startswith(code, 'async')) AND code RLIKE {_sql(_DEF)} THEN 'def'
+                     WHEN startswith(code, 'class') AND code RLIKE {_sql(_CLASS)} THEN 'class' ELSE '' END AS head""",
+            "code",
+            f"contains(code, '{_OPEN}') AND code RLIKE {_sql(_STRING_FIRST)} AS string_first",
+            f"startswith(code, '{_INSIDE}') AND code RLIKE {_sql(_STRING_NEXT)} AS string_next",
+            f"if(contains(code, '{_CLOSE}'), instr(mask, '{_CLOSE}') - if(startswith(code, '{_INSIDE}'), 1, 0), 0) AS close_at",
+            f"if(startswith(code, '#') OR startswith(code, '{_INSIDE}') OR contains(code, '{_OPEN}'), text, '') AS text",
+        )
+        .selectExpr(
+            *FILE_KEY, "ln", "delta", "indent", "wraps", "inside", "hash", "head", "string_first", "string_next", "close_at", "text",
+            f"CASE head WHEN 'def' THEN regexp_extract(code, {_sql(_DEF)}, 2) WHEN 'class' THEN regexp_extract(code, {_sql(_CLASS)}, 1) END AS name",
+            "head = 'def' AND startswith(code, 'async') AS is_async",
+        )
+        .selectExpr(
+            "*",
+            f"""inside OR ifnull(sum(delta) {_BEFORE}, 0) > 0
+                OR ifnull(lag(wraps) OVER ({_FILE} ORDER BY ln), false) AS goes_on""",
+        )
+        .selectExpr(
+            *FILE_KEY, "ln", "indent", "string_next", "close_at", "text", "name", "is_async", "goes_on",
+            "hash AND NOT goes_on AS is_comment",
+            "NOT goes_on AND NOT hash AS is_stmt",
+            "head = 'def' AND NOT goes_on AS is_def",
+            "string_first AND NOT goes_on AS is_string",
+        )
+    )
+    stmt = "CASE WHEN is_stmt THEN struct(is_def, indent, ifnull(name, '') AS name) END"
+    token = "CASE WHEN NOT goes_on THEN struct(is_def, indent) END"
+    code_ln = "CASE WHEN NOT is_comment THEN ln END"
+    return (
+        rows.selectExpr(
+            "*",
+            f"last({stmt}, true) {_BEFORE} AS prev_stmt",
+            f"last({token}, true) {_BEFORE} AS prev_token",
+            f"max({code_ln}) {_BEFORE} AS prev_end",
+            f"max({code_ln}) OVER ({_FILE}) AS last_end",
+            f"count_if(is_def) {_UPTO} AS fn_id",
+        )
+        .selectExpr(
+            "*",
+            "prev_stmt.is_def AS after_def",
+            "prev_stmt.indent AS prev_indent",
+            "prev_stmt.name AS prev_name",
+            "is_string AND ifnull(prev_token.is_def AND indent > prev_token.indent, false) AS doc_first",
+            "is_comment AND ifnull(prev_stmt.is_def AND indent > prev_stmt.indent, false) AS doc_comment",
+        )
+        .drop("prev_stmt", "prev_token")
+        .selectExpr(
+            "*", f"goes_on AND ifnull(last(CASE WHEN NOT goes_on THEN doc_first END, true) {_UPTO}, false) AS doc_rest"
+        )
     )
-    stmt = "CASE WHEN kind = 'start' THEN struct(is_def, indent, if(is_def, def_name, if(is_class, class_name, '')) AS name) END"
-    token = "CASE WHEN kind IN ('start', 'comment') THEN struct(is_def, indent) END"
-    code_ln = "CASE WHEN kind IN ('start', 'continuation') THEN ln END"
-    return rows.selectExpr(
-        "*",
-        f"last({stmt}, true) {_BEFORE} AS prev_stmt",
-        f"last({token}, true) {_BEFORE} AS prev_token",
-        f"max({code_ln}) {_BEFORE} AS prev_end",
-        f"max({code_ln}) OVER ({_FILE}) AS last_end",
-        f"count_if(is_def) {_UPTO} AS fn_id",
-    ).selectExpr(
-        "*",
-        "prev_stmt.is_def AS in_def",
-        "prev_stmt.indent AS prev_indent",
-        "prev_stmt.name AS prev_name",
-        "prev_token.is_def AND indent > prev_token.indent AS opens_body",
-    ).drop("prev_stmt", "prev_token")
 
 
 def functions(sources: DataFrame, qualified: bool = False) -> DataFrame:
@@ -145,37 +193,32 @@ def functions(sources: DataFrame, qualified: bool = False) -> DataFrame:
     ``qualified`` adds ``qualname``: name after that of its class or function, copies numbered.
 
     A statement at indent i ends every block whose indent lies between i and the previous statement's, so one
-    row per level it ends is enough to find the end of each function in a single ordered pass.
+    row per level it ends is enough to find the end of each function in a single ordered pass. Statements that
+    end no block need no row.
     """
-    rows = _annotated(sources).selectExpr(
-        "*",
-        "CASE WHEN kind = 'start' THEN is_string AND opens_body ELSE false END AS doc_first",
-        "kind = 'comment' AND ifnull(in_def AND indent > prev_indent, false) AS doc_comment",
-    )
-    rows = rows.selectExpr(
-        "*",
-        f"""kind = 'continuation' AND ifnull(last(CASE WHEN kind IN ('start', 'comment') THEN doc_first END, true)
-             {_UPTO}, false) AS doc_rest""",
-    )
     none = "cast(array() AS array<struct<level: int, what: string>>)"
-    rows = rows.selectExpr(
-        "*",
-        f"""inline(concat(
-              CASE WHEN kind = 'start' AND prev_indent >= indent
-                   THEN transform(sequence(indent, prev_indent), l -> struct(l AS level, '0 end' AS what)) ELSE {none} END,
-              CASE WHEN kind = 'start' AND ifnull(prev_indent < indent, true)
-                   THEN array(struct(indent AS level, '1 block' AS what)) ELSE {none} END,
-              CASE WHEN is_def THEN array(struct(indent AS level, '2 def' AS what)) ELSE {none} END,
-              CASE WHEN doc_first OR doc_rest OR doc_comment
-                   THEN array(struct(-1 AS level, if(doc_comment, '3 comment', '3 string') AS what))
-                   WHEN kind = 'continuation' AND in_def THEN array(struct(-1 AS level, '4 header' AS what))
-                   ELSE {none} END)) AS (level, what)""",
-    )
+    items = [
+        f"""CASE WHEN is_stmt AND (prev_indent > indent OR (prev_indent = indent AND after_def))
+             THEN transform(sequence(indent, prev_indent), l -> struct(l AS level, '0 end' AS what)) ELSE {none} END""",
+        f"CASE WHEN is_def THEN array(struct(indent AS level, '2 def' AS what)) ELSE {none} END",
+        f"""CASE WHEN doc_first OR doc_rest THEN array(struct(-1 AS level, '3 string' AS what))
+                 WHEN doc_comment THEN array(struct(-1 AS level, '3 comment' AS what))
+                 WHEN goes_on AND after_def THEN array(struct(-1 AS level, '4 header' AS what)) ELSE {none} END""",
+    ]
+    if qualified:
+        items.append(
+            f"""CASE WHEN is_stmt AND ifnull(prev_indent < indent, true)
+                 THEN array(struct(indent AS level, '1 block' AS what)) ELSE {none} END"""
+        )
     level = f"{_FILE}, level ORDER BY ln"
-    rows = rows.selectExpr(
-        "*",
-        f"""last(CASE WHEN what = '0 end' THEN prev_end END, true) OVER ({level} DESC, what DESC
-             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS block_end""",
+    rows = (
+        _annotated(sources)
+        .selectExpr("*", f"inline(concat({', '.join(items)})) AS (level, what)")
+        .selectExpr(
+            "*",
+            f"""last(CASE WHEN what = '0 end' THEN prev_end END, true) OVER ({level} DESC, what DESC
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS block_end""",
+        )
     )
     if qualified:
         rows = rows.selectExpr(
@@ -187,25 +230,23 @@ def functions(sources: DataFrame, qualified: bool = False) -> DataFrame:
 
     at_def = "FILTER (WHERE what = '2 def')"
     is_doc = "FILTER (WHERE what LIKE '3 %')"
-    close = rf"char_length(regexp_extract(mask, '^[^{_CLOSE}]*{_CLOSE}', 0))"
-    # The mask of a line inside a string is one sign longer than its text.
-    cut = f"if(what = '3 string' AND contains(mask, '{_CLOSE}'), {close} - if(doc_rest, 1, 0), char_length(text))"
+    cut = "if(what = '3 string' AND close_at > 0, close_at, char_length(text))"
     piece = f"struct(ln, substr(text, 1, {cut}) AS part, substr(text, {cut} + 1) AS tail)"
     aggs = [
-        f"max(def_name) {at_def} AS name",
-        f"max(mask RLIKE '^\\\\s*async') {at_def} AS is_async",
+        f"max(name) {at_def} AS name",
+        f"max(is_async) {at_def} AS is_async",
         f"max(indent) {at_def} AS indent",
         f"max(ln) {at_def} AS start_ln",
         "max(ln) FILTER (WHERE what IN ('2 def', '4 header')) AS header_end_ln",
         f"max(ifnull(block_end, last_end)) {at_def} AS end_ln",
-        "ifnull(bool_and(what = '3 comment' OR doc_first OR string_goes_on) FILTER (WHERE what LIKE '3 %'), false) AS doc_ok",
+        f"ifnull(bool_and(what = '3 comment' OR doc_first OR string_next) {is_doc}, false) AS doc_ok",
         f"array_sort(collect_list({piece}) {is_doc}) AS doc_lines",
     ]
     if qualified:
         aggs.append(f"max(owner) {at_def} AS owner")
     found = rows.groupBy(*FILE_KEY, "fn_id").agg(*[F.expr(a) for a in aggs])
     doc = """array_join(transform(doc_lines, (l, i) ->
-               if(i = 0, ltrim(' \t', l.part), concat(repeat('\n', l.ln - doc_lines[i - 1].ln), l.part))), '')"""
+               if(i = 0, ltrim(' \\t', l.part), concat(repeat('\\n', l.ln - doc_lines[i - 1].ln), l.part))), '')"""
     out = [
         *FILE_KEY,
         "fn_id",

@@ -14,7 +14,7 @@ split AS (
   SELECT conv_id, turn, prev_turn,
          CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\\n\\z', ''), chr(10)) END AS a
   FROM turns),
-line AS (SELECT conv_id, turn, prev_turn, unnest(range(1, len(a) + 1)) AS ln, unnest(a) AS text FROM split),
+line AS (SELECT conv_id, turn, prev_turn, unnest(range(1, len(a) + 1))::INTEGER AS ln, unnest(a) AS text FROM split),
 copied AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id, turn, text ORDER BY ln) AS copy FROM line),
 changed AS (
@@ -156,7 +156,7 @@ ORACLES: dict[str, str] = {
     "src_supported": f"""WITH {_FN} SELECT path, rev, CASE WHEN path LIKE '%.py' THEN 'python' ELSE 'java' END AS language
         FROM file WHERE path NOT LIKE '%.txt' AND path <> 'economy/m0/brand_2.py'""",
     "src_lines": f"""WITH {_FN}, s AS (SELECT path, rev, string_split(content[:-2], chr(10)) AS a FROM file WHERE rev < 2)
-        SELECT path, rev, unnest(range(1, len(a) + 1)) AS ln, unnest(a) AS text FROM s""",
+        SELECT path, rev, unnest(range(1, len(a) + 1))::INTEGER AS ln, unnest(a) AS text FROM s""",
     "src_round_trip": f"WITH {_FN} SELECT path, rev, md5(content) AS content_md5 FROM file",
     "src_file_changes": f"""WITH {_FN}, o AS (SELECT * FROM file WHERE rev = 0), n AS (SELECT * FROM file WHERE rev = 1)
         SELECT coalesce(o.path, n.path) AS path,
@@ -176,7 +176,7 @@ ORACLES: dict[str, str] = {
         SELECT *, 'start' AS kind, false AS suspect FROM t""",
     "src_function_spans": f"""WITH {_FN} SELECT path, rev, fn_id, name, false AS is_async, 0 AS indent, start_ln, start_ln + 2 + dl AS end_ln FROM py""",
     "src_doc_spans": f"""WITH {_FN} SELECT path, rev, fn_id, start_ln + 1 AS doc_start_ln, start_ln + dl AS doc_end_ln, doc FROM py WHERE dl > 0""",
-    "src_comment_lines": f"""WITH {_FN} SELECT path, rev, unnest(range(start_ln + 1, start_ln + dl + 1)) AS ln FROM py""",
+    "src_comment_lines": f"""WITH {_FN} SELECT path, rev, unnest(range(start_ln + 1, start_ln + dl + 1))::INTEGER AS ln FROM py""",
     "src_comment_ranges": f"""WITH {_FN} SELECT path, rev, fn_id, start_ln + 1 AS doc_start_ln, start_ln + dl AS doc_end_ln FROM py WHERE dl > 0""",
     "src_doc_pairs": f"WITH {_FN} SELECT path, rev, fn_id, doc, key FROM py WHERE dl > 0",
     "src_changed_functions": f"WITH {_FN} SELECT path, rev, fn_id, name FROM touched",

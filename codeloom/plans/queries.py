@@ -506,7 +506,8 @@ def stream_ratio(spark, sf_dir):
         .start()
         .awaitTermination()
     )
-    return rounded(spark.read.schema(ratios.schema).parquet(target), "ratio")
+    written = rounded(spark.read.schema(ratios.schema).parquet(target), "ratio")
+    return written.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
 @query

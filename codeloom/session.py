@@ -15,13 +15,15 @@ def build_session(master: str | None = None, app: str = "codeloom", **conf: str)
     """A session with the settings this library is tuned for.
 
     ``spark.sql.shuffle.partitions`` stays at the cluster's value unless given: AQE coalesces small
-    partitions, so on a cluster it should be set high (a few per core).
+    partitions, so on a cluster it should be set high (a few per core). Files are shuffled as compact rows
+    that grow into many line rows afterwards, hence the small partition size below which AQE coalesces.
     """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:

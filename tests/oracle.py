@@ -32,12 +32,28 @@ def rows_of(columns: list[str], rows) -> Counter:
     return Counter(tuple(_plain(row[i]) for i in order) for row in rows)
 
 
+# Spark type names and what the other side calls them.
+TYPES = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+    "timestamp": "TIMESTAMP WITH TIME ZONE",
+}
+
+
 def difference(df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     """None when equal, else a short account of what differs."""
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} and {sorted(names)}"
+    types = {d[0]: str(d[1]) for d in result.description}
+    odd = {n: (t, types[n]) for n, t in df.dtypes if TYPES.get(t, t) != types[n]}
+    if odd:
+        return f"types {odd}"
     ours, theirs = rows_of(df.columns, df.collect()), rows_of(names, result.fetchall())
     if ours == theirs:
         return None
