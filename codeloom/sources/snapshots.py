@@ -8,16 +8,14 @@ from pyspark.sql import functions as F
 
 def load_snapshot(spark: SparkSession, root: str, rev: int, glob: str = "*.py") -> DataFrame:
     """(rev, path, content): every file below ``root`` that fits ``glob``, one row each. The glob is applied
-    while files are listed, so others are never opened."""
+    while files are listed, so others are never opened. Empty files have no row, as Spark's file sources skip them; bytes that
+    are not UTF-8 become replacement characters."""
     base = root.split("://")[-1].rstrip("/") + "/"
-    uri = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return (
-        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-        .select(
-            F.lit(rev).cast("bigint").alias("rev"),
-            uri.substr(F.instr(uri, base) + len(base), F.char_length(uri)).alias("path"),
-            F.col("value").alias("content"),
-        )
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    return found.select(
+        F.lit(rev).cast("bigint").alias("rev"),
+        F.col("path").substr(F.instr("path", base) + len(base), F.char_length("path")).alias("path"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
 
 
