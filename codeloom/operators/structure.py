@@ -297,36 +297,27 @@ def function_doc_pairs(fns: DataFrame) -> DataFrame:
     return fns.where("doc IS NOT NULL").select(*FILE_KEY, "fn_id", "doc", "key")
 
 
-# Lines and spans meet in blocks of this many lines, so a span is compared with lines near it only.
-_JOIN_BLOCK = 64
-
-
-def _lines_in_spans(spans: DataFrame, lines: DataFrame, first: str, last: str) -> DataFrame:
-    """(path, rev, fn_id, ln) for lines between ``first`` and ``last`` of a span."""
-    blocks = spans.select(
-        *FILE_KEY, "fn_id", F.col(first).alias("_first"), F.col(last).alias("_last"),
-        F.explode(F.expr(f"sequence({first} div {_JOIN_BLOCK}, {last} div {_JOIN_BLOCK})")).alias("_block"),
-    )
-    placed = lines.select(*FILE_KEY, "ln", F.expr(f"ln div {_JOIN_BLOCK}").alias("_block"))
-    return (
-        blocks.join(placed, [*FILE_KEY, "_block"])
-        .where("ln BETWEEN _first AND _last")
-        .select(*FILE_KEY, "fn_id", "ln")
-    )
-
-
 def changed_functions(fns: DataFrame, lines: DataFrame) -> DataFrame:
     """Functions with at least one changed line in their span, with ``mod_lines``, the sorted set of them.
 
     A change in an inner function counts for the enclosing one too. With ``removed_lines`` and the functions
     of the old side it works on the old side.
+
+    Functions and changed lines of a file meet as two arrays, so both keep their partitioning by file and no
+    function is compared with lines outside it: running counts tell where a span's lines begin and end.
     """
-    hit = (
-        _lines_in_spans(fns, lines, "start_ln", "end_ln")
-        .groupBy(*FILE_KEY, "fn_id")
-        .agg(F.sort_array(F.collect_set("ln")).alias("mod_lines"))
-    )
-    return fns.join(hit, [*FILE_KEY, "fn_id"])
+    rest = [c for c in fns.columns if c not in FILE_KEY]
+    listed = fns.groupBy(*FILE_KEY).agg(F.collect_list(F.struct(*rest)).alias("fns"))
+    hit = lines.groupBy(*FILE_KEY).agg(F.sort_array(F.collect_set("ln")).alias("lns"))
+    # counts[n] is the number of changed lines up to line n.
+    counts = """concat(array_repeat(0, lns[0]), flatten(transform(lns, (l, i) ->
+                  array_repeat(i + 1, ifnull(get(lns, i + 1), l + 1) - l))))"""
+    before = "ifnull(get(s.counts, f.start_ln - 1), size(s.lns))"
+    upto = "ifnull(get(s.counts, f.end_ln), size(s.lns))"
+    found = f"""inline(transform(array(struct(fns, lns, {counts} AS counts)), s -> filter(
+                  transform(s.fns, f -> struct(f AS fn, slice(s.lns, {before} + 1, {upto} - {before}) AS mod_lines)),
+                  f -> size(f.mod_lines) > 0))[0])"""
+    return listed.join(hit, FILE_KEY).selectExpr(*FILE_KEY, found).selectExpr(*FILE_KEY, "fn.*", "mod_lines")
 
 
 def doc_change_lines(changed: DataFrame) -> DataFrame:
