@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,15 +62,17 @@ def change_pairs(changes: DataFrame, rev: int) -> DataFrame:
     )
 
 
-def previous_revision(sources: DataFrame, span: int = BLOCK_SPAN) -> DataFrame:
-    """(path, rev, prev_rev, old_content, new_content): every revision with the one before it."""
-    paired = with_previous(sources.select("path", "rev", "content"), ["path"], "rev", ["rev", "content"], block_of("rev", span), "_prev")
+def previous_revision(sources: DataFrame, span: int = BLOCK_SPAN, keep: Sequence[str] = ()) -> DataFrame:
+    """(path, rev, prev_rev, old_content, new_content, …keep): every revision with the one before it."""
+    rows = sources.select("path", "rev", "content", *keep)
+    paired = with_previous(rows, ["path"], "rev", ["rev", "content"], block_of("rev", span), "_prev")
     return paired.select(
         "path",
         "rev",
         F.col("_prev.rev").alias("prev_rev"),
         F.col("_prev.content").alias("old_content"),
         F.col("content").alias("new_content"),
+        *keep,
     )
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import line_array
 from codeloom.operators.diff import NEW, OLD, changed_lines, line_changes
-from codeloom.operators.lines import FILE_KEY, apply_edits
-from codeloom.operators.structure import changed_functions, doc_change_lines, functions
+from codeloom.operators.lines import FILE_KEY, apply_edits, cluster_files
+from codeloom.operators.structure import changed_functions, functions, running_counts
 
 
 def old_side(pairs: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def strip_comments(sources: DataFrame) -> DataFrame:
 
 def strip_changed_comments(pairs: DataFrame, mode: str = "aligned") -> DataFrame:
     """The new contents without the docs of functions that changed."""
-    sources = new_side(pairs)
+    sources = cluster_files(new_side(pairs))
     return _without_docs(sources, changed_functions(functions(sources), changed_lines(pairs, mode)))
 
 
@@ -49,37 +49,56 @@ def restore_comments(pairs: DataFrame) -> DataFrame:
     A missing line goes behind the line that the last kept line before it became: a line with k kept lines
     before it on the old side follows the k-th kept line of the new side.
     """
-    changes = line_changes(pairs)
-    removed = changes.where(F.col("side") == OLD).drop("side")
-    present = functions(new_side(pairs)).select(*FILE_KEY, "key", "indent").distinct()
-    old_fns = changed_functions(functions(old_side(pairs)), removed).join(present, [*FILE_KEY, "key", "indent"], "left_semi")
-    missing = doc_change_lines(old_fns).select(*FILE_KEY, "ln").distinct()
-    placed = (
-        changes.selectExpr("*", "ln - row_number() OVER (PARTITION BY path, rev, side ORDER BY ln) AS kept")
-        .selectExpr(
-            "*",
-            f"""kept + count_if(side = {NEW}) OVER (PARTITION BY path, rev ORDER BY kept, side, ln
-                ROWS UNBOUNDED PRECEDING) AS after_ln""",
-        )
-        .where(F.col("side") == OLD)
+    lines = line_changes(pairs).groupBy(*FILE_KEY).agg(
+        F.expr(f"array_sort(collect_list(ln) FILTER (WHERE side = {OLD})) AS gone"),
+        F.expr(f"array_sort(collect_list(ln) FILTER (WHERE side = {NEW})) AS come"),
     )
-    spots = (
-        placed.join(missing, [*FILE_KEY, "ln"], "left_semi")
-        .groupBy(*FILE_KEY, "after_ln")
-        .agg(F.sort_array(F.collect_list("ln")).alias("lns"))
+    old_fns = functions(cluster_files(old_side(pairs))).groupBy(*FILE_KEY).agg(
+        F.expr("collect_list(struct(key, indent, doc_start_ln, doc_end_ln, false AS present)) AS old_fns")
+    )
+    new_fns = functions(cluster_files(new_side(pairs))).groupBy(*FILE_KEY).agg(
+        F.expr("collect_list(struct(key, indent, int(null) AS doc_start_ln, int(null) AS doc_end_ln, true AS present)) AS new_fns")
+    )
+    docs = (
+        old_fns.join(new_fns, FILE_KEY)
+        .selectExpr(*FILE_KEY, "inline(concat(old_fns, new_fns))")
+        .groupBy(*FILE_KEY, "key", "indent")
+        .agg(
+            F.expr("bool_or(present) AS present"),
+            F.expr("collect_list(struct(doc_start_ln, doc_end_ln)) FILTER (WHERE doc_start_ln IS NOT NULL) AS docs"),
+        )
+        .where("present")
         .groupBy(*FILE_KEY)
-        .agg(F.collect_list(F.struct("after_ln", "lns")).alias("spots"))
+        .agg(F.expr("flatten(collect_list(docs)) AS docs"))
     )
-    edits = (
-        spots.join(pairs.select(*FILE_KEY, line_array(F.col("old_content")).alias("old_lines")), FILE_KEY)
+    # A line's rank among the changed lines of its side tells how many kept lines stand before it.
+    kept = "transform({0}, (l, i) -> l - i - 1)"
+    missing = (
+        docs.join(lines, FILE_KEY)
+        .selectExpr(*FILE_KEY, "docs", "gone", f"{kept.format('gone')} AS old_kept", f"{kept.format('come')} AS new_kept")
+        .selectExpr("*", f"{running_counts('gone')} AS gone_upto", f"{running_counts('new_kept')} AS come_upto")
         .selectExpr(
             *FILE_KEY,
-            """inline(transform(spots, s -> struct(
-                 cast(s.after_ln + 1 AS int) AS from_ln, cast(s.after_ln AS int) AS to_ln,
-                 transform(s.lns, n -> get(old_lines, n - 1)) AS new_lines)))""",
+            """inline(flatten(transform(docs, d -> transform(
+                 slice(arrays_zip(gone, old_kept), ifnull(get(gone_upto, d.doc_start_ln - 1), size(gone)) + 1,
+                       ifnull(get(gone_upto, d.doc_end_ln), size(gone)) - ifnull(get(gone_upto, d.doc_start_ln - 1), size(gone))),
+                 g -> struct(g.gone AS ln, g.old_kept + if(g.old_kept = 0, 0,
+                       ifnull(get(come_upto, g.old_kept - 1), size(new_kept))) AS after_ln)))))""",
         )
     )
-    cleaned = new_side(pairs).withColumn("content", F.array_join(line_array(F.col("content")), "\n"))
+    spots = (
+        missing.groupBy(*FILE_KEY, "after_ln")
+        .agg(F.expr("array_sort(collect_set(ln)) AS lns"))
+        .groupBy(*FILE_KEY)
+        .agg(F.expr("collect_list(struct(after_ln, lns)) AS spots"))
+    )
+    old_lines = cluster_files(pairs).select(*FILE_KEY, line_array(F.col("old_content")).alias("old_lines"))
+    edits = spots.join(old_lines, FILE_KEY).selectExpr(
+        *FILE_KEY,
+        """inline(transform(spots, s -> struct(s.after_ln + 1 AS from_ln, s.after_ln AS to_ln,
+             transform(s.lns, n -> get(old_lines, n - 1)) AS new_lines)))""",
+    )
+    cleaned = cluster_files(new_side(pairs)).withColumn("content", F.array_join(line_array(F.col("content")), "\n"))
     return apply_edits(cleaned, edits)
 
 

@@ -297,6 +297,13 @@ def function_doc_pairs(fns: DataFrame) -> DataFrame:
     return fns.where("doc IS NOT NULL").select(*FILE_KEY, "fn_id", "doc", "key")
 
 
+def running_counts(numbers: str) -> str:
+    """SQL for an array whose item n, from 0, counts the items of the sorted array ``numbers`` up to n. It ends at
+    the last of them; beyond that the count is the size of ``numbers``."""
+    steps = f"""transform({numbers}, (l, i) -> array_repeat(i + 1, ifnull(get({numbers}, i + 1), l + 1) - l))"""
+    return f"if(size({numbers}) = 0, array(), concat(array_repeat(0, get({numbers}, 0)), flatten({steps})))"
+
+
 def changed_functions(fns: DataFrame, lines: DataFrame) -> DataFrame:
     """Functions with at least one changed line in their span, with ``mod_lines``, the sorted set of them.
 
@@ -309,12 +316,9 @@ def changed_functions(fns: DataFrame, lines: DataFrame) -> DataFrame:
     rest = [c for c in fns.columns if c not in FILE_KEY]
     listed = fns.groupBy(*FILE_KEY).agg(F.collect_list(F.struct(*rest)).alias("fns"))
     hit = lines.groupBy(*FILE_KEY).agg(F.sort_array(F.collect_set("ln")).alias("lns"))
-    # counts[n] is the number of changed lines up to line n.
-    counts = """concat(array_repeat(0, lns[0]), flatten(transform(lns, (l, i) ->
-                  array_repeat(i + 1, ifnull(get(lns, i + 1), l + 1) - l))))"""
     before = "ifnull(get(s.counts, f.start_ln - 1), size(s.lns))"
     upto = "ifnull(get(s.counts, f.end_ln), size(s.lns))"
-    found = f"""inline(transform(array(struct(fns, lns, {counts} AS counts)), s -> filter(
+    found = f"""inline(transform(array(struct(fns, lns, {running_counts('lns')} AS counts)), s -> filter(
                   transform(s.fns, f -> struct(f AS fn, slice(s.lns, {before} + 1, {upto} - {before}) AS mod_lines)),
                   f -> size(f.mod_lines) > 0))[0])"""
     return listed.join(hit, FILE_KEY).selectExpr(*FILE_KEY, found).selectExpr(*FILE_KEY, "fn.*", "mod_lines")

@@ -52,7 +52,7 @@ def replay_history(
     history = filter_supported(range_sources(sources, commits, end, start)).where("language = 'python'")
     bare = materialize(strip_comments(cluster_files(history)).drop("language", "leaves_empty"), "bare")
     fns = functions(cluster_files(bare), qualified=True)
-    steps = previous_revision(bare, span).join(bare.where("NOT is_base").select(*FILE_KEY), FILE_KEY, "left_semi")
+    steps = previous_revision(bare, span, keep=["is_base"]).where("NOT is_base")
     changed = changed_functions(fns, changed_lines(steps))
     asked = with_code(changed, cluster_files(bare)).select(*FILE_KEY, "fn_id", "qualname", "key", "code")
     answers = map_generate(render_prompt(asked.withColumn("language", F.lit("python")), template), factory)

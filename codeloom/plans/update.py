@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators.diff import changed_lines
-from codeloom.operators.generate import DEFAULT_TEMPLATE, TextModel, attempt_log, map_generate, render_prompt
-from codeloom.operators.lines import FILE_KEY, cluster_files
+from codeloom.operators.generate import DEFAULT_TEMPLATE, TextModel, attempt_log, map_generate, render_prompt, validate_comment
+from codeloom.operators.lines import cluster_files
 from codeloom.operators.revisions import change_pairs, file_changes, filter_supported, overlay_snapshot
 from codeloom.operators.rewrite import apply_insertions, new_side
 from codeloom.operators.score import match_pairs
@@ -54,9 +54,7 @@ def update_docs(
     pairs = materialize(step_pairs(old, new, rev, exclude), "pairs")
     slots = changed_slots(pairs).withColumn("language", F.lit("python"))
     answers = map_generate(render_prompt(slots, template), factory)
-    valid = answers.withColumn("comment", F.col("answer")).join(
-        attempt_log(answers).where("success").select(*FILE_KEY, "fn_id"), [*FILE_KEY, "fn_id"], "left_semi"
-    )
+    valid = validate_comment(answers).where("success").withColumnRenamed("answer", "comment")
     documented = apply_insertions(new_side(pairs), valid).select("path", "content")
     return Update(attempt_log(answers), overlay_snapshot(new.select("path", "content"), documented))
 
