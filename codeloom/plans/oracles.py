@@ -205,6 +205,8 @@ ORACLES: dict[str, str] = {
     "src_validate": f"""WITH {_FN} SELECT path, rev, ok AS success, count(*) AS n FROM py, (SELECT unnest([true, false]) AS ok)
         WHERE dl > 0 GROUP BY path, rev, ok""",
     "src_attempts": f"WITH {_FN}, {_ASKED} SELECT path, rev, fn_id, success, answer AS comment FROM answered",
+    "src_accepted": f"""WITH {_FN}, {_ASKED} SELECT path, rev, fn_id, start_ln + 1 AS slot_ln, start_ln + dl AS replace_to_ln,
+        4 AS slot_col, answer AS comment FROM answered WHERE success""",
     "src_insert": f"WITH {_FN}, {_ASKED} SELECT path, 1::BIGINT AS rev, md5(content) AS content_md5 FROM newfile WHERE path IN (SELECT path FROM step)",
     "src_update": f"WITH {_FN}, {_ASKED} SELECT path, md5(content) AS content_md5 FROM newfile",
     "src_match_pairs": f"""WITH {_FN} SELECT n.path, o.key AS code, o.doc AS original_comment, n.doc AS agent_comment
@@ -212,6 +214,7 @@ ORACLES: dict[str, str] = {
     "src_comment_pairs": f"""WITH {_FN}, {_ASKED} SELECT path, key AS code, doc AS original_comment, new_doc AS agent_comment
         FROM documented WHERE path LIKE '%.py' AND doc <> new_doc""",
     "src_snapshot": f"WITH {_FN} SELECT rev, path, md5(content) AS content_md5 FROM file WHERE rev < 3",
+    "load_snapshot_files": f"WITH {_FN} SELECT 0::BIGINT AS rev, path, md5(content || chr(10)) AS content_md5 FROM pyfile WHERE rev = 0",
     "pair_jaccard": f"""WITH {_PAIR}, d AS (SELECT conv_id, turn, list_distinct(wa) AS x, list_distinct(wb) AS y FROM words)
         SELECT conv_id, turn, round(coalesce(len(list_intersect(x, y)) / nullif(len(list_distinct(list_concat(x, y))), 0), 0.0), 6) AS score FROM d""",
     "pair_levenshtein": f"""WITH {_PAIR}, c AS (SELECT conv_id, turn, translate(a, '{_LETTERS}', '{_SIGNS}') AS x, translate(b, '{_LETTERS}', '{_SIGNS}') AS y FROM pair)

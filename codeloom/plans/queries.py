@@ -40,7 +40,7 @@ from codeloom.plans.update import comment_pairs, function_docs_changed, update_d
 from codeloom.session import materialize, scratch_dir
 from codeloom.sources.built import built_sources
 from codeloom.sources.results import append_run, load_attempts, load_scores
-from codeloom.sources.snapshots import read_snapshot, write_snapshot
+from codeloom.sources.snapshots import load_snapshot, read_snapshot, write_snapshot
 from codeloom.streaming.changes import stream_changed_functions, stream_changed_lines
 from codeloom.streaming.ratio import stream_success_ratio
 
@@ -310,6 +310,14 @@ def src_attempts(spark, sf_dir):
     return generate.attempt_log(answers)
 
 
+@query
+def src_accepted(spark, sf_dir):
+    slots = step_slots(step(spark, sf_dir)).withColumn("language", F.lit("python"))
+    answers = generate.map_generate(generate.render_prompt(slots, TEMPLATE), stand_in())
+    accepted = generate.accepted_insertions(generate.attempt_log(answers), slots)
+    return accepted.select("path", "rev", "fn_id", "slot_ln", "replace_to_ln", "slot_col", "comment")
+
+
 @query
 def src_insert(spark, sf_dir):
     pairs = step(spark, sf_dir)
@@ -346,6 +354,16 @@ def src_snapshot(spark, sf_dir):
     return content_md5(read_snapshot(spark, target))
 
 
+@query
+def load_snapshot_files(spark, sf_dir):
+    # Spark names the files, so a source's path is the folder its file lies in.
+    root = scratch_dir(spark, "tree")
+    python_sources(spark, sf_dir, 0).select("path", "content").write.partitionBy("path").text(root)
+    files = load_snapshot(spark, root, 0, "*.txt")
+    folder = F.url_decode(F.regexp_extract("path", "^path=([^/]+)/", 1))
+    return content_md5(files.withColumn("path", folder))
+
+
 # Scores of pairs: a user's turn and the assistant's answer to it.
 
 
