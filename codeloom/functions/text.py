@@ -29,7 +29,8 @@ _ONE_DOCSTRING = (
     r"|'''[^'\\]*+(?:(?:\\.|'(?!''))[^'\\]*+)*+''')\s*+$"
 )
 
-_CODE_LINE = r"(?m)^\s*+[^#\s]"
+# A line that begins with neither a comment nor white space only; line by line, so that blank lines cost no more.
+_CODE_LINE = r"(?m)^[^\S\n]*+[^#\s]"
 
 
 def line_array(content: Column) -> Column:
