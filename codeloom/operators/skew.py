@@ -12,8 +12,12 @@ BLOCK_SPAN = 1024
 #: A key is hot when it holds more than this share of all rows, so at most 1 / share keys are hot.
 HOT_SHARE = 0.001
 
+#: The same for keys whose rows are ordered in one task unless split: at most 100,000 short keys are broadcast.
+ORDERED_SHARE = 0.00001
+
 #: Below this many rows a key is not worth splitting.
 HOT_MIN_ROWS = 100_000
+ORDERED_MIN_ROWS = 10_000
 
 SALTS = 16
 
@@ -23,46 +27,68 @@ def block_of(order: str, span: int = BLOCK_SPAN) -> Column:
     return F.floor(F.col(order) / F.lit(span)).cast("bigint")
 
 
+def _in_blocks(df: DataFrame, keys: list[str], block: Column, share: float, min_rows: int) -> DataFrame:
+    """Add ``_hot`` and ``_block``: rows of hot keys get their block, those of other keys share one."""
+    if not keys:
+        return df.withColumn("_hot", F.lit(True)).withColumn("_block", block)
+    hot = hot_keys(df, keys, share, min_rows).withColumn("_hot", F.lit(True))
+    one = F.lit(0).cast("bigint")
+    return df.join(F.broadcast(hot), keys, "left").withColumn("_block", F.when(F.col("_hot"), block).otherwise(one))
+
+
 def with_previous(
-    df: DataFrame, keys: list[str], order: str, values: list[str], block: Column, name: str
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    values: list[str],
+    block: Column,
+    name: str,
+    share: float = ORDERED_SHARE,
+    min_rows: int = ORDERED_MIN_ROWS,
 ) -> DataFrame:
     """Add struct ``name``: ``values`` of the row before this one in its key, null for the first row.
 
-    A plain ``lag`` sends all rows of a key to one task. Here the lag runs per (key, block); only the last
-    row of each block travels on, is lagged over the key's blocks, and fills the first row of the next block.
-    ``block`` must grow with ``order``.
+    A plain ``lag`` sends all rows of a key to one task. Here the lag of a hot key runs per (key, block); only
+    the last row of each of its blocks travels on, is lagged over the key's blocks, and fills the first row of the
+    next block. ``block`` must grow with ``order``. Other keys need the one shuffle of a lag and nothing else.
     """
     picked = F.struct(*values)
-    rows = df.withColumn("_block", block)
+    rows = _in_blocks(df, keys, block, share, min_rows)
     in_block = Window.partitionBy(*keys, "_block").orderBy(order)
     lagged = rows.withColumn(name, F.lag(picked).over(in_block))
-    tails = rows.groupBy(*keys, "_block").agg(F.max_by(picked, F.col(order)).alias("_tail"))
+    tails = rows.where("_hot").groupBy(*keys, "_block").agg(F.max_by(picked, F.col(order)).alias("_tail"))
     over_blocks = Window.partitionBy(*keys).orderBy("_block")
     carried = tails.select(*keys, "_block", F.lag("_tail").over(over_blocks).alias("_carry"))
     return (
         lagged.join(carried, [*keys, "_block"], "left")
         .withColumn(name, F.coalesce(name, "_carry"))
-        .drop("_block", "_carry")
+        .drop("_hot", "_block", "_carry")
     )
 
 
-def with_latest(df: DataFrame, keys: list[str], order: str, value: str, block: Column, name: str) -> DataFrame:
+def with_latest(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    value: str,
+    block: Column,
+    name: str,
+    share: float = ORDERED_SHARE,
+    min_rows: int = ORDERED_MIN_ROWS,
+) -> DataFrame:
     """Add ``name``: the last non-null ``value`` at or before this row in its key, split like above."""
-    rows = df.withColumn("_block", block)
+    rows = _in_blocks(df, keys, block, share, min_rows)
     in_block = Window.partitionBy(*keys, "_block").orderBy(order)
     filled = rows.withColumn(name, F.last(value, ignorenulls=True).over(in_block))
-    tails = (
-        rows.where(F.col(value).isNotNull())
-        .groupBy(*keys, "_block")
-        .agg(F.max_by(value, F.col(order)).alias("_tail"))
+    tails = rows.where("_hot").groupBy(*keys, "_block").agg(
+        F.expr(f"max_by({value}, {order}) FILTER (WHERE {value} IS NOT NULL) AS _tail")
     )
-    blocks = rows.select(*keys, "_block").distinct().join(tails, [*keys, "_block"], "left")
     over_blocks = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select(*keys, "_block", F.last("_tail", ignorenulls=True).over(over_blocks).alias("_carry"))
+    carried = tails.select(*keys, "_block", F.last("_tail", ignorenulls=True).over(over_blocks).alias("_carry"))
     return (
         filled.join(carried, [*keys, "_block"], "left")
         .withColumn(name, F.coalesce(name, "_carry"))
-        .drop("_block", "_carry")
+        .drop("_hot", "_block", "_carry")
     )
 
 

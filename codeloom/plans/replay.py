@@ -51,7 +51,7 @@ def replay_history(
     """
     history = filter_supported(range_sources(sources, commits, end, start)).where("language = 'python'")
     bare = materialize(strip_comments(cluster_files(history)).drop("language", "leaves_empty"), "bare")
-    fns = functions(cluster_files(bare), qualified=True)
+    fns = materialize(functions(cluster_files(bare), qualified=True).drop("doc", "doc_tail"), "functions")
     steps = previous_revision(bare, span, keep=["is_base"]).where("NOT is_base")
     changed = changed_functions(fns, changed_lines(steps))
     asked = with_code(changed, cluster_files(bare)).select(*FILE_KEY, "fn_id", "qualname", "key", "code")

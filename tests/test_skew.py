@@ -13,7 +13,7 @@ def sample(spark):
 
 def test_previous_in_blocks_is_lag(spark):
     df = sample(spark)
-    got = with_previous(df, ["k"], "rev", ["rev", "v"], block_of("rev", 50), "prev").select("k", "rev", "prev.*")
+    got = with_previous(df, ["k"], "rev", ["rev", "v"], block_of("rev", 50), "prev", share=0.2, min_rows=100).select("k", "rev", "prev.*")
     lag = F.lag(F.struct("rev", "v")).over(Window.partitionBy("k").orderBy("rev"))
     expected = df.withColumn("prev", lag).select("k", "rev", "prev.*")
     assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
@@ -21,11 +21,21 @@ def test_previous_in_blocks_is_lag(spark):
 
 def test_latest_in_blocks_is_running_last(spark):
     df = sample(spark)
-    got = with_latest(df, ["k"], "rev", "v", block_of("rev", 50), "now")
+    got = with_latest(df, ["k"], "rev", "v", block_of("rev", 50), "now", share=0.2, min_rows=100)
     last = F.last("v", ignorenulls=True).over(Window.partitionBy("k").orderBy("rev"))
     assert sorted(map(str, got.collect())) == sorted(map(str, df.withColumn("now", last).collect()))
 
 
+def test_no_key_and_no_hot_key(spark):
+    df = sample(spark).where("k = 0")
+    whole = with_previous(df.drop("k"), [], "rev", ["rev"], block_of("rev", 50), "prev")
+    keyed = with_previous(df, ["k"], "rev", ["rev"], block_of("rev", 50), "prev").drop("k")
+    revs = sorted(r.rev for r in df.collect())
+    expected = dict(zip(revs, [None, *revs[:-1]]))
+    for got in (whole, keyed):
+        assert {r.rev: r.prev and r.prev.rev for r in got.collect()} == expected
+
+
 def test_split_joins_are_joins(spark):
     df = sample(spark)
     right = spark.range(6).selectExpr("id AS k", "concat('r', id) AS r")
