@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import mixing, pseudonyms, quality_rules
+from codeloom.llm import bitplanes, decontaminate, mixing, pseudonyms, quality_rules, secret_scan, simhash, toxicity
 from codeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,32 @@ def op7_mixing(spark, sf_dir):
     return mixed.select(
         "row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies"
     )
+
+
+@query
+def op4_secret_scan(spark, sf_dir):
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_bit_planes(spark, sf_dir):
+    import public_tokenizers
+
+    return bitplanes.token_files(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    rows = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("row.doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "ratio")
+
+
+@query
+def op3_simhash(spark, sf_dir):
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
