@@ -13,7 +13,9 @@ is compressed by zstandard. Layout, little-endian:
 from __future__ import annotations
 
 import re
+import string
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,13 +29,19 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import scratch, stored, text_of
 
 MAGIC = b"BPL1"
+PUNCTUATION = string.punctuation
+
 CHUNK_IDS = 65536
 FILE_IDS = 1 << 22
 END_ID = 1
 
-#: Pieces of text whose ids a worker remembers, and the longest of them.
-MEMO = 400_000
-MEMO_CHARS = 40
+#: Pieces of text and plain words whose ids a worker remembers, and the longest of them.
+PIECES = 500_000
+WORDS = 700_000
+REMEMBERED_CHARS = 40
+
+#: Texts encoded together: as many as have so many characters.
+GROUP_CHARS = 2_000_000
 
 MANIFEST = "part int, seq int, file string, first_doc_id bigint, n_docs bigint, n_ids bigint"
 DOCUMENTS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -44,50 +52,110 @@ def open_fs(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
 
 
+def _plain(piece: str) -> tuple[str, str] | None:
+    """A piece as (letters in lower case, ASCII punctuation), where its ids are those of the two in turn: a run of letters
+    ends before punctuation, and lower-casing is what the tokenizer does first."""
+    word = piece.rstrip(PUNCTUATION)
+    lower = word.lower()
+    if word.isascii() and (word.isalpha() or not word) and "<|" not in piece:
+        return lower, piece[len(word) :]
+    if word == lower and word.isalpha() and unicodedata.is_normalized("NFC", word):
+        return lower, piece[len(word) :]
+    return None
+
+
 class Encoder:
-    """Ids of texts, equal to encoding each whole text.
+    """Ids of texts as bytes, equal to encoding each whole text.
 
     This tokenizer drops white space before it looks for merges, so no id spans a space or line break: a text's ids are
-    those of its pieces in turn. Pieces recur, so a worker remembers the ids of short ones, up to ``MEMO`` of them.
+    those of its pieces in turn. Pieces recur, and pieces that differ by case or punctuation share a word, so a worker
+    remembers the ids of both, in tables of bounded size. All ids come from the tokenizer; many words are given to it at once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words of letters: one call for all, cut where the tokenizer says that a word begins."""
+        if not words:
+            return
+        if len(self.words) + len(words) > WORDS:
+            self.words = {}
+        all_of = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        where = np.array(all_of.word_ids, "i8")
+        starts = np.flatnonzero(np.diff(where, prepend=-1))
+        if len(starts) == len(words):
+            ids = np.array(all_of.ids, "<u4").tobytes()
+            ends = [4 * int(e) for e in [*starts[1:], len(where)]]
+            self.words.update(zip(words, (ids[4 * a : b] for a, b in zip(starts.tolist(), ends, strict=True)), strict=True))
+        else:
+            self.words.update(zip(words, self._each(words), strict=True))
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = [p for p in set().union(*split) if p not in self.pieces]
+        if len(self.pieces) + len(new) > PIECES:
+            self.pieces = {}
+            new = list(set().union(*split))
+        plain = {p: _plain(p) for p in new}
+        odd = [p for p, x in plain.items() if x is None]
+        parts = {w for x in plain.values() if x for w in x if w}
+        letters = [w for w in parts if w[0].isalpha() and w not in self.words]
+        marks = [w for w in parts if not w[0].isalpha() and w not in self.words]
+        self._learn(letters)
+        self.words.update(zip(marks, self._each(marks), strict=True))
+        known = {**{w: self.words.get(w, b"") for w in parts}, "": b""}
+        late = [w for w in parts if w not in self.words]  # forgotten while this group was learned
+        known.update(zip(late, self._each(late), strict=True))
+        own = dict(zip(odd, self._each(odd), strict=True))
+        own.update((p, known[x[0]] + known[x[1]]) for p, x in plain.items() if x)
+        self.pieces.update((p, ids) for p, ids in own.items() if len(p) <= REMEMBERED_CHARS)
+        table = {**self.pieces, **own} if any(len(p) > REMEMBERED_CHARS for p in own) else self.pieces
+        return [b"".join(map(table.__getitem__, pieces)) for pieces in split]
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            pieces = text.replace("\n", " ").split(" ")
-            new = [p for p in set(pieces) if p not in self.memo]
-            own = {p: e.ids for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)} if new else {}
-            if len(self.memo) + len(new) > MEMO:
-                own.update((p, self.memo[p]) for p in pieces if p in self.memo)
-                self.memo = {}
-            get = self.memo
-            get.update((p, ids) for p, ids in own.items() if len(p) <= MEMO_CHARS)
-            ids: list[int] = []
-            for p in pieces:
-                ids += get[p] if p in get else own[p]
-            ids.append(END_ID)
-            yield np.array(ids, "<u4")
+        end = np.array([END_ID], "<u4").tobytes()
+        group: list[str] = []
+        size = 0
+        for text in [*texts, None]:
+            if text is not None:
+                group.append(text)
+                size += len(text)
+            if group and (text is None or size >= GROUP_CHARS):
+                for ids in self._group(group):
+                    yield np.frombuffer(ids + end, "<u4")
+                group, size = [], 0
+
+
+#: Encoders of this process, by the tokenizer's file: a worker that runs several tasks keeps what it remembers.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:
     """Bit planes of ids, lowest bit first, none above the highest bit in use."""
     width = int(ids.max(initial=0)).bit_length()
-    wide = ids.astype("<u2" if width <= 16 else "<u4")
-    bits = np.unpackbits(wide.view("u1").reshape(len(ids), -1), axis=1, bitorder="little")
-    return [row.tobytes() for row in np.packbits(bits.T[:width], axis=1, bitorder="little")]
+    bits = ids.astype("<u2" if width <= 16 else "<u4")
+    return [np.packbits(((bits >> k) & 1).astype(bool), bitorder="little").tobytes() for k in range(width)]
 
 
 def from_planes(planes: list[bytes], n: int) -> np.ndarray:
-    size = 2 if len(planes) <= 16 else 4
-    bits = np.zeros((8 * size, n), "u1")
-    for row, plane in enumerate(planes):
-        bits[row] = np.unpackbits(np.frombuffer(plane, "u1"), count=n, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").reshape(-1).view(f"<u{size}").astype("<u4")
+    ids = np.zeros(n, "<u2" if len(planes) <= 16 else "<u4")
+    for k, plane in enumerate(planes):
+        ids |= np.unpackbits(np.frombuffer(plane, "u1"), count=n, bitorder="little").astype(ids.dtype) << ids.dtype.type(k)
+    return ids.astype("<u4")
 
 
 class FileWriter:
@@ -201,7 +269,7 @@ def write_planes(docs: DataFrame, tokenizer: str, path: str, level: int = 3) ->
         part, attempt = task.partitionId(), task.taskAttemptId()
         store, folder = open_fs(path)
         store.create_dir(folder, recursive=True)
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         rows: list[dict] = []
         writer = out = None
 
