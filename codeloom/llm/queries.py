@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bitplanes, decontaminate, mixing, pseudonyms, quality_rules, secret_scan, simhash, toxicity
+from codeloom.llm import bitplanes, decontaminate, mixing, page_crf, pair_ranking, pseudonyms, quality_rules, secret_scan, simhash, toxicity
 from codeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,14 @@ def op3_simhash(spark, sf_dir):
 @query
 def op2_decontaminate(spark, sf_dir):
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_pair_ranking(spark, sf_dir):
+    rows = pair_ranking.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("row.doc_id", "held_out", "score", (F.col("score") >= pair_ranking.LEAST).cast("int").alias("predicted"))
+
+
+@query
+def op9_page_crf(spark, sf_dir):
+    return page_crf.main_texts(table(spark, sf_dir, "pages"))
