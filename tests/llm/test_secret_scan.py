@@ -1,0 +1,79 @@
+import base64
+import hashlib
+import json
+import re
+import struct
+
+from codeloom.llm import secret_scan as S
+
+
+def brute(text):
+    text = text or ""
+    spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(spans)
+
+
+def check(docs):
+    want = [(r.doc_id, brute(r.text)) for r in docs.collect()]
+    got = S.find_secrets(docs).collect()
+    joined = lambda s: ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in s)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    counts = [(d, *(sum(k == n for _, k, _ in s) for n in range(3)), hashlib.sha256(joined(s).encode()).hexdigest()) for d, s in want]
+    assert sorted(counts, key=key) == sorted(((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got), key=key)
+    for (d, s), r in zip(sorted(want, key=lambda x: key((x[0], str(x[1])))), sorted(got, key=lambda r: key((r.doc_id, r.spans)))):
+        assert set(joined(s).split(",")) - {""} <= set(r.spans.split(","))
+    return got
+
+
+def test_given_tables(sf):
+    assert sum(r.n_assign for r in check(sf("documents", "sf0.01"))) > 0
+
+
+def test_odd(odd, none):
+    check(odd)
+    assert S.find_secrets(none).count() == 0
+
+
+def test_base_corners(texts):
+    check(texts(
+        'Password: "abcdef" PASSWD=12345 api_key = \'AbC/+9=_\' apikey:x.y-z_ token  :  "' + "a" * 30 + '"', "toKen = abcdefgh ſecret: abcdefgh",
+        "AKIA" + "Q" * 15 + " AKIA" + "Q" * 16 + "AKIA" + "Z" * 30, "0" * 23 + "g" + "f" * 24 + "F" + "0123456789abcdef" * 4, "secret=" * 50 + "abcdefg", "token = token = abcdef",
+    ))
+
+
+def der(tag, body):
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x80 | len(x := n.to_bytes((n.bit_length() + 7) // 8, "big"))]) + x
+    return bytes([tag]) + size + body
+
+
+def number(n):
+    return der(2, n.to_bytes(n.bit_length() // 8 + 1, "big"))
+
+
+RSA = der(0x30, number(0) + b"".join(number(3**k) for k in range(50, 450, 50)))
+PKCS8 = der(0x30, number(0) + der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + der(5, b"")) + der(4, RSA))
+PUBLIC = der(0x30, der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(3, b"\0" + RSA))
+field = lambda b: struct.pack(">I", len(b)) + b
+SSH = field(b"ssh-ed25519") + field(bytes(range(32)))
+OPENSSH = S.SSH_MARK + field(b"none") * 2 + field(b"") + struct.pack(">I", 1) + field(SSH) + field(bytes(range(120)))
+b64 = lambda b: base64.b64encode(b).decode()
+url = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+
+
+def test_structures(texts):
+    jwt = f"{url(json.dumps({'alg': 'HS256', 'typ': 'JWT'}).encode())}.{url(b'{}' * 9)}.{url(bytes(32))}"
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{b64(RSA)}\n-----END RSA PRIVATE KEY-----"
+    good = {"der": [b64(RSA), b64(PKCS8).rstrip("="), url(PUBLIC), RSA.hex().upper()], "ssh": [b64(SSH), b64(OPENSSH)], "jwt": [jwt], "pem": [pem]}
+    for kind, forms in good.items():
+        for form in forms:
+            text = f"before {form} after"
+            (r,) = S.find_secrets(texts(text)).collect()
+            assert f"{kind}:7:{7 + len(form)}" in r.spans.split(","), (kind, form)
+    cut = RSA[:-1]
+    long = bytes([0x30, 0x82, 0xFF, 0xFF]) + RSA[4:]
+    flat = url(b'{"typ":"JWT"}') + ".e30." + url(bytes(32))
+    bad = [b64(cut), b64(long), cut.hex(), b64(SSH[:-1]), flat, b64(bytes(200)), "-----BEGIN X-----\nAAAA\n-----END X-----", jwt.replace("ey", "xx", 1), "A" * 5000]
+    assert [r.n_confirmed for r in S.find_secrets(texts(*bad)).collect()] == [0] * len(bad)

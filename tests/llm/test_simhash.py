@@ -1,0 +1,109 @@
+import random
+
+import xxhash
+
+from codeloom.llm import simhash as S
+from codeloom.llm.components import components
+
+
+def brute_print(text):
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0
+    sh = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
+    hs = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def brute_groups(prints, radius=4):
+    distinct = sorted(set(prints))
+    up = {p: p for p in distinct}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            if (a ^ b).bit_count() <= radius:
+                up[root(a)] = root(b)
+    return {p: root(p) for p in distinct}
+
+
+def check(docs):
+    got = S.near_duplicates(docs).join(docs.select("doc_id").distinct(), "doc_id").collect()
+    rows = docs.where("doc_id IS NOT NULL").collect()
+    prints = [brute_print(r.text) for r in rows]
+    groups = brute_groups([brute_print(r.text) for r in docs.collect()])
+    least = {}
+    for r, p in zip(rows, prints):
+        least[groups[p]] = min(r.doc_id, least.get(groups[p], r.doc_id))
+    want = sorted((r.doc_id, p, least[groups[p]]) for r, p in zip(rows, prints))
+    assert sorted((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got) == want
+
+
+def test_given_tables(sf):
+    check(sf("documents", "sf0.01"))
+
+
+def test_odd(odd, none):
+    check(odd)
+    kept = S.one_of_each(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [1, 4, 5, 7, None]
+    assert S.near_duplicates(none).count() == 0
+
+
+def test_dense_and_chained_prints_in_small_shards(spark):
+    rng = random.Random(5)
+    centre = rng.getrandbits(64)
+    prints = {centre}
+    while len(prints) < 400:
+        p = centre
+        for b in rng.sample(range(64), rng.randint(1, 5)):
+            p ^= 1 << b
+        prints.add(p)
+    chain = rng.getrandbits(64)
+    for k in range(0, 60, 4):
+        chain ^= 0b1111 << k
+        prints.add(chain)
+    prints |= {rng.getrandbits(64) for _ in range(300)} | {0, 1, (1 << 64) - 1}
+    signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
+    fps = spark.createDataFrame(signed, "fp bigint")
+    want = brute_groups(prints)
+    for shard in (4096, 32):
+        roots = {r.node % (1 << 64): r.root for r in components(S.shard_links(fps, 4, shard)).collect()}
+        sets = {}
+        for p in prints:
+            sets.setdefault(want[p], set()).add(roots.get(p, p))
+        assert all(len(s) == 1 for s in sets.values()) and len({next(iter(s)) for s in sets.values()}) == len(sets)
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(rng.randint(2000, 2400), rng.randint(2000, 2400)) for _ in range(300)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {x: root(x) for x in up}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_tree_finds_all():
+    rng = random.Random(2)
+    prints = [rng.getrandbits(12) for _ in range(800)]
+    tree = S.BkTree()
+    for p in dict.fromkeys(prints):
+        tree.add(p)
+    for q in prints[:100]:
+        assert {tree.nodes[i] for i in tree.within(q, 3)} == {p for p in set(prints) if (p ^ q).bit_count() <= 3}
