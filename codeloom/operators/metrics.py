@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import strip_ws
-from codeloom.operators.skew import salted_join, with_previous
+from codeloom.operators.skew import salted_join
 
-#: Half width of the band around a quartile, and the sketch accuracy that keeps the quartile inside it.
-_BAND = 0.001
+#: Accuracy of the sketch that answers inexact quartiles.
 _ACCURACY = 10_000
 
 
@@ -17,83 +16,59 @@ def box_stats(df: DataFrame, value: str, group: list[str], exact: bool = True) -
     """(…group, n, min, q1, median, q3, max, whisker_low, whisker_high, n_outliers).
 
     Quartiles are interpolated linearly. Whiskers end at the last values within 1.5 interquartile ranges of the
-    box. Nulls and NaN do not count.
+    box. Null and NaN values do not count; a null group is a group.
 
-    Exact quartiles do not gather a group's values: a sketch finds a thin band around each quartile, rows below
-    it are only counted, and only values inside it are ordered. ``exact=False`` takes the sketch's answer.
+    All figures follow from one table of (group, value, count). Exact quartiles do not gather a group: its values are
+    dealt by ranges over all tasks, ranges are summed first, and the value that holds a rank is found within its
+    range. ``exact=False`` takes a sketch's answer.
     """
-    values = df.selectExpr(*group, f"cast({value} AS double) AS v").where("v IS NOT NULL AND NOT isnan(v)")
-    edges = ", ".join(f"{q - _BAND}D, {q}D, {q + _BAND}D" for q in (0.25, 0.5, 0.75))
-    basics = values.groupBy(*group).agg(
-        F.expr("count(1) AS n"),
-        F.expr("min(v) AS min"),
-        F.expr("max(v) AS max"),
-        F.expr(f"percentile_approx(v, array({edges}), {_ACCURACY}) AS edges"),
-    )
-    counts = values.groupBy(*group, "v").agg(F.expr("count(1) AS c"))
+    key = F.struct(*(F.col(g) for g in group)) if group else F.struct(F.lit(1))
+    values = df.select(key.alias("g"), F.expr(f"cast({value} AS double)").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    counts = values.groupBy("g", "v").agg(F.expr("count(1) AS c"))
+    basics = counts.groupBy("g").agg(F.expr("sum(c) AS n"), F.expr("min(v) AS min"), F.expr("max(v) AS max"))
     if exact:
-        quartiles = _exact_quartiles(counts, basics, group)
+        quartiles = _exact_quartiles(counts, basics)
     else:
-        quartiles = basics.selectExpr(*group, "edges[1] AS q1", "edges[4] AS median", "edges[7] AS q3")
-    stats = _join_groups(basics.drop("edges"), quartiles, group)
-    fences = stats.selectExpr(*group, "q1 - 1.5 * (q3 - q1) AS low", "q3 + 1.5 * (q3 - q1) AS high")
+        sketch = f"percentile_approx(v, array(0.25D, 0.5D, 0.75D), {_ACCURACY})"
+        found = values.groupBy("g").agg(F.expr(f"{sketch} AS p"))
+        quartiles = found.selectExpr("g", "p[0] AS q1", "p[1] AS median", "p[2] AS q3")
+    stats = basics.join(quartiles, "g")
+    fences = quartiles.selectExpr("g", "q1 - 1.5 * (q3 - q1) AS low", "q3 + 1.5 * (q3 - q1) AS high")
     whiskers = (
-        salted_join(counts, fences, group, ["v"])
-        .groupBy(*group)
+        salted_join(counts, fences, ["g"], ["v"])
+        .groupBy("g")
         .agg(
             F.expr("min(v) FILTER (WHERE v >= low) AS whisker_low"),
             F.expr("max(v) FILTER (WHERE v <= high) AS whisker_high"),
             F.expr("ifnull(sum(c) FILTER (WHERE v < low OR v > high), 0) AS n_outliers"),
         )
     )
-    return _join_groups(stats, whiskers, group)
-
-
-def _join_groups(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
-    """Join two tables with one row per group; without group columns each has a single row."""
-    if group:
-        return a.join(b, group)
-    one = F.lit(1)
-    return a.withColumn("_one", one).join(b.withColumn("_one", one), "_one").drop("_one")
-
-
-def _exact_quartiles(counts: DataFrame, basics: DataFrame, group: list[str]) -> DataFrame:
-    keys = ", ".join([*group, "quarter"])
-    zones = (
-        salted_join(counts, basics.select(*group, "n", "edges"), group, ["v"])
-        .selectExpr(
-            *group,
-            "n",
-            "v",
-            "c",
-            """inline(array(struct(1 AS quarter, edges[0] AS low, edges[2] AS high),
-                            struct(2 AS quarter, edges[3] AS low, edges[5] AS high),
-                            struct(3 AS quarter, edges[6] AS low, edges[8] AS high)))""",
-        )
-        .selectExpr("*", "CASE WHEN v < low THEN -1 WHEN v > high THEN 1 ELSE 0 END AS zone")
-        .selectExpr("*", "if(zone = 0, v, null) AS inside")
-        .groupBy(*group, "n", "quarter", "zone", "inside")
-        .agg(F.expr("sum(c) AS c"), F.expr("if(zone < 0, max(v), min(v)) AS v"))
-        .selectExpr("*", f"sum(c) OVER (PARTITION BY {keys} ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto")
-        .selectExpr("*", "(n - 1) * quarter div 4 AS k", "pmod((n - 1) * quarter, 4) / 4 AS part")
-    )
-
-    # Below the band only the nearest value is known, and above it too; a rank beyond those would be a guess.
-    def at(rank: str) -> str:
-        return f"""max(CASE WHEN {rank} < upto AND {rank} >= upto - c THEN
-                     CASE WHEN zone = 0 OR (zone < 0 AND {rank} = upto - 1) OR (zone > 0 AND {rank} = upto - c) THEN v
-                          ELSE raise_error('quartile outside its band') END END)"""
-
-    ranked = (
-        zones.groupBy(*group, "quarter")
-        .agg(
-            F.expr(f"{at('k')} AS low"),
-            F.expr(f"{at('if(part > 0, k + 1, k)')} AS high"),
-            F.expr("max(part) AS part"),
-        )
-        .selectExpr(*group, "quarter", "low + (high - low) * part AS q")
-    )
-    return ranked.groupBy(*group).agg(
+    names = ["n", "min", "max", "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"]
+    return stats.join(whiskers, "g").select(*(F.col("g")[g].alias(g) for g in group), *names)
+
+
+def _exact_quartiles(counts: DataFrame, basics: DataFrame) -> DataFrame:
+    """Rows of equal ranks by (group, value) fill ranges of like size; a range's first rank is the sum of those before."""
+    ranged = counts.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id())
+    sums = ranged.groupBy("g", "part").agg(F.expr("sum(c) AS c"))
+    before = "sum(c) OVER (PARTITION BY g ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    first = sums.selectExpr("g", "part", "c AS in_part", f"ifnull({before}, 0) AS first")
+    ranks = first.join(basics.select("g", "n"), "g").selectExpr(
+        "*", "inline(transform(sequence(1, 3), q -> struct(q, (n - 1) * q div 4 AS k, pmod((n - 1) * q, 4) / 4 AS share)))"
+    ).toDF("g", "part", "in_part", "first", "n", "quarter", "k", "share")
+    # The two neighbours of a quartile: the second one only counts where the quartile lies between them.
+    wanted = ranks.selectExpr(
+        "g", "part", "first", "quarter",
+        "inline(array(struct(k AS rank, 1 - share AS weight), struct(least(k + 1, n - 1) AS rank, share AS weight)))",
+    ).where("weight > 0")
+    here = wanted.join(first.select("g", "part", "in_part"), ["g", "part"]).where("rank >= first AND rank < first + in_part")
+    inside = ranged.join(here.select("g", "part").distinct(), ["g", "part"], "left_semi")
+    placed = inside.selectExpr("*", "sum(c) OVER (PARTITION BY g, part ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto")
+    hits = placed.join(here, ["g", "part"]).where("rank - first < upto AND rank - first >= upto - c")
+    # Equal neighbours are added as one value, so that a quartile on a value is that value.
+    near = hits.groupBy("g", "quarter").agg(F.expr("min(v) AS low"), F.expr("max(v) AS high"), F.expr("max_by(weight, rank) AS upper"), F.expr("count(1) AS m"))
+    quartile = near.selectExpr("g", "quarter", "if(m = 1 OR low = high, low, low + (high - low) * upper) AS q")
+    return quartile.groupBy("g").agg(
         *[F.expr(f"max(q) FILTER (WHERE quarter = {i}) AS {name}") for i, name in enumerate(("q1", "median", "q3"), 1)]
     )
 
@@ -147,18 +122,18 @@ def success_report(attempts: DataFrame, n: int = 10, seed: int = 42, key: str =
     return head.unionByName(sample).orderBy("ord")
 
 
-def compare_runs(scores: DataFrame, attempts: DataFrame, block: Column | None = None) -> DataFrame:
+def compare_runs(scores: DataFrame, attempts: DataFrame) -> DataFrame:
     """One row per run: score statistics beside the success ratio, and the change of the median and of the
-    ratio since the run before.
+    ratio since the run before, in the order of ``run_id``; null is a run, the first.
 
-    Runs are ordered by ``run_id``; ``block`` (by default its first six signs, the month of a timestamp) must
-    grow with it and bounds the runs one task compares.
+    Runs are a small table, one row each, whatever the number of their scores; it is ordered as a whole.
     """
     stats = box_stats(scores, "score", ["run_id"])
     ratios = success_ratio(attempts, ["run_id"])
-    runs = stats.join(ratios, "run_id", "full_outer")
-    months = F.substring("run_id", 1, 6) if block is None else block
-    ordered = with_previous(runs, [], "run_id", ["median", "ratio"], months, "prev")
-    return ordered.withColumns(
-        {"median_change": F.expr("median - prev.median"), "ratio_change": F.expr("ratio - prev.ratio")}
-    ).drop("prev")
+    both = stats.alias("s").join(ratios.alias("r"), F.col("s.run_id").eqNullSafe(F.col("r.run_id")), "full_outer")
+    run = F.coalesce(F.col("s.run_id"), F.col("r.run_id")).alias("run_id")
+    runs = both.select(run, *(c for c in (*stats.columns, *ratios.columns) if c != "run_id"))
+    before = "lag({0}) OVER (ORDER BY run_id NULLS FIRST)"
+    return runs.withColumns(
+        {f"{c}_change": F.expr(f"{c} - {before.format(c)}") for c in ("median", "ratio")}
+    )

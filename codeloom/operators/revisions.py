@@ -39,20 +39,22 @@ def commit_range(commits: DataFrame, end: int, start: int) -> DataFrame:
 def file_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Compare two snapshots: (path, status, old_content, new_content), unchanged files dropped.
 
-    Deletions are a status of their own with null ``new_content``.
+    Deletions are a status of their own with null ``new_content``. Digests of all files are compared first; contents
+    are fetched only for the paths that differ, so unchanged contents are never shuffled with each other.
     """
-    before = old.select("path", F.col("content").alias("old_content"))
-    after = new.select("path", F.col("content").alias("new_content"))
+    sides = [(old, "old"), (new, "new")]
+    marks = [s.select("path", F.sha2("content", 256).alias(f"{n}_mark")) for s, n in sides]
     status = (
-        F.when(F.col("old_content").isNull(), "added")
-        .when(F.col("new_content").isNull(), "deleted")
-        .otherwise("modified")
+        F.when(F.col("old_mark").isNull(), "added").when(F.col("new_mark").isNull(), "deleted").otherwise("modified")
     )
-    return (
-        before.join(after, "path", "full_outer")
-        .where(~F.col("old_content").eqNullSafe(F.col("new_content")))
-        .select("path", status.alias("status"), "old_content", "new_content")
+    changed = (
+        marks[0].join(marks[1], "path", "full_outer")
+        .where(~F.col("old_mark").eqNullSafe(F.col("new_mark")))
+        .select("path", status.alias("status"))
     )
+    for side, name in sides:
+        changed = changed.join(side.select("path", F.col("content").alias(f"{name}_content")), "path", "left")
+    return changed
 
 
 def change_pairs(changes: DataFrame, rev: int) -> DataFrame:
@@ -63,27 +65,22 @@ def change_pairs(changes: DataFrame, rev: int) -> DataFrame:
 
 
 def previous_revision(sources: DataFrame, span: int = BLOCK_SPAN, keep: Sequence[str] = ()) -> DataFrame:
-    """(path, rev, prev_rev, old_content, new_content, …keep): every revision with the one before it."""
-    rows = sources.select("path", "rev", "content", *keep)
-    paired = with_previous(rows, ["path"], "rev", ["rev", "content"], block_of("rev", span), "_prev")
-    return paired.select(
-        "path",
-        "rev",
-        F.col("_prev.rev").alias("prev_rev"),
-        F.col("_prev.content").alias("old_content"),
-        F.col("content").alias("new_content"),
-        *keep,
-    )
+    """(path, rev, prev_rev, old_content, new_content, …keep): every revision with the one before it. A null content
+    is a deletion: the revision after it has no old content.
+
+    Only paths and revision numbers are ordered; contents meet by an equality join on both, spread by revision."""
+    narrow = with_previous(sources.select("path", "rev"), ["path"], "rev", ["rev"], block_of("rev", span), "_prev")
+    steps = narrow.select("path", "rev", F.col("_prev.rev").alias("prev_rev"))
+    before = sources.select("path", F.col("rev").alias("prev_rev"), F.col("content").alias("old_content"))
+    paired = sources.select("path", "rev", F.col("content").alias("new_content"), *keep).join(steps, ["path", "rev"])
+    return paired.join(before, ["path", "prev_rev"], "left").select("path", "rev", "prev_rev", "old_content", "new_content", *keep)
 
 
 def as_of_snapshot(sources: DataFrame, rev: int | Column) -> DataFrame:
-    """The tree at ``rev``: per path the content of its last revision not after it."""
-    return (
-        sources.where(F.col("rev") <= rev)
-        .groupBy("path")
-        .agg(F.max_by(F.struct("rev", "content"), "rev").alias("_last"))
-        .select("path", "_last.rev", "_last.content")
-    )
+    """The tree at ``rev``: per path the content of its last revision not after it. Paths whose last revision there has a
+    null content were deleted and are not in the tree. Contents are joined to the last revisions, never grouped."""
+    last = sources.where(F.col("rev") <= rev).groupBy("path").agg(F.max("rev").alias("rev"))
+    return sources.where("content IS NOT NULL").join(last, ["path", "rev"], "left_semi").select("path", "rev", "content")
 
 
 def overlay_snapshot(base: DataFrame, patch: DataFrame) -> DataFrame:

@@ -18,11 +18,12 @@ PairModel = Callable[[list[str], list[str]], list[float]]
 def match_pairs(generated: DataFrame, original: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Docs of equal functions that differ: (…on, code, original_comment, agent_comment).
 
-    Both sides hold ``on`` (the file, by default ``path``), ``key`` and ``doc``. Keys and docs are compared
+    Both sides hold ``on`` (the file, by default ``path``, and ``rev`` where both sides have it), ``key`` and ``doc``. Keys and docs are compared
     without surrounding white space. Names repeated in a file match many to many, as in
     (original, generated); ``on`` keeps that within one file.
     """
-    file = on or ["path"]
+    both = {*generated.columns} & {*original.columns}
+    file = on or ["path", *(["rev"] if "rev" in both else [])]
     new = generated.select(*file, strip_ws(F.col("key")).alias("_key"), F.col("doc").alias("agent_comment"))
     old = original.select(
         *file, strip_ws(F.col("key")).alias("_key"), F.col("key").alias("code"), F.col("doc").alias("original_comment")

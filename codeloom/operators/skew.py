@@ -92,12 +92,22 @@ def with_latest(
     )
 
 
+#: Joins whose rows stay right when the right side is repeated per salt.
+_SALTED = ("inner", "left", "left_semi", "left_anti")
+
+
+def _check_how(how: str) -> None:
+    if how not in _SALTED:
+        raise ValueError(f"a salted join is one of {', '.join(_SALTED)}, not {how}: others repeat unmatched right rows per salt")
+
+
 def salted_join(
     big: DataFrame, small: DataFrame, on: list[str], spread: list[str], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:
     """Join a skewed table to one row per key. Every key of ``big`` is spread over ``salts`` tasks by the
     hash of its ``spread`` columns and ``small`` is repeated that often. Meant for small right sides
     (group statistics, a vocabulary); Spark still broadcasts them when their size allows."""
+    _check_how(how)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
@@ -126,6 +136,7 @@ def hot_split_join(
 
     The list of hot keys is broadcast: it has at most ``1 / share`` rows whatever the data size.
     """
+    _check_how(how)
     zero = F.lit(0).cast("bigint")
     hot = hot_keys(big, on, share, min_rows).withColumn("_hot", F.lit(True))
     left = (

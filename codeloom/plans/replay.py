@@ -30,7 +30,7 @@ def range_sources(sources: DataFrame, commits: DataFrame, end: int, start: int)
     picked = commit_range(commits, end, start)
     base, last = (picked.agg(f("rev").alias("rev")).scalar() for f in (F.min, F.max))
     tree = as_of_snapshot(sources, base).select(base.alias("rev"), "path", "content", F.lit(True).alias("is_base"))
-    later = sources.where((F.col("rev") > base) & (F.col("rev") <= last))
+    later = sources.where((F.col("rev") > base) & (F.col("rev") <= last)).join(picked.select("rev"), "rev", "left_semi")
     return tree.unionByName(later.select("rev", "path", "content", F.lit(False).alias("is_base")))
 
 

@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_LOCAL_SCRATCH: dict[str, str] = {}
-
 
 def build_session(master: str | None = None, app: str = "codeloom", **conf: str) -> SparkSession:
     """A session with the settings this library is tuned for.
@@ -36,15 +33,9 @@ def build_session(master: str | None = None, app: str = "codeloom", **conf: str)
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the cluster's checkpoint folder, for tables that cut lineage.
 
-    The folder is ``spark.checkpoint.dir``. Only a local session without that setting gets a folder of
-    its own, since there every task runs on this machine.
+    The folder is ``spark.checkpoint.dir``, or the warehouse where that is unset: both are shared by all executors.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        app = spark.sparkContext.applicationId
-        root = _LOCAL_SCRATCH.setdefault(app, tempfile.mkdtemp(prefix="codeloom-"))
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 

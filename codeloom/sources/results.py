@@ -36,12 +36,14 @@ def load_attempts(spark: SparkSession, root: str, name: str = "success_rate.csv"
     """(run_id, success, comment) of ``root/<run>/<name>``: one attempt per line, ``True, '…'``.
 
     Header lines of either kind do not fit the pattern and drop out. Answers are Python literals in a CSV cell:
-    outer quotes are taken off, doubled quotes undone and backslash escapes resolved.
+    outer quotes are taken off, doubled quotes undone and backslash escapes resolved. Quotes count as doubled where
+    every run of them in the cell is even; a cell with an odd run was written as it is.
     """
     fields = r"^\s*\(?(True|False),\s*(.*?)\s*$"
     body = F.regexp_extract("value", fields, 2)
     bare = F.regexp_replace(body, r"""^(?:'(.*)'|""(.*)""|"(.*)")\)?$""", "$1$2$3")
-    single = F.replace(bare, F.lit('""'), F.lit('"'))
+    odd = F.regexp_like(bare, F.lit('(?<!")"(?:"")*(?!")'))
+    single = F.when(odd, bare).otherwise(F.replace(bare, F.lit('""'), F.lit('"')))
     mark = F.lit("\u0001")
     text = F.replace(single, F.lit("\\\\"), mark)
     for escape, plain in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\'", "'"), ('\\"', '"')):

@@ -2,27 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote, urlsplit
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def load_snapshot(spark: SparkSession, root: str, rev: int, glob: str = "*.py") -> DataFrame:
-    """(rev, path, content): every file below ``root`` that fits ``glob``, one row each. The glob is applied
-    while files are listed, so others are never opened. Empty files have no row, as Spark's file sources skip them; bytes that
-    are not UTF-8 become replacement characters."""
-    base = root.split("://")[-1].rstrip("/") + "/"
+    """(rev, path, content): every file below the folder ``root`` that fits ``glob``, one row each. The glob is applied
+    while files are listed, so others are never opened. Spark's file sources skip empty files; the listing that Spark
+    has made of the folder supplies them. Bytes that are not UTF-8 become replacement characters, and a byte order mark
+    is dropped."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    return found.select(
+    listed = spark.createDataFrame([(_plain_path(file),) for file in found.inputFiles()], "file string")
+    files = listed.join(found.select(_path_of(F.col("path")).alias("file"), "content"), "file", "left")
+    base = _plain_path(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()).rstrip("/") + "/"
+    text = F.make_valid_utf8(F.coalesce(F.col("content"), F.lit(b"")).cast("string"))
+    return files.select(
         F.lit(rev).cast("bigint").alias("rev"),
-        F.col("path").substr(F.instr("path", base) + len(base), F.char_length("path")).alias("path"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
+        F.when(F.startswith("file", F.lit(base)), F.substr("file", F.lit(len(base) + 1))).otherwise(F.col("file")).alias("path"),
+        F.regexp_replace(text, "^\ufeff", "").alias("content"),
     )
 
 
+def _plain_path(url: str) -> str:
+    """Path of a listed file without its store, percent signs undone."""
+    return unquote(urlsplit(url).path)
+
+
+def _path_of(path: Column) -> Column:
+    """The same for the path column of a file source, which is not percent-encoded."""
+    return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+
+
 def write_snapshot(sources: DataFrame, target: str, mode: str = "append") -> None:
-    """Write files as parquet, a folder per revision. Rows of a revision are spread over as many files as the
-    data has partitions, so one large revision is not one task."""
-    sources.write.mode(mode).partitionBy("rev").parquet(target)
+    """Write files as parquet, a folder per revision. Rows are dealt by revision first, so a small revision is one file
+    and not one per task; Spark splits those of a large revision over several tasks."""
+    sources.hint("rebalance", "rev").write.mode(mode).partitionBy("rev").parquet(target)
 
 
 def read_snapshot(spark: SparkSession, target: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from codeloom.operators.metrics import box_stats, failure_sample, success_ratio, success_report
+from codeloom.operators.metrics import box_stats, compare_runs, failure_sample, success_ratio, success_report
 
 ATTEMPTS = "success boolean, comment string"
 
@@ -27,6 +27,19 @@ def test_quartiles_of_a_hot_group(spark):
         assert max(abs(a - b) for a, b in zip((row.q1, row.median, row.q3), row.p)) < 1e-12
 
 
+def test_null_group_and_one_scan(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("a", None)], "g string, v double")
+    rows = {r.g: (r.n, r.min, r.median, r.max, r.whisker_high) for r in box_stats(df, "v", ["g"]).collect()}
+    assert rows == {None: (2, 1.0, 2.0, 3.0, 3.0), "a": (1, 5.0, 5.0, 5.0, 5.0)}
+
+
+def test_runs_in_order(spark):
+    scores = spark.createDataFrame([("run_b", 2.0), ("run_a", 1.0), (None, 4.0)], "run_id string, score double")
+    attempts = spark.createDataFrame([("run_b", True), ("run_a", False), (None, True), ("run_c", True)], "run_id string, success boolean")
+    rows = [(r.run_id, r.n, r.median_change, r.ratio_change) for r in compare_runs(scores, attempts).collect()]
+    assert sorted(rows, key=lambda r: r[0] or "") == [(None, 1, None, None), ("run_a", 1, -3.0, -1.0), ("run_b", 1, 1.0, 1.0), ("run_c", None, None, 0.0)]
+
+
 def test_whiskers(spark):
     df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 4, 5, 100]], "v double")
     row = box_stats(df, "v", []).first()

@@ -1,5 +1,5 @@
 from codeloom.sources.results import append_run, load_attempts, load_scores
-from codeloom.sources.snapshots import load_snapshot
+from codeloom.sources.snapshots import load_snapshot, read_snapshot, write_snapshot
 
 
 def test_snapshot_of_a_tree(spark, tmp_path):
@@ -8,8 +8,23 @@ def test_snapshot_of_a_tree(spark, tmp_path):
     (tmp_path / "top.py").write_bytes(b"a\xff\n")
     (tmp_path / "empty.py").write_text("")
     (tmp_path / "notes.txt").write_text("no")
-    rows = {r.path: (r.rev, r.content) for r in load_snapshot(spark, str(tmp_path), 7).collect()}
-    assert rows == {"pkg/a b+c/m.py": (7, "x = 'é'\n"), "top.py": (7, "a\ufffd\n")}
+    (tmp_path / "bom.py").write_text("\ufeffdef f(): pass\n")
+    inner = tmp_path / str(tmp_path).strip("/") / "deep%20é"
+    inner.mkdir(parents=True)
+    (inner / "m.py").write_text("y\n")
+    want = {
+        "pkg/a b+c/m.py": "x = 'é'\n", "top.py": "a\ufffd\n", "empty.py": "", "bom.py": "def f(): pass\n",
+        f"{str(tmp_path).strip('/')}/deep%20é/m.py": "y\n",
+    }
+    for root in (str(tmp_path), f"{tmp_path}/", f"file://{tmp_path}"):
+        assert {r.path: (r.rev, r.content) for r in load_snapshot(spark, root, 7).collect()} == {p: (7, c) for p, c in want.items()}
+
+
+def test_snapshot_writes_few_files(spark, tmp_path):
+    rows = spark.range(400, numPartitions=16).selectExpr("id % 4 AS rev", "concat('p', id) AS path", "repeat('x', 50) AS content")
+    write_snapshot(rows, str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").rglob("part-*.parquet"))) <= 8
+    assert read_snapshot(spark, str(tmp_path / "t")).count() == 400
 
 
 def test_scores(spark, tmp_path):
@@ -30,7 +45,11 @@ def test_attempts(spark, tmp_path):
     }.items():
         (tmp_path / run).mkdir()
         (tmp_path / run / "success_rate.csv").write_text(text)
+    (tmp_path / "3").mkdir()
+    (tmp_path / "3" / "success_rate.csv").write_text("True, '\"\"\"Doc.\"\"\"'\nTrue, 'x = \"\" and \"'\n")
     rows = sorted((r.run_id, r.success, r.comment) for r in load_attempts(spark, str(tmp_path)).collect())
+    assert rows[2:] == [("3", True, '"""Doc."""'), ("3", True, 'x = "" and "')]
+    rows = rows[:2]
     assert rows == [("1", False, "it's \\n"), ("1", True, '"""\nDoc, it\'s\n"""')]
 
 
