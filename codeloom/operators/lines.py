@@ -20,15 +20,31 @@ def cluster_files(sources: DataFrame) -> DataFrame:
     return sources.repartition(*FILE_KEY)
 
 
-def explode_lines(sources: DataFrame, content: str = "content") -> DataFrame:
-    """(path, rev, ln, text): one row per line, counted from 1."""
+def explode_lines(sources: DataFrame, content: str = "content", ends: bool = False) -> DataFrame:
+    """(path, rev, ln, text): one row per line, counted from 1. With ``ends`` also ``eol``, what ends the line: a break of
+    either kind or nothing. An empty file then has one row without an end, so that ``assemble_files`` gives back every
+    file as it was."""
+    if ends:
+        pieces = F.regexp_extract_all(F.col(content), F.lit("[^\n]*\n|[^\n]+"), F.lit(0))
+        whole = F.when(F.col(content) == "", F.array(F.lit(""))).otherwise(pieces)
+        rows = sources.select(*FILE_KEY, F.posexplode(whole).alias("_pos", "_line"))
+        text = F.regexp_replace("_line", "\r?\n\\z", "")
+        return rows.select(
+            *FILE_KEY, (F.col("_pos") + 1).alias("ln"), text.alias("text"),
+            F.substr("_line", F.char_length(text) + 1).alias("eol"),
+        )
     return sources.select(*FILE_KEY, F.posexplode(line_array(F.col(content))).alias("_pos", "text")).select(
         *FILE_KEY, (F.col("_pos") + 1).alias("ln"), "text"
     )
 
 
 def assemble_files(lines: DataFrame, order: str = "ln", final_newline: bool = False) -> DataFrame:
-    """(path, rev, content) from line rows; the inverse of ``explode_lines``."""
+    """(path, rev, content) from line rows; the inverse of ``explode_lines`` if they have their ends. Lines without ``eol``
+    are joined by line breaks, and ``final_newline`` adds one to every file."""
+    if "eol" in lines.columns:
+        pieces = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.concat("text", "eol").alias("t"))))
+        whole = F.array_join(F.transform(pieces, lambda row: row["t"]), "")
+        return lines.groupBy(*FILE_KEY).agg(whole.alias("content"))
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t"))))
     content = F.array_join(F.transform(rows, lambda row: row["t"]), "\n")
     if final_newline:

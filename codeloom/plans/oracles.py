@@ -113,7 +113,7 @@ box AS (
          min({value}) FILTER (WHERE {value} >= q1 - 1.5 * (q3 - q1)) AS whisker_low,
          max({value}) FILTER (WHERE {value} <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
          count(*) FILTER (WHERE {value} < q1 - 1.5 * (q3 - q1) OR {value} > q3 + 1.5 * (q3 - q1)) AS n_outliers
-  FROM {table} t JOIN quart q ON q.g = t.{group} GROUP BY ALL)
+  FROM {table} t JOIN quart q ON q.g IS NOT DISTINCT FROM t.{group} GROUP BY ALL)
 """
 
 
@@ -155,7 +155,7 @@ ORACLES: dict[str, str] = {
         FROM file""",
     "src_supported": f"""WITH {_FN} SELECT path, rev, CASE WHEN path LIKE '%.py' THEN 'python' ELSE 'java' END AS language
         FROM file WHERE path NOT LIKE '%.txt' AND path <> 'economy/m0/brand_2.py'""",
-    "src_lines": f"""WITH {_FN}, s AS (SELECT path, rev, string_split(content[:-2], chr(10)) AS a FROM file WHERE rev < 2)
+    "src_lines": f"""WITH {_FN}, s AS (SELECT path, rev, string_split(content[:-2], chr(10)) AS a FROM file)
         SELECT path, rev, unnest(range(1, len(a) + 1))::INTEGER AS ln, unnest(a) AS text FROM s""",
     "src_round_trip": f"WITH {_FN} SELECT path, rev, md5(content) AS content_md5 FROM file",
     "src_file_changes": f"""WITH {_FN}, o AS (SELECT * FROM file WHERE rev = 0), n AS (SELECT * FROM file WHERE rev = 1)
@@ -213,7 +213,7 @@ ORACLES: dict[str, str] = {
         FROM py n JOIN py o ON o.k = n.k AND o.path = n.path WHERE n.rev = 1 AND o.rev = 0 AND n.doc <> o.doc""",
     "src_comment_pairs": f"""WITH {_FN}, {_ASKED} SELECT path, key AS code, doc AS original_comment, new_doc AS agent_comment
         FROM documented WHERE path LIKE '%.py' AND doc <> new_doc""",
-    "src_snapshot": f"WITH {_FN} SELECT rev, path, md5(content) AS content_md5 FROM file WHERE rev < 3",
+    "src_snapshot": f"WITH {_FN} SELECT rev, path, md5(content) AS content_md5 FROM file",
     "load_snapshot_files": f"WITH {_FN} SELECT 0::BIGINT AS rev, path, md5(content || chr(10)) AS content_md5 FROM pyfile WHERE rev = 0",
     "pair_jaccard": f"""WITH {_PAIR}, d AS (SELECT conv_id, turn, list_distinct(wa) AS x, list_distinct(wb) AS y FROM words)
         SELECT conv_id, turn, round(coalesce(len(list_intersect(x, y)) / nullif(len(list_distinct(list_concat(x, y))), 0), 0.0), 6) AS score FROM d""",
@@ -236,6 +236,8 @@ ORACLES: dict[str, str] = {
         SELECT e.vec_id, f.first_id, round(list_cosine_similarity(e.embedding::DOUBLE[], g.embedding::DOUBLE[]), 6) AS score
         FROM embeddings e JOIN f USING (label) JOIN embeddings g ON g.vec_id = f.first_id""",
     "box_stats": f"WITH {_box('value', 'event_type', 'events')} SELECT g AS event_type, n, {_rounded(*_SIX)}, n_outliers FROM box",
+    "box_stats_null_group": f"""WITH {_box('l_extendedprice', 'line', '(SELECT nullif(l_linenumber, 2) AS line, l_extendedprice FROM lineitem)')}
+        SELECT g AS line, n, {_rounded(*_SIX)}, n_outliers FROM box""",
     "success_ratio": f"""WITH {_LABELLED} SELECT source, count(*) AS total, count(*) FILTER (WHERE success) AS successes,
         round(count(*) FILTER (WHERE success) / count(*), 6) AS ratio FROM labelled GROUP BY source""",
     "failure_sample": f"""WITH {_LABELLED} SELECT row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id)::INTEGER AS pick, doc_id, source

@@ -153,12 +153,12 @@ def src_supported(spark, sf_dir):
 
 @query
 def src_lines(spark, sf_dir):
-    return explode_lines(sources(spark, sf_dir, 0, 1))
+    return explode_lines(sources(spark, sf_dir))
 
 
 @query
 def src_round_trip(spark, sf_dir):
-    return content_md5(assemble_files(explode_lines(sources(spark, sf_dir)), final_newline=True))
+    return content_md5(assemble_files(explode_lines(sources(spark, sf_dir), ends=True)))
 
 
 @query
@@ -336,7 +336,7 @@ def src_update(spark, sf_dir):
 def src_match_pairs(spark, sf_dir):
     original = function_doc_pairs(functions(python_sources(spark, sf_dir, 0)))
     generated = function_doc_pairs(functions(python_sources(spark, sf_dir, 1)))
-    return score.match_pairs(generated, original)
+    return score.match_pairs(generated, original, ["path"])
 
 
 @query
@@ -350,7 +350,7 @@ def src_comment_pairs(spark, sf_dir):
 def src_snapshot(spark, sf_dir):
     target = scratch_dir(spark, "snapshot")
     write_snapshot(sources(spark, sf_dir, 0, 1), target)
-    write_snapshot(sources(spark, sf_dir, 2), target)
+    write_snapshot(sources(spark, sf_dir, 2, 3), target)
     return content_md5(read_snapshot(spark, target))
 
 
@@ -429,6 +429,13 @@ def box_stats(spark, sf_dir):
     return rounded(stats, "min", "q1", "median", "q3", "max", "whisker_low", "whisker_high")
 
 
+@query
+def box_stats_null_group(spark, sf_dir):
+    grouped = table(spark, sf_dir, "lineitem").selectExpr("nullif(l_linenumber, 2) AS line", "l_extendedprice")
+    stats = metrics.box_stats(grouped, "l_extendedprice", ["line"])
+    return rounded(stats, "min", "q1", "median", "q3", "max", "whisker_low", "whisker_high")
+
+
 @query
 def success_ratio(spark, sf_dir):
     return rounded(metrics.success_ratio(labelled(spark, sf_dir), ["source"]), "ratio")

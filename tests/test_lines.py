@@ -1,3 +1,5 @@
+import random
+
 from codeloom.operators.lines import apply_edits, assemble_files, explode_lines
 
 
@@ -7,6 +9,14 @@ def test_round_trip(files):
     assert got == {p: t.removesuffix("\n") for p, t in texts.items()}
 
 
+def test_round_trip_with_ends(files):
+    rng = random.Random(6)
+    texts = {f"t{k}": "".join(rng.choice(["a", "\n", "\r\n", "\r", " ", "é"]) for _ in range(rng.randint(0, 12))) for k in range(200)}
+    texts |= {"empty": "", "break": "\n", "none": "x", "dos": "x\r\ny\r\n"}
+    lines = explode_lines(files(**texts), ends=True)
+    assert {r.path: r.content for r in assemble_files(lines).collect()} == texts
+
+
 def test_line_numbers(files):
     rows = explode_lines(files(a="x\r\ny\n", empty="")).orderBy("path", "ln").collect()
     assert [(r.path, r.ln, r.text) for r in rows] == [("a", 1, "x"), ("a", 2, "y")]
