@@ -44,7 +44,8 @@ def strip_changed_comments(pairs: DataFrame, mode: str = "aligned") -> DataFrame
 
 def restore_comments(pairs: DataFrame) -> DataFrame:
     """The cleaned (new) contents with those doc lines of the old side put back that are missing from them, for
-    functions of the old side that changed and are still present. No line break at the end.
+    functions of the old side that are still present, told by their names behind those of the classes and functions
+    around them. No line break at the end.
 
     A missing line goes behind the line that the last kept line before it became: a line with k kept lines
     before it on the old side follows the k-th kept line of the new side.
@@ -53,16 +54,20 @@ def restore_comments(pairs: DataFrame) -> DataFrame:
         F.expr(f"array_sort(collect_list(ln) FILTER (WHERE side = {OLD})) AS gone"),
         F.expr(f"array_sort(collect_list(ln) FILTER (WHERE side = {NEW})) AS come"),
     )
-    old_fns = functions(cluster_files(old_side(pairs))).groupBy(*FILE_KEY).agg(
-        F.expr("collect_list(struct(key, indent, doc_start_ln, doc_end_ln, false AS present)) AS old_fns")
+    def named(side: DataFrame) -> DataFrame:
+        fns = functions(cluster_files(side), qualified=True)
+        return fns.withColumn("base", F.regexp_replace("qualname", "#[0-9]+$", ""))
+
+    old_fns = named(old_side(pairs)).groupBy(*FILE_KEY).agg(
+        F.expr("collect_list(struct(base, doc_start_ln, doc_end_ln, false AS present)) AS old_fns")
     )
-    new_fns = functions(cluster_files(new_side(pairs))).groupBy(*FILE_KEY).agg(
-        F.expr("collect_list(struct(key, indent, int(null) AS doc_start_ln, int(null) AS doc_end_ln, true AS present)) AS new_fns")
+    new_fns = named(new_side(pairs)).groupBy(*FILE_KEY).agg(
+        F.expr("collect_list(struct(base, int(null) AS doc_start_ln, int(null) AS doc_end_ln, true AS present)) AS new_fns")
     )
     docs = (
         old_fns.join(new_fns, FILE_KEY)
         .selectExpr(*FILE_KEY, "inline(concat(old_fns, new_fns))")
-        .groupBy(*FILE_KEY, "key", "indent")
+        .groupBy(*FILE_KEY, "base")
         .agg(
             F.expr("bool_or(present) AS present"),
             F.expr("collect_list(struct(doc_start_ln, doc_end_ln)) FILTER (WHERE doc_start_ln IS NOT NULL) AS docs"),

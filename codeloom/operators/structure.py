@@ -190,7 +190,7 @@ def functions(sources: DataFrame, qualified: bool = False) -> DataFrame:
 
     (path, rev, fn_id, name, key, is_async, indent, start_ln, header_end_ln, end_ln, doc_start_ln, doc_end_ln,
     doc, doc_tail); ``fn_id`` numbers the functions of a file, ``doc_tail`` is what follows a doc in its last line.
-    ``qualified`` adds ``qualname``: name after that of its class or function, copies numbered.
+    ``qualified`` adds ``qualname``: the name behind those of all classes and functions around it, copies numbered.
 
     A statement at indent i ends every block whose indent lies between i and the previous statement's, so one
     row per level it ends is enough to find the end of each function in a single ordered pass. Statements that
@@ -220,12 +220,7 @@ def functions(sources: DataFrame, qualified: bool = False) -> DataFrame:
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS block_end""",
         )
     )
-    if qualified:
-        rows = rows.selectExpr(
-            "*",
-            f"""last(CASE WHEN what = '1 block' THEN ifnull(prev_name, '') END, true)
-                 OVER ({level}, what ROWS UNBOUNDED PRECEDING) AS owner""",
-        )
+    owners = _owners(rows) if qualified else None
     rows = rows.where("what IN ('2 def', '3 comment', '3 string', '4 header')")
 
     at_def = "FILTER (WHERE what = '2 def')"
@@ -242,8 +237,6 @@ def functions(sources: DataFrame, qualified: bool = False) -> DataFrame:
         f"ifnull(bool_and(what = '3 comment' OR doc_first OR string_next) {is_doc}, false) AS doc_ok",
         f"array_sort(collect_list({piece}) {is_doc}) AS doc_lines",
     ]
-    if qualified:
-        aggs.append(f"max(owner) {at_def} AS owner")
     found = rows.groupBy(*FILE_KEY, "fn_id").agg(*[F.expr(a) for a in aggs])
     doc = """array_join(transform(doc_lines, (l, i) ->
                if(i = 0, ltrim(' \\t', l.part), concat(repeat('\\n', l.ln - doc_lines[i - 1].ln), l.part))), '')"""
@@ -264,13 +257,30 @@ def functions(sources: DataFrame, qualified: bool = False) -> DataFrame:
     ]
     if not qualified:
         return found.selectExpr(*out)
-    named = found.selectExpr(*out, "if(owner = '', name, concat(owner, '.', name)) AS base")
+    named = found.join(owners, [*FILE_KEY, "fn_id"]).selectExpr(*out, "concat_ws('.', owners, name) AS base")
     copy = f"row_number() OVER ({_FILE}, base ORDER BY start_ln)"
     return named.selectExpr("*", f"{copy} AS copy").selectExpr(
         "*", "if(copy = 1, base, concat(base, '#', copy)) AS qualname"
     ).drop("base", "copy")
 
 
+def _owners(rows: DataFrame) -> DataFrame:
+    """(path, rev, fn_id, owners): names of the classes and functions around each function, outermost first.
+
+    Blocks open in order: one at some level ends all that are as deep or deeper. Those left above a ``def`` are around it;
+    blocks that no class or function opened, as under ``if``, have no name.
+    """
+    events = "array_sort(collect_list(struct(ln, what, level, ifnull(prev_name, '') AS name, fn_id))) AS events"
+    opened = "concat(filter(s.open, b -> b.level < e.level), array(struct(e.level AS level, e.name AS name)))"
+    around = "transform(filter(s.open, b -> b.level <= e.level AND b.name <> ''), b -> b.name)"
+    start = """struct(cast(array() AS array<struct<level: int, name: string>>) AS open,
+                      cast(array() AS array<struct<fn_id: bigint, owners: array<string>>>) AS found)"""
+    fold = f"""aggregate(events, {start}, (s, e) -> if(e.what = '1 block', struct({opened} AS open, s.found AS found),
+               struct(s.open AS open, concat(s.found, array(struct(e.fn_id AS fn_id, {around} AS owners))) AS found)), s -> s.found)"""
+    grouped = rows.where("what IN ('1 block', '2 def')").groupBy(*FILE_KEY).agg(F.expr(events))
+    return grouped.selectExpr(*FILE_KEY, f"inline({fold})")
+
+
 def function_spans(sources: DataFrame) -> DataFrame:
     """(path, rev, fn_id, name, is_async, indent, start_ln, end_ln)."""
     return functions(sources).select(*FILE_KEY, "fn_id", "name", "is_async", "indent", "start_ln", "end_ln")

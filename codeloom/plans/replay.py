@@ -13,7 +13,7 @@ from codeloom.operators.generate import DEFAULT_TEMPLATE, TextModel, map_generat
 from codeloom.operators.lines import FILE_KEY, cluster_files
 from codeloom.operators.revisions import as_of_snapshot, commit_range, filter_supported, previous_revision
 from codeloom.operators.rewrite import strip_comments
-from codeloom.operators.skew import BLOCK_SPAN, block_of, with_latest
+from codeloom.operators.skew import BLOCK_SPAN, block_of, with_latest, with_previous
 from codeloom.operators.structure import changed_functions, functions, with_code
 from codeloom.session import materialize
 
@@ -61,5 +61,17 @@ def replay_history(
     )
     accepted = events.where("success").select(*FILE_KEY, "qualname", "comment")
     known = fns.select(*FILE_KEY, "qualname", "key").join(accepted, [*FILE_KEY, "qualname"], "left")
-    docs = with_latest(known, ["path", "qualname"], "rev", "comment", block_of("rev", span), "doc")
+    docs = current_docs(known, bare.select(*FILE_KEY), span)
     return Replay(events, docs.select(*FILE_KEY, "qualname", "key", "doc"))
+
+
+def current_docs(known: DataFrame, files: DataFrame, span: int = BLOCK_SPAN) -> DataFrame:
+    """Add ``doc``, the last accepted comment of a function at or before each revision of its file, to rows (path, rev,
+    qualname, comment, …). A function that the revision before lacks is a new one and starts without a doc."""
+    block = block_of("rev", span)
+    steps = with_previous(files, ["path"], "rev", ["rev"], block, "_step").select(*FILE_KEY, F.col("_step.rev").alias("_before"))
+    seen = with_previous(known, ["path", "qualname"], "rev", ["rev"], block, "_own").join(steps, FILE_KEY)
+    stays = F.col("_own.rev").eqNullSafe(F.col("_before")) & F.col("_before").isNotNull()
+    told = F.when(F.col("comment").isNotNull() | ~stays, F.struct("comment"))
+    latest = with_latest(seen.withColumn("_told", told), ["path", "qualname"], "rev", "_told", block, "_doc")
+    return latest.withColumn("doc", F.col("_doc.comment")).drop("_own", "_before", "_told", "_doc")

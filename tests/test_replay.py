@@ -2,6 +2,7 @@
 
 import ast
 import random
+import re
 
 from codeloom.plans.replay import replay_history
 
@@ -17,9 +18,10 @@ def histories(rng, paths, revs):
     rows = []
     for p in range(paths):
         functions = [(f"f{p}_{i}", rng.randint(1000, 9999), rng.choice([None, f"doc {i}"])) for i in range(4)]
+        gone = []
         for rev in range(revs):
             rows.append((rev, f"p{p}.py", text_of(functions)))
-            step = rng.choice(["body", "doc", "new", "drop", "none"])
+            step = rng.choice(["body", "doc", "new", "drop", "drop", "back", "back", "none"])
             at = rng.randrange(len(functions)) if functions else 0
             if step == "body" and functions:
                 functions[at] = (functions[at][0], rng.randint(1000, 9999), functions[at][2])
@@ -28,10 +30,18 @@ def histories(rng, paths, revs):
             elif step == "new":
                 functions.insert(at, (f"n{p}_{rev}", rng.randint(1000, 9999), "new"))
             elif step == "drop" and len(functions) > 1:
-                functions.pop(at)
+                gone.append(functions.pop(at))
+            elif step == "back" and gone:
+                name, _, doc = gone.pop()
+                functions.append((name, rng.randint(1000, 9999), doc))
     return rows
 
 
+def rejected(code):
+    """A third of the answers is no valid doc."""
+    return int(re.search(r"x \+ (\d+)", code)[1]) % 3 == 0
+
+
 def bare_functions(text):
     found = {}
     for node in ast.parse(text).body:
@@ -54,7 +64,9 @@ def loop(rows, base):
                 for name, code in now.items():
                     if before is None or before.get(name) != code:
                         asked.add((path, rev, name))
-                        current[name] = f'"""{name} at {rev}"""'
+                        if not rejected(code):
+                            current[name] = f'"""{name} at {rev}"""'
+            current = {name: doc for name, doc in current.items() if name in now}
             if rev >= base:
                 docs.update({(path, rev, name): current.get(name) for name in now})
             before = now
@@ -62,21 +74,24 @@ def loop(rows, base):
 
 
 def test_replay_equals_the_loop(spark):
-    rows = histories(random.Random(11), paths=12, revs=6)
+    rows = histories(random.Random(11), paths=30, revs=8)
     sources = spark.createDataFrame(rows, "rev bigint, path string, content string")
-    commits = spark.range(6).selectExpr("id AS rev")
+    commits = spark.range(8).selectExpr("id AS rev")
 
     def factory():
+        import re
+
         def model(prompts):
-            return ['"""' + p.split("(")[0].removeprefix("def ") + '"""' for p in prompts]
+            rejected = lambda p: int(re.search(r"x \+ (\d+)", p)[1]) % 3 == 0
+            return ["def no(): pass" if rejected(p) else '"""' + p.split("(")[0].removeprefix("def ") + '"""' for p in prompts]
 
         return model
 
-    replay = replay_history(sources, commits, 0, 5, factory, template="{code}", span=2)
+    replay = replay_history(sources, commits, 0, 7, factory, template="{code}", span=2)
     asked, docs = loop(rows, base=1)
     events = {(r.path, r.rev, r.qualname): r.comment for r in replay.events.collect()}
     assert set(events) == asked
-    assert all(r.success for r in replay.events.collect())
+    assert {r.success for r in replay.events.collect()} == {True, False}
     got = {(r.path, r.rev, r.qualname): r.doc for r in replay.docs.collect()}
     named = {k: v and '"""' + v[3:].split(" ")[0] + '"""' for k, v in docs.items()}
     assert got == named

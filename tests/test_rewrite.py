@@ -65,3 +65,10 @@ def test_insert_then_strip_is_strip(files):
     documented = apply_insertions(source, slots, gap_line=False)
     assert content(strip_comments(documented)) == content(strip_comments(source))
     assert "    \n" in content(apply_insertions(source, slots))["f"]
+
+
+def test_restore_tells_methods_of_classes_apart(pairs):
+    old = 'class A:\n    def __init__(self):\n        """Of A."""\n        self.x = 1\n\nclass B:\n    def __init__(self):\n        """Of B."""\n        self.y = 2\n'
+    new = 'class B:\n    def __init__(self):\n        self.y = 2\n'
+    (row,) = restore_comments(pairs(m=(old, new))).collect()
+    assert row.content == 'class B:\n    def __init__(self):\n        """Of B."""\n        self.y = 2'

@@ -81,7 +81,7 @@ def joined():
 
 def test_quirks(files):
     rows = {r.qualname: r for r in functions(files(f=QUIRKS), qualified=True).collect()}
-    assert set(rows) == {"decorated", "g", "one_line", "C.m", "m.inner", "C.m#2", "joined"}
+    assert set(rows) == {"decorated", "g", "one_line", "C.m", "C.m.inner", "C.m#2", "joined"}
     decorated = rows["decorated"]
     assert (decorated.start_ln, decorated.header_end_ln, decorated.end_ln) == (2, 4, 7)
     assert decorated.doc == "# first\n    # second"
@@ -89,11 +89,36 @@ def test_quirks(files):
     assert rows["g"].doc == "\'\'\'Holds \"\"\" and # signs\n    over two lines\'\'\'"
     assert (rows["one_line"].start_ln, rows["one_line"].end_ln, rows["one_line"].doc) == (17, 17, None)
     assert (rows["C.m"].end_ln, rows["C.m"].doc) == (27, "'single'")
-    assert (rows["m.inner"].start_ln, rows["m.inner"].end_ln) == (22, 26)
+    assert (rows["C.m.inner"].start_ln, rows["C.m.inner"].end_ln) == (22, 26)
     assert (rows["C.m#2"].doc, rows["C.m#2"].doc_tail) == ('r"""raw"""', "  # tail")
     assert rows["joined"].doc is None
 
 
+CHAINS = """class A:
+    if True:
+        def f(self):
+            pass
+    class B:
+        def f(self):
+            def g():
+                pass
+            return g
+if True:
+    def f():
+        pass
+class D:
+  class B:
+     async def f(self): pass
+  def f(self): pass
+def f(): pass
+"""
+
+
+def test_names_of_all_owners(files):
+    names = [r.qualname for r in functions(files(f=CHAINS), qualified=True).orderBy("start_ln").collect()]
+    assert names == ["A.f", "A.B.f", "A.B.f.g", "f", "D.B.f", "D.f", "f#2"]
+
+
 def test_suspect_files_are_flagged(files):
     rows = logical_lines(files(good="x = (1,\n  2)\n", open_bracket="x = (1\n", open_quote='x = """a\ny = 1\n')).collect()
     assert {r.path: r.suspect for r in rows} == {"good": False, "open_bracket": True, "open_quote": True}
