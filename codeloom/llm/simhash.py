@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import stored, text_of
 from codeloom.llm.components import components
+from codeloom.operators.skew import hot_split_join
 
 SHINGLE = 4
 RADIUS = 4
@@ -183,7 +184,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = linked.join(least, "root").select("fp", "component_id")
     of_class = classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    # One print may hold a third of all rows: such rows are spread over many tasks.
+    return hot_split_join(marked, of_class, ["fp"], ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
