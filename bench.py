@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from codeloom.plans.queries import QUERIES
@@ -29,6 +30,7 @@ def main() -> None:
         "codeloom-bench",
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory="12g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="codeloom-bench-"),
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )
