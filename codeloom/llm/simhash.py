@@ -191,7 +191,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one document of each group: that of the smallest doc_id. Of rows that share this doc_id one stays,
     by the smallest hash of the text; rows without a doc_id cannot be told apart and stay."""
-    marked = near_duplicates(docs, **settings)
+    return least_of_each(docs, near_duplicates(docs, **settings))
+
+
+def least_of_each(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """``docs`` that are the smallest of their component in ``marked`` (doc_id, component_id), and those without a doc_id."""
     kept = marked.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.min("component_id").alias("_least"), F.count(F.lit(1)).alias("_rows")
     ).where("_least = doc_id")
