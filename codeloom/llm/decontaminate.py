@@ -24,8 +24,8 @@ MASKS = ("11011011", "1110111", "110101101")
 ENOUGH = 13
 FEWEST = 8
 
-#: A replaced word costs an overlap three equal ones, so an overlap goes on where every fifth word has been replaced.
-COST = 3
+#: A replaced word costs an overlap one and a half equal ones, so an overlap goes on where every third word has been replaced.
+COST = 1.5
 
 #: Words kept on either side of a hit, so that overlaps can be told whole or long enough.
 CONTEXT = 64
@@ -156,7 +156,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Texts are lower-cased words of letters, digits and underscores. Seeds of the texts and the items are joined by hash
     (texts first pass a filter of fixed size); each alignment that a hit proposes is compared word by word around it,
-    and stands if its best stretch, in which at most one word in four differs, has ``ENOUGH`` equal words, or four
+    and stands if its best stretch, in which at most two words in five differ, has ``ENOUGH`` equal words, or four
     fifths of an item that is shorter. First word and length are in words of the text.
 
     Null texts are empty and hold nothing. Repeated rows, and rows of one doc_id, are one document; null ids are one

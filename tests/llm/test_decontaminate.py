@@ -48,6 +48,15 @@ def test_substitutions(spark, texts):
     assert {(r.first, r.n_words, r.n_equal) for r in got if r.doc_id == 0} == {(50, 40, 40)}
 
 
+def test_every_third_and_fourth_word_replaced(spark, texts):
+    item = [f"w{k}" for k in range(40)]
+    swapped = lambda n, at: " ".join(f"new{k}" if k % n == at else w for k, w in enumerate(item))
+    docs = texts(*(f"before {swapped(n, at)} after" for n in (3, 4) for at in range(n)), swapped(2, 1))
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    got = {r.doc_id: r.n_equal for r in D.overlaps(docs, items).collect()}
+    assert set(got) == set(range(7)) and min(got.values()) >= 26
+
+
 def test_odd(odd, none, sf):
     items = odd.selectExpr("doc_id AS item_id", "text")
     got = {r.doc_id for r in D.overlaps(odd, items).collect()}
