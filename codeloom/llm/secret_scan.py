@@ -27,8 +27,13 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 
 JWT = re.compile(r"(?<![A-Za-z0-9_-])e[A-Za-z0-9_-]{9,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}|[0-9A-F]{64,})(?![0-9A-Za-z])")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?([0-9A-Fa-f]{64,})(?![0-9A-Za-z])")
+
+#: How base64 of a sequence, of a public key's first field and of a private key file begins.
+BEGINNINGS = ("M", "AAAA", "b3BlbnNzaC1rZXktdjEA")
 
 SSH_MARK = b"openssh-key-v1\0"
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
@@ -80,8 +85,9 @@ def nested(data: bytes, start: int, end: int, depth: int = 0) -> list[int] | Non
 
 
 def is_der_key(data: bytes) -> bool:
-    """Private keys: a sequence that begins with a small version and holds integers, an algorithm or octets; and
-    public keys: an algorithm identifier and a bit string. Lengths must nest exactly."""
+    """Private keys: a sequence that begins with a small version and holds integers, an algorithm or octets; encrypted
+    ones: an algorithm identifier and octets; public keys: an algorithm identifier and a bit string. Lengths must nest
+    exactly."""
     found = element(data, 0, len(data))
     if found is None or found[0] != 0x30 or found[2] != len(data):
         return False
@@ -90,6 +96,9 @@ def is_der_key(data: bytes) -> bool:
         return False
     version = tags[0] == 2 and data[found[1] + 1] == 1 and data[found[1] + 2] <= 3
     private = version and (tags[:9] == [2] * 9 or tags[:6] == [2] * 6 or tags[1:3] == [0x30, 4] or tags[1:2] == [4])
+    if tags == [0x30, 4]:
+        inner = element(data, found[1], found[2])
+        return inner is not None and inner[1] < inner[2] and data[inner[1]] == 6
     return private or (tags == [0x30, 3] and data[found[1]] == 0x30)
 
 
@@ -114,6 +123,34 @@ def is_ssh_key(data: bytes) -> bool:
     return len(fields) >= 2 and fields[0] in SSH_NAMES
 
 
+def wrapped_spans(text: str) -> list[tuple[int, int, int]]:
+    """Keys whose base64 goes on over several lines, whatever lines stand before and after."""
+    spans = []
+    for m in WRAPPED.finditer(text):
+        lines, k = list(LINE.finditer(text, m.start(), m.end())), 0
+        while k < len(lines):
+            end = k + 1
+            head = (decoded(lines[k][0][:40].rstrip("=")) or b"") if lines[k][0].startswith(BEGINNINGS) else b""
+            if head[:1] == b"\x30" and len(head) > 5 or head.startswith(SSH_MARK) or head[4:].startswith(SSH_NAMES):
+                n = head[1] & 0x7F if head[1] & 0x80 else 0
+                size = 0 if head[0] != 0x30 else 2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + head[1]
+                chars = len(lines[k][0])
+                for j in range(k + 1, len(lines)):
+                    chars += len(lines[j][0].rstrip("="))
+                    if chars * 3 // 4 < size:
+                        continue
+                    if head[0] == 0x30 and chars * 3 // 4 > size:
+                        break
+                    data = decoded("".join(x[0] for x in lines[k : j + 1]))
+                    kind = None if data is None else 5 if is_der_key(data) else 6 if is_ssh_key(data) else None
+                    if kind:
+                        spans.append((lines[k].start(), kind, lines[j].end()))
+                        end = j + 1
+                        break
+            k = end
+    return spans
+
+
 def is_signed_token(text: str) -> bool:
     """A header that decodes to a JSON object naming its algorithm, and a payload that decodes."""
     head, payload, _ = text.split(".", 2)
@@ -157,12 +194,13 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
             kind = 5 if is_der_key(data) else 6 if is_ssh_key(data) else None
             if kind:
                 spans.append((m.start(), kind, m.end()))
+    spans += [s for s in wrapped_spans(text) if not any(a <= s[0] < b for a, b in inside)]
     for m in HEX_RUN.finditer(text):
-        if len(m[0]) % 2 == 0:
-            data = bytes.fromhex(m[0])
+        if len(m[1]) % 2 == 0:
+            data = bytes.fromhex(m[1])
             kind = 5 if is_der_key(data) else 6 if is_ssh_key(data) else None
             if kind:
-                spans.append((m.start(), kind, m.end()))
+                spans.append((m.start(1), kind, m.end()))
     return spans
 
 

@@ -77,3 +77,22 @@ def test_structures(texts):
     flat = url(b'{"typ":"JWT"}') + ".e30." + url(bytes(32))
     bad = [b64(cut), b64(long), cut.hex(), b64(SSH[:-1]), flat, b64(bytes(200)), "-----BEGIN X-----\nAAAA\n-----END X-----", jwt.replace("ey", "xx", 1), "A" * 5000]
     assert [r.n_confirmed for r in S.find_secrets(texts(*bad)).collect()] == [0] * len(bad)
+
+
+def test_assigned_wrapped_and_encrypted_keys():
+    scheme = der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + der(0x30, der(4, bytes(8))))
+    sealed = der(0x30, scheme + der(4, bytes(range(200))))
+    for before in ("PRIVATE_KEY=", "?key=", "SSH_KEY="):
+        for kind, form in ((5, b64(RSA)), (6, b64(SSH)), (5, RSA.hex()), (5, b64(sealed))):
+            n = len(before)
+            assert (n, kind, n + len(form)) in S.confirmed_spans(before + form)
+    mixed = RSA.hex()[:40] + RSA.hex()[40:].upper()
+    assert (2, 5, 2 + len(mixed)) in S.confirmed_spans("0x" + mixed)
+    for kind, data in ((5, RSA), (5, PKCS8), (6, OPENSSH)):
+        for end in ("\n", "\r\n  "):
+            form = end.join(re.findall(".{1,64}", b64(data)))
+            text = f"anidentifieroftwentyletters\n{form}\nafter"
+            assert (28, kind, 28 + len(form)) in S.confirmed_spans(text)
+    pem = f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{b64(sealed)}\n-----END ENCRYPTED PRIVATE KEY-----"
+    assert S.confirmed_spans(pem) == [(0, 4, len(pem))]
+    assert S.confirmed_spans("KEY=" + b64(der(0x30, der(0x30, der(2, b"\1")) + der(4, bytes(90))))) == []
