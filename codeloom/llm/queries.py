@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bitplanes, decontaminate, mixing, page_crf, pair_ranking, pseudonyms, quality_rules, secret_scan, simhash, toxicity
-from codeloom.llm.common import table
+from codeloom.llm import (
+    bitplanes,
+    decontaminate,
+    lexical,
+    merkle,
+    mixing,
+    page_crf,
+    pair_ranking,
+    pseudonyms,
+    quality_rules,
+    secret_scan,
+    sharding,
+    simhash,
+    toxicity,
+)
+from codeloom.llm.common import table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -77,3 +91,30 @@ def op8_pair_ranking(spark, sf_dir):
 @query
 def op9_page_crf(spark, sf_dir):
     return page_crf.main_texts(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_merkle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = merkle.merkle_manifest(docs, merkle.lowered_fifth(docs))
+    return rows.select("doc_id", "source", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query
+def op12_sharding(spark, sf_dir):
+    rows = sharding.shuffled_shards(table(spark, sf_dir, "documents"))
+    text = text_of("row.text")
+    return rows.select(
+        "row.doc_id",
+        (F.octet_length(text) + 16).cast("bigint").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op13_lexical(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
