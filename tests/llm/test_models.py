@@ -1,5 +1,9 @@
 """Held-out accuracy of what is learned, and its corners."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +12,6 @@ from codeloom.llm import page_crf as C
 from codeloom.llm import pair_ranking as R
 from codeloom.llm import toxicity as T
 
-INSULTS = "trash|worthless|moron|loser|pathetic|idiot|disgusting|stupid|scum|clown"
-
-
 def test_quality_held_out(sf):
     rows = R.quality_scores(sf("documents", "sf0.1"), sf("labels", "sf0.1")).select("row.doc_id", "held_out", "score")
     assert rows.count() == 10000 and rows.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
@@ -18,15 +19,26 @@ def test_quality_held_out(sf):
     assert right.agg(F.avg("r")).first()[0] > 0.97
 
 
+def held_out_hits(docs, labels):
+    """(lang, toxic, share of rows predicted toxic, rows) of the held-out fold."""
+    rows = T.toxicity_scores(docs, labels).select("row.doc_id", "row.lang", "held_out", (F.col("score") >= 0.5).cast("int").alias("hit"))
+    assert rows.count() == docs.count()
+    marked = rows.where("held_out").join(labels, "doc_id")
+    return {(r.lang, r.toxic): r for r in marked.groupBy("lang", "toxic").agg(F.avg("hit").alias("hit"), F.count("*").alias("n")).collect()}
+
+
 def test_toxic_held_out(sf):
-    docs, labels = sf("documents", "sf0.1"), sf("labels", "sf0.1")
-    rows = T.toxicity_scores(docs, labels).select("row.doc_id", "row.text", "held_out", "score")
-    assert rows.count() == 10000
-    marked = rows.where("held_out").join(labels, "doc_id").withColumn("hit", F.col("score") >= 0.5)
-    # Labels of texts without a telling word cannot be learned from the text.
-    told = marked.where(f"toxic = 1 AND lower(text) RLIKE '\\\\b({INSULTS})\\\\b'").agg(F.avg(F.col("hit").cast("int"))).first()[0]
-    clean = marked.where("toxic = 0").agg(F.avg(F.col("hit").cast("int"))).first()[0]
-    assert told > 0.85 and clean < 0.02
+    found = held_out_hits(sf("documents", "sf0.1"), sf("labels", "sf0.1"))
+    for (lang, toxic), r in found.items():
+        assert r.hit >= 0.8 if toxic else r.hit <= 0.05, (lang, toxic, r)
+    assert {lang for lang, toxic in found if toxic} == {"en", "de", "es", "fr"}
+
+
+def test_toxic_held_out_of_few(sf):
+    """Some 240 labelled documents fill the models, of them some 30 toxic ones."""
+    found = held_out_hits(sf("documents", "sf0.01"), sf("labels", "sf0.01"))
+    share = {t: sum(r.hit * r.n for k, r in found.items() if k[1] == t) / sum(r.n for k, r in found.items() if k[1] == t) for t in (0, 1)}
+    assert share[1] >= 0.8 and share[0] <= 0.05
 
 
 @pytest.mark.parametrize("score, label", [(R.quality_scores, "quality"), (T.toxicity_scores, "toxic")])
@@ -51,13 +63,57 @@ def test_stem_counts_by_hand(spark):
     rows = spark.createDataFrame([("a bad bad b", 1), ("a good b good", 0), ("a bad", 0)], "text string, label int")
     pairs = {(r.key & 0xFFFFFFFF): (r.toxic, r.ordinary) for r in T.pair_counts(rows).where("key & 4294967295 = %d" % T.word_id("a")).collect()}
     assert pairs == {T.word_id("a"): (1, 2)}
-    model = {r.id: r.value for r in T.language_models(rows, (0.5, 0.5)).collect()}
+    model = {r.id: r.value for r in T.language_models(rows, 0.5, 0.0).collect()}
     assert model[T.word_id("bad")] > 0 > model[T.word_id("good")]
 
 
+def brute_model(rows, discount, floor):
+    """stem -> log ratio, from (text, label), as the docstring of the models says."""
+    counts, before = ({0: Counter(), 1: Counter()}, {})
+    for text, label in rows:
+        last = None
+        for word in re.findall(r"\w+", text.lower()):
+            counts[label][word[:4]] += 1
+            before.setdefault(word[:4], set()).add(last)
+            last = word
+    n = {c: sum(counts[c].values()) for c in counts}
+    left = lambda c, w: max(counts[c][w] - discount * counts[c][w] ** 0.5, 0.0)
+    free = {c: n[c] - sum(left(c, w) for w in counts[c]) for c in counts}
+    shared = sum(map(len, before.values()))
+    p = lambda c, w: (left(c, w) + free[c] * len(before[w]) / shared) / n[c]
+    ratios = {w: math.log(p(1, w) / p(0, w)) for w in before if left(0, w) + left(1, w) > 0}
+    return {w: r for w, r in ratios.items() if abs(r) >= floor}
+
+
+@pytest.mark.parametrize("discount, floor", [(T.DISCOUNT, T.FLOOR), (1.0, 0.0)])
+def test_ratios_against_brute_force(sf, discount, floor):
+    docs, labels = sf("documents"), sf("labels").withColumnRenamed("toxic", "label")
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "label")
+    want = brute_model([(r.text, r.label) for r in rows.collect()], discount, floor)
+    model = T.language_models(rows, discount, floor)
+    got = {r.id: r.value for r in model.collect()}
+    assert len(got) == len(want) > 5 and all(abs(got[T.word_id(w)] - r) < 1e-9 for w, r in want.items())
+    for r in T.log_ratios(docs.select("doc_id", "text"), model).collect():
+        words = [w[:4] for w in re.findall(r"\w+", r.text.lower())]
+        assert abs(r.ratio - sum(want.get(w, 0.0) for w in words) / max(len(words), 1)) < 1e-6
+
+
+def test_nothing_is_rejected_without_evidence(odd, none, spark, sf):
+    labels = sf("labels")
+    assert T.without_toxic(odd, labels.limit(0)).count() == odd.count() and T.without_toxic(none, labels).count() == 0
+    docs = sf("documents").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (None, " . ")], "doc_id bigint, text string"))
+    assert T.without_toxic(docs, labels).where("doc_id < 0 OR doc_id IS NULL").count() == 3
+
+
+def test_threshold_by_hand():
+    x, toxic, ordinary = np.array([0.0, 0.1, 0.4, 0.9]), np.array([0.0, 1.0, 1.0, 5.0]), np.array([50.0, 4.0, 1.0, 0.0])
+    at, slope = T.fit_score(x, toxic, ordinary)
+    assert abs(at - 0.65) < 1e-12 and slope > 5
+
+
 def test_blocks_of_the_model_add_up(sf):
     docs, labels = sf("documents"), sf("labels").withColumnRenamed("toxic", "label")
-    model = T.language_models(docs.join(labels, "doc_id"), (1.0, 1.0))
+    model = T.language_models(docs.join(labels, "doc_id"), 1.0, 0.0)
     rows = docs.select("doc_id", "text")
     assert model.count() > 300
     one, many = ({r.doc_id: round(r.ratio, 9) for r in T.log_ratios(rows, model, n).collect()} for n in (10**6, 100))
