@@ -12,6 +12,7 @@ is compressed by zstandard. Layout, little-endian:
 
 from __future__ import annotations
 
+import json
 import re
 import string
 import struct
@@ -40,8 +41,16 @@ PIECES = 500_000
 WORDS = 700_000
 REMEMBERED_CHARS = 40
 
-#: Texts encoded together: as many as have so many characters.
+#: Most tasks that read files back.
+READERS = 20_000
+
+#: Texts encoded together: as many as have so many characters. Words learned in one string.
 GROUP_CHARS = 2_000_000
+LEARNED = 200
+
+# What a tokenizer file says that drops white space, lower-cases, and splits letters from other signs.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 MANIFEST = "part int, seq int, file string, first_doc_id bigint, n_docs bigint, n_ids bigint"
 DOCUMENTS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -64,61 +73,88 @@ def _plain(piece: str) -> tuple[str, str] | None:
     return None
 
 
+def splits_at_spaces(path: str) -> str | None:
+    """The mark that ends a word's last id, if the tokenizer's file says that a text's ids are those of its pieces between spaces,
+    whatever their case, and that letters and other signs never share an id; else nothing."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    cut = told.get("pre_tokenizer") or {}
+    first, *rest = cut.get("pretokenizers") or [{}]
+    clean = [n.get("type") for n in (told.get("normalizer") or {}).get("normalizers") or []]
+    as_known = (
+        clean == _NORMALIZERS
+        and (first.get("type"), first.get("pattern"), first.get("invert"), first.get("behavior")) == ("Split", {"Regex": _SPLIT}, True, "Removed")
+        and [(r.get("type"), r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
+        and not told.get("post_processor")
+    )
+    return told["model"].get("end_of_word_suffix") or None if as_known else None
+
+
 class Encoder:
     """Ids of texts as bytes, equal to encoding each whole text.
 
-    This tokenizer drops white space before it looks for merges, so no id spans a space or line break: a text's ids are
-    those of its pieces in turn. Pieces recur, and pieces that differ by case or punctuation share a word, so a worker
-    remembers the ids of both, in tables of bounded size. All ids come from the tokenizer; many words are given to it at once.
+    Where the tokenizer's file says that it drops white space before it looks for merges, no id spans a space or line break: a
+    text's ids are those of its pieces in turn. Pieces recur, and pieces that differ by case or punctuation share a word, so
+    a worker remembers the ids of both, in tables of bounded size. All ids come from the tokenizer; many words are given to
+    it at once. With any other file, whole texts are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = splits_at_spaces(path)
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        if self.mark:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[k for t, k in vocabulary.items() if t.endswith(self.mark)]] = True
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of words of letters: one call for all, cut where the tokenizer says that a word begins."""
-        if not words:
-            return
+        """Ids of words of letters: many in a string, cut where an id ends a word."""
         if len(self.words) + len(words) > WORDS:
             self.words = {}
-        all_of = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        where = np.array(all_of.word_ids, "i8")
-        starts = np.flatnonzero(np.diff(where, prepend=-1))
-        if len(starts) == len(words):
-            ids = np.array(all_of.ids, "<u4").tobytes()
-            ends = [4 * int(e) for e in [*starts[1:], len(where)]]
-            self.words.update(zip(words, (ids[4 * a : b] for a, b in zip(starts.tolist(), ends, strict=True)), strict=True))
-        else:
-            self.words.update(zip(words, self._each(words), strict=True))
+        groups = [words[k : k + LEARNED] for k in range(0, len(words), LEARNED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group):
+                data, begin = ids.tobytes(), 0
+                for word, end in zip(group, (4 * ends).tolist(), strict=True):
+                    self.words[word] = data[begin:end]
+                    begin = end
+            else:
+                self.words.update(zip(group, self._each(group), strict=True))
 
     def _group(self, texts: list[str]) -> list[bytes]:
+        if not self.mark:
+            return self._each(texts)
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [p for p in set().union(*split) if p not in self.pieces]
+        new = set().union(*split).difference(self.pieces)
         if len(self.pieces) + len(new) > PIECES:
             self.pieces = {}
-            new = list(set().union(*split))
-        plain = {p: _plain(p) for p in new}
+            new = set().union(*split)
+        plain = {p: (p.lower(), "") if p.isascii() and p.isalpha() else _plain(p) for p in new}
         odd = [p for p, x in plain.items() if x is None]
         parts = {w for x in plain.values() if x for w in x if w}
-        letters = [w for w in parts if w[0].isalpha() and w not in self.words]
-        marks = [w for w in parts if not w[0].isalpha() and w not in self.words]
+        unknown = parts.difference(self.words)
+        letters = [w for w in unknown if w[0].isalpha()]
+        marks = [w for w in unknown if not w[0].isalpha()]
         self._learn(letters)
         self.words.update(zip(marks, self._each(marks), strict=True))
-        known = {**{w: self.words.get(w, b"") for w in parts}, "": b""}
-        late = [w for w in parts if w not in self.words]  # forgotten while this group was learned
-        known.update(zip(late, self._each(late), strict=True))
-        own = dict(zip(odd, self._each(odd), strict=True))
-        own.update((p, known[x[0]] + known[x[1]]) for p, x in plain.items() if x)
-        self.pieces.update((p, ids) for p, ids in own.items() if len(p) <= REMEMBERED_CHARS)
-        table = {**self.pieces, **own} if any(len(p) > REMEMBERED_CHARS for p in own) else self.pieces
-        return [b"".join(map(table.__getitem__, pieces)) for pieces in split]
+        late = list(parts.difference(self.words))  # forgotten while this group was learned
+        known = {**{w: self.words[w] for w in parts.intersection(self.words)}, **dict(zip(late, self._each(late), strict=True)), "": b""}
+        pieces = self.pieces
+        pieces.update(zip(odd, self._each(odd), strict=True))
+        pieces.update((p, known[x[0]] + known[x[1]] if x[1] else known[x[0]]) for p, x in plain.items() if x)
+        out = [b"".join(map(pieces.__getitem__, own)) for own in split]
+        for p in [p for p in new if len(p) > REMEMBERED_CHARS]:
+            del pieces[p]
+        return out
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         end = np.array([END_ID], "<u4").tobytes()
@@ -326,7 +362,8 @@ def read_planes(manifest: DataFrame, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(i).type) for i, c in enumerate(zip(*rows, strict=True))], schema=kinds)
 
     files = with_starts(manifest).select("file", "start")
-    return files.repartition("file").mapInArrow(read, DOCUMENTS)
+    # The number of files is given, since a few short rows would else be put together in one task.
+    return files.repartition(max(1, min(manifest.count(), READERS)), "file").mapInArrow(read, DOCUMENTS)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:

@@ -89,3 +89,19 @@ def test_pieces_equal_whole_texts(whole):
     small = B.Encoder(PATH)
     for t in texts * 2:
         assert next(small([t])).tolist()[:-1] == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_tokenizer_files_that_do_not_split_at_spaces(sf):
+    """Facts that the fast way needs are read from the file; other tokenizers get whole texts."""
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert B.splits_at_spaces(PATH) == "</w>" and B.splits_at_spaces(other) is None
+    texts = [r.text for r in sf("documents").limit(30).collect()]
+    own = Tokenizer.from_file(other)
+    assert [ids.tolist() for ids in B.Encoder(other)(texts)] == [[*own.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_tables_that_overflow(sf, whole, monkeypatch):
+    for name, size in (("PIECES", 300), ("WORDS", 200), ("GROUP_CHARS", 3000), ("REMEMBERED_CHARS", 4)):
+        monkeypatch.setattr(B, name, size)
+    texts = [r.text for r in sf("documents").limit(40).collect()] + ["A'b <|endoftext|> " + "x" * 90, "ÉÀ é 'll ...", ""]
+    assert [ids.tolist() for ids in B.Encoder(PATH)(texts)] == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
