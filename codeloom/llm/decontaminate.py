@@ -20,9 +20,11 @@ WORD = re.compile(r"\w+")
 #: word has been replaced.
 MASKS = ("11011011", "1110111", "110101101")
 
-#: An overlap counts if it has so many equal words, or four fifths of a shorter item, and not under ``FEWEST``.
+#: An overlap counts if it has so many equal words, or four fifths of a shorter item, and not under ``FEWEST``. Items of fewer
+#: words are found as a whole, word for word; those of fewer than ``ALONE`` words only where they are the whole text.
 ENOUGH = 13
 FEWEST = 8
+ALONE = 4
 
 #: A replaced word costs an overlap one and a half equal ones, so an overlap goes on where every third word has been replaced.
 COST = 1.5
@@ -45,13 +47,14 @@ def word_hashes(texts: list[str], memo: Memo) -> list[np.ndarray]:
     return [np.array(list(map(get, WORD.findall(t.lower()))), "i8") for t in texts]
 
 
-def seeds(words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(span, hash at every position) of each mask."""
+def seeds(words: np.ndarray, whole: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray]]:
+    """(span, hash at every position) of each mask, and of runs of ``whole`` words without a gap; of fewer than ``ALONE`` only
+    the run that is all there is."""
     wide = words.view("u8")
-    for k, mask in enumerate(MASKS):
+    for mask in (*MASKS, *("1" * n for n in whole if n >= ALONE or n == len(words))):
         n = len(words) - len(mask) + 1
         if n > 0:
-            total = np.full(n, k + 1, "u8")
+            total = np.full(n, MASKS.index(mask) + 1 if mask in MASKS else len(MASKS) + len(mask), "u8")
             for p, used in enumerate(mask):
                 if used == "1":
                     total += (wide[p : p + n] ^ (wide[p : p + n] >> np.uint64(29))) * STEPS[p]
@@ -60,6 +63,11 @@ def seeds(words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield len(mask), (total ^ (total >> np.uint64(32))).view("i8")
 
 
+def least_equal(words: int) -> int:
+    """Equal words that an overlap with an item of so many words has at least."""
+    return words if words < FEWEST else max(FEWEST, min(ENOUGH, -(-4 * words // 5)))
+
+
 def slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two bits of the filter that a hash sets."""
     wide = hashes.view("u8")
@@ -67,15 +75,16 @@ def slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def benchmark_seeds(items: DataFrame) -> DataFrame:
-    """(item_id, words, seeds): items of fewer than ``FEWEST`` words are too short to be told from chance and have no row."""
+    """(item_id, words, seeds): items of fewer than ``FEWEST`` words have one seed, of all their words. Items without words have no row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(word_hash)
         for batch in batches:
             rows = []
             for item, words in zip(batch.column(0).to_pylist(), word_hashes(batch.column(1).to_pylist(), memo), strict=True):
-                if len(words) >= FEWEST:
-                    found = [{"hash": int(h), "at": at} for _, hs in seeds(words) for at, h in enumerate(hs)]
+                if len(words):
+                    kinds = seeds(words) if len(words) >= FEWEST else (s for s in seeds(words, (len(words),)) if s[0] == len(words))
+                    found = [{"hash": int(h), "at": at} for _, hs in kinds for at, h in enumerate(hs)]
                     rows.append({"item_id": item, "words": words.tolist(), "seeds": found})
             kind = pa.struct([("hash", pa.int64()), ("at", pa.int32())])
             schema = pa.schema([("item_id", pa.int64()), ("words", pa.list_(pa.int64())), ("seeds", pa.list_(kind))])
@@ -97,10 +106,11 @@ def seed_filter(seed_rows: DataFrame) -> np.ndarray:
     return np.unpackbits(filled.view("u1"), bitorder="little").astype(bool)
 
 
-def candidate_segments(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def candidate_segments(docs: DataFrame, bits: np.ndarray, whole: tuple[int, ...] = ()) -> DataFrame:
     """(segment, doc_id, first, words, seeds): stretches of a text around seeds that pass the filter, stored.
 
-    Every position of every text is hashed; only stretches with a possible hit leave the task.
+    Every position of every text is hashed, by the masks and by the lengths ``whole`` of short items; only stretches with a
+    possible hit leave the task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
 
@@ -116,7 +126,7 @@ def candidate_segments(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             ids = batch.column(0)
             for k, words in enumerate(word_hashes(batch.column(1).to_pylist(), memo)):
                 hits: list[tuple[int, int, int]] = []
-                for span, hashes in seeds(words):
+                for span, hashes in seeds(words, whole):
                     one, two = slots(hashes)
                     at = np.flatnonzero(passes[one])
                     at = at[passes[two[at]]]
@@ -157,7 +167,8 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     Texts are lower-cased words of letters, digits and underscores. Seeds of the texts and the items are joined by hash
     (texts first pass a filter of fixed size); each alignment that a hit proposes is compared word by word around it,
     and stands if its best stretch, in which at most two words in five differ, has ``ENOUGH`` equal words, or four
-    fifths of an item that is shorter. First word and length are in words of the text.
+    fifths of an item that is shorter. Items of fewer than ``FEWEST`` words are found where all their words stand in turn, those
+    of fewer than ``ALONE`` where the text has no other words. First word and length are in words of the text.
 
     Null texts are empty and hold nothing. Repeated rows, and rows of one doc_id, are one document; null ids are one
     document too. Equal items are each reported; null item ids are one item. Long texts are scanned whole. Empty tables
@@ -166,7 +177,9 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     bench = stored(benchmark_seeds(items), "benchmark")
     targets = bench.select("item_id", "words", F.xxhash64("item_id", "words").alias("item"), "seeds").dropDuplicates(["item"])
     seed_rows = targets.select("item", F.explode("seeds").alias("s")).select("item", "s.hash", F.col("s.at").alias("item_at"))
-    segments = candidate_segments(docs, seed_filter(seed_rows))
+    n = F.size("words")
+    whole = tuple(sorted(r["n"] for r in targets.where(n < FEWEST).select(n.alias("n")).distinct().collect()))  # FEWEST - 1 at most
+    segments = candidate_segments(docs, seed_filter(seed_rows), whole)
     hits = segments.select("segment", F.explode("seeds").alias("s")).select("segment", "s.hash", "s.at").join(seed_rows, "hash")
     lines = hits.select("segment", "item", (F.col("at") - F.col("item_at")).alias("line")).distinct()
     aligned = lines.join(segments.select("segment", "doc_id", "first", F.col("words").alias("text")), "segment").join(
@@ -180,7 +193,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
                 text, target = np.array(text, "i8"), np.array(target, "i8")
                 a, b = max(0, first - line), min(len(target), first + len(text) - line)
                 start, n, equal = best_overlap(text[a + line - first : b + line - first], target[a:b])
-                if equal >= max(FEWEST, min(ENOUGH, -(-4 * len(target) // 5))):
+                if equal >= least_equal(len(target)):
                     rows.append((doc_id, item_id, a + line + start, n, equal))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
@@ -197,7 +210,9 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    leaks = overlaps(docs, items).select(F.col("doc_id").alias("_leak")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"))
-    return rows.join(leaks, F.col("_id").eqNullSafe(F.col("_leak")), "left_anti").select("row.*")
+    """``docs`` without the rows whose text holds a benchmark item. Rows are told by a hash of their text, so ids may be null or
+    shared by different texts; repeated rows go or stay together. Null texts stay. Without items all rows stay; an
+    empty table gives no rows. Other columns are kept."""
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text_of()).alias("_key"))
+    leaks = overlaps(rows.select(F.col("_key").alias("doc_id"), F.col("row.text").alias("text")), items)
+    return rows.join(leaks.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select("row.*")

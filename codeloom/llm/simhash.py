@@ -189,19 +189,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest doc_id. Of rows that share this doc_id one stays,
-    by the smallest hash of the text; rows without a doc_id cannot be told apart and stay."""
-    return least_of_each(docs, near_duplicates(docs, **settings))
-
-
-def least_of_each(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """``docs`` that are the smallest of their component in ``marked`` (doc_id, component_id), and those without a doc_id."""
-    kept = marked.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.min("component_id").alias("_least"), F.count(F.lit(1)).alias("_rows")
-    ).where("_least = doc_id")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id")).join(
-        kept.select(F.col("doc_id").alias("_id"), "_rows"), "_id"
-    )
-    once = rows.where("_rows = 1").select("row.*")
-    several = rows.where("_rows > 1").groupBy("_id").agg(F.min_by("row", F.xxhash64(text_of("row.text"))).alias("row"))
-    return once.unionByName(several.select("row.*")).unionByName(docs.where("doc_id IS NULL"))
+    """``docs`` with one document of each group, as ``least_of_each`` takes it."""
+    return least_of_each(docs, lambda rows: near_duplicates(rows, **settings))
+
+
+def least_of_each(docs: DataFrame, group) -> DataFrame:
+    """``docs`` with one row of each component that ``group`` finds, (doc_id, component_id) from rows (doc_id, text).
+
+    Rows are known by a hash of id and text, so different texts under one doc_id, and rows without one, are documents of
+    their own, and copies are found among them as among others. Of a component the smallest doc_id stays, those without an id last,
+    then the smallest hash; of rows equal in id and text, one. An empty table gives no rows; other columns are kept.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("doc_id", text_of()).alias("_key"))
+    marked = group(rows.select(F.col("_key").alias("doc_id"), F.col("row.text").alias("text")))
+    marked = marked.select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    known = rows.groupBy("_key").agg(F.first("_id").alias("_id"), F.count(F.lit(1)).alias("_rows")).join(marked, "_key")
+    least = F.min(F.struct(F.col("_id").isNull(), "_id", "_key", "_rows")).alias("least")
+    kept = stored(known.groupBy("component_id").agg(least).select("least._key", "least._rows"), "kept")
+    rows = rows.join(kept, "_key")
+    several = rows.where("_rows > 1").groupBy("_key").agg(F.first("row").alias("row"))
+    return rows.where("_rows = 1").select("row.*").unionByName(several.select("row.*"))

@@ -10,6 +10,8 @@ def brute(docs, items):
         for i, u in items:
             v = D.WORD.findall((u or "").lower())
             if len(v) < D.FEWEST:
+                if v and (w == v if len(v) < D.ALONE else any(w[k : k + len(v)] == v for k in range(len(w)))):
+                    found.add((d, i))
                 continue
             for line in range(-len(v) + 1, len(w)):
                 best = run = equal = kept = 0
@@ -59,13 +61,29 @@ def test_every_third_and_fourth_word_replaced(spark, texts):
 
 def test_odd(odd, none, sf):
     items = odd.selectExpr("doc_id AS item_id", "text")
-    got = {r.doc_id for r in D.overlaps(odd, items).collect()}
-    assert got == {4, None}  # the other texts have too few words
-    assert {r.doc_id for r in D.without_leaks(odd, items).collect()} == {1, 2, 3, 5, 6, 7}
+    got = {(r.doc_id, r.item_id) for r in D.overlaps(odd, items).collect()}
+    assert got == {(None, None), (4, 4), (5, 5), (5, 6), (6, 5), (6, 6), (7, 7)}
+    left = odd.where("doc_id < 4")  # no words
+    assert D.without_leaks(odd, items).collect() == left.collect()
     assert D.without_leaks(odd, items).columns == odd.columns
     assert D.overlaps(none, items).count() == 0 and D.without_leaks(odd, items.limit(0)).count() == odd.count()
 
 
+def test_short_items(spark, texts):
+    docs = texts("one two three four five six", "before One, two three four five six after", "one two three four five, seven six", "two words", "these two words", "two words more", "")
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, "two words"), (3, "four five six after"), (4, ".")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.first, r.n_words, r.n_equal) for r in D.overlaps(docs, items).collect()}
+    assert got == {(0, 1): (0, 6, 6), (1, 1): (1, 6, 6), (3, 2): (0, 2, 2), (1, 3): (4, 4, 4)}
+
+
+def test_rows_not_ids_leak(spark):
+    item = " ".join(f"k{k}" for k in range(20))
+    rows = [(None, item, "a"), (None, "clean text without an id", "b"), (7, f"x {item}", "c"), (7, "another text of that id", "d"), (8, None, "e"), (8, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    items = spark.createDataFrame([(0, item)], "item_id bigint, text string")
+    assert sorted(r.source for r in D.without_leaks(docs, items).collect()) == ["b", "d", "e", "e"]
+
+
 def test_hot_item(spark):
     item = " ".join(f"k{k}" for k in range(30))
     docs = spark.range(3000).selectExpr("id AS doc_id", f"concat('d', id, ' {item} ', id) AS text")

@@ -1,7 +1,9 @@
 import random
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from codeloom.llm import near_copies as N
+from codeloom.llm import simhash as S
 
 
 def brute(texts):
@@ -53,4 +55,40 @@ def test_odd(odd, none):
     kept = N.one_of_each(odd)
     assert kept.columns == odd.columns
     assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [1, 4, 5, 7, None]
-    assert N.near_copies(none).count() == 0
+    assert N.near_copies(none).count() == 0 and N.one_of_each(none).count() == 0
+
+
+def test_rows_not_ids_are_copies(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, text, "a"), (None, text, "b"), (3, "one text of this id", "c"), (3, "another text of this id, and no copy", "d"), (4, f"{text} more", "e"), (9, text, "f"), (None, "alone", "g"), (None, "alone", "g")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for kept in (N.one_of_each(docs), S.one_of_each(docs)):
+        got = sorted(r.source for r in kept.collect())
+        assert {"c", "d"} <= set(got) and got.count("g") == 1
+    assert sorted(r.source for r in N.one_of_each(docs).collect()) == ["c", "d", "e", "g"]
+
+
+def pairs_above(sets, share=0.8):
+    """All pairs of a similarity of at least 0.8: the rarest shingles, one more than a fifth of a set, hold one in common."""
+    times = Counter(x for s in sets for x in s)
+    held, found = defaultdict(list), set()
+    for k, s in enumerate(sets):
+        for x in sorted(s, key=lambda x: (times[x], x))[: len(s) - -(-len(s) * 4 // 5) + 1]:
+            for j in held[x]:
+                if (j, k) not in found and 5 * (both := len(s & sets[j])) >= 4 * (len(s) + len(sets[j]) - both):
+                    found.add((j, k))
+            held[x].append(k)
+    return found
+
+
+def test_recall_on_the_given_tables(sf):
+    docs = sf("documents", "sf0.1").select("doc_id", "text")
+    first = {}
+    for r in docs.orderBy("doc_id").collect():
+        words = r.text.encode().lower().split()
+        first.setdefault(frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset(), r.doc_id)
+    sets, ids = list(first), list(first.values())
+    wanted = {(ids[a], ids[b]) for a, b in pairs_above(sets)}
+    component = {r.doc_id: r.component_id for r in N.near_copies(docs).collect()}
+    hit = sum(component[a] == component[b] for a, b in wanted)
+    assert len(wanted) > 40 and hit >= 0.99 * len(wanted), (hit, len(wanted))
