@@ -13,6 +13,7 @@ is compressed by zstandard. Layout, little-endian:
 from __future__ import annotations
 
 import json
+import os
 import re
 import string
 import struct
@@ -41,8 +42,8 @@ PIECES = 500_000
 WORDS = 700_000
 REMEMBERED_CHARS = 40
 
-#: Most tasks that read files back.
-READERS = 20_000
+#: Files that a task reads back.
+FILES_READ = 8
 
 #: Texts encoded together: as many as have so many characters. Words learned in one string.
 GROUP_CHARS = 2_000_000
@@ -100,6 +101,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # A task has one core: threads of the library's own would only wait for it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -363,7 +366,7 @@ def read_planes(manifest: DataFrame, path: str) -> DataFrame:
 
     files = with_starts(manifest).select("file", "start")
     # The number of files is given, since a few short rows would else be put together in one task.
-    return files.repartition(max(1, min(manifest.count(), READERS)), "file").mapInArrow(read, DOCUMENTS)
+    return files.repartition(-(-max(1, manifest.count()) // FILES_READ), "file").mapInArrow(read, DOCUMENTS)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
