@@ -91,3 +91,21 @@ def overlay_snapshot(base: DataFrame, patch: DataFrame) -> DataFrame:
 def modified_paths(changes: DataFrame) -> DataFrame:
     """Distinct supported paths touched in a range."""
     return filter_supported(changes.select("path")).select("path").distinct()
+
+
+def path_lives(sources: DataFrame, keep_deleted: bool = False, span: int = BLOCK_SPAN) -> DataFrame:
+    """(path, from_rev, to_rev): the half-open ranges of revisions in which a path is there, ``to_rev`` null while it still is.
+
+    ``sources`` (rev, path, content) is sparse: a path has rows where it changes, one with a null content where it is deleted.
+    With ``keep_deleted`` deletions are passed over, so a path stays from its first revision on. Only paths and numbers are
+    ordered, those of a path with very many revisions in blocks.
+    """
+    rows = sources.select("path", "rev", F.col("content").isNotNull().alias("alive"))
+    if keep_deleted:
+        rows = rows.where("alive")
+    seen = with_previous(rows, ["path"], "rev", ["alive"], block_of("rev", span), "_prev")
+    turns = seen.where(F.col("alive") != F.coalesce("_prev.alive", F.lit(False))).select("path", "rev", "alive")
+    ends = with_previous(turns, ["path"], "rev", ["rev"], block_of("rev", span), "_born").where("NOT alive")
+    ended = ends.select("path", F.col("_born.rev").alias("from_rev"), F.col("rev").alias("to_rev"))
+    last = turns.groupBy("path").agg(F.max_by("alive", "rev").alias("alive"), F.max("rev").alias("from_rev")).where("alive")
+    return ended.unionByName(last.select("path", "from_rev", F.lit(None).cast("bigint").alias("to_rev")))

@@ -139,6 +139,17 @@ events AS (
   FROM steps WHERE hit AND rev >= 2)
 """
 
+# Files that are deleted at some revision, with deletions kept and not.
+_DELETED = """
+keeps AS (SELECT unnest([false, true]) AS keep),
+present AS (
+  SELECT path, rev, NOT ((path LIKE '%3.py' AND rev = 2) OR (path LIKE '%4.py' AND rev = 3)) AS alive FROM file),
+told AS (
+  SELECT keep, p.*, 'Document this python function:' || chr(10) || bare || chr(10) AS prompt,
+         rev >= 2 AND (k % 5 = 0 OR (rev = 3 AND NOT keep AND path LIKE '%3.py')) AS hit
+  FROM py p JOIN present USING (path, rev), keeps WHERE alive AND rev >= 1)
+"""
+
 ORACLES: dict[str, str] = {
     "conv_previous": f"WITH {_TURNS} SELECT conv_id, turn, prev_turn AS prev_rev, md5(prev_text) AS old_md5, md5(text) AS new_md5 FROM turns",
     "conv_as_of": """SELECT conv_id, max(turn) AS turn, md5(arg_max(text, turn)) AS content_md5
@@ -269,6 +280,28 @@ ORACLES: dict[str, str] = {
         SELECT p.path, p.rev, p.name AS qualname, p.key,
                last_value(CASE WHEN e.success THEN e.comment END IGNORE NULLS) OVER (PARTITION BY p.path, p.name ORDER BY p.rev) AS doc
         FROM py p LEFT JOIN events e ON e.path = p.path AND e.rev = p.rev AND e.qualname = p.name WHERE p.rev >= 1""",
+    "replay_tree": f"""WITH {_FN}, {_REPLAY}, now AS (
+          SELECT p.*, last_value(CASE WHEN e.success THEN e.comment END IGNORE NULLS) OVER (PARTITION BY p.path, p.name ORDER BY p.rev) AS current
+          FROM py p LEFT JOIN events e ON e.path = p.path AND e.rev = p.rev AND e.qualname = p.name WHERE p.rev >= 1)
+        SELECT path, rev, md5(string_agg(head || coalesce('    ' || current || chr(10), '') || rest || chr(10) || chr(10), '' ORDER BY k) || chr(10)) AS content_md5
+        FROM now GROUP BY path, rev""",
+    "replay_scores": f"""WITH {_FN}, {_REPLAY}, pairs AS (
+          SELECT p.path, p.rev, p.key AS code, p.doc AS original_comment, e.comment AS agent_comment,
+                 list_distinct(list_filter(string_split_regex(lower(p.doc), '\\s+'), lambda w: w <> '')) AS x,
+                 list_distinct(list_filter(string_split_regex(lower(e.comment), '\\s+'), lambda w: w <> '')) AS y
+          FROM events e JOIN py p ON e.path = p.path AND e.rev = p.rev AND e.qualname = p.name
+          WHERE e.success AND p.doc <> e.comment)
+        SELECT path, rev, code, original_comment, agent_comment, 'replay' AS run_id,
+               round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS score FROM pairs""",
+    "replay_deleted": f"""WITH {_FN}, {_DELETED}
+        SELECT keep, path, rev, name AS qualname, key, last_value(CASE WHEN hit AND length(prompt) % 4 <> 0
+                 THEN '\"\"\"Doc of ' || length(prompt) || ' signs.\"\"\"' END IGNORE NULLS) OVER (PARTITION BY keep, path, name ORDER BY rev) AS doc
+        FROM told""",
+    "src_path_lives": f"""WITH {_FN}, {_DELETED}, seen AS (
+          SELECT keep, path, rev, alive, lag(alive, 1, false) OVER (PARTITION BY keep, path ORDER BY rev) AS before
+          FROM present, keeps WHERE alive OR NOT keep)
+        SELECT keep, path, rev AS from_rev, lead(rev) OVER (PARTITION BY keep, path ORDER BY rev) AS to_rev
+        FROM seen WHERE alive <> before QUALIFY alive""",
     "stream_ratio": """SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end,
                count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS successes,
                round(count(*) FILTER (WHERE event_type <> 'error') / count(*), 6) AS ratio

@@ -19,6 +19,7 @@ from codeloom.operators.revisions import (
     filter_supported,
     modified_paths,
     overlay_snapshot,
+    path_lives,
     previous_revision,
     with_language,
 )
@@ -35,7 +36,7 @@ from codeloom.operators.structure import (
     functions,
     logical_lines,
 )
-from codeloom.plans.replay import replay_history
+from codeloom.plans.replay import replay_history, score_replay
 from codeloom.plans.update import comment_pairs, function_docs_changed, update_docs
 from codeloom.session import materialize, scratch_dir
 from codeloom.sources.built import built_sources
@@ -512,6 +513,41 @@ def replay_docs(spark, sf_dir):
     return _replay(spark, sf_dir).docs
 
 
+@query
+def replay_tree(spark, sf_dir):
+    return content_md5(_replay(spark, sf_dir).tree)
+
+
+@query
+def replay_scores(spark, sf_dir):
+    files, target = sources(spark, sf_dir), scratch_dir(spark, "replay-scores")
+    replay = _replay(spark, sf_dir)
+    for _ in range(2):  # the second time in place of the first
+        rows = score_replay(replay, files, lambda pairs: score.score_jaccard(pairs, "original_comment", "agent_comment"), target, "replay")
+    return rounded(rows, "score")
+
+
+def deleted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built sources of which some files are deleted at revision 2 and come back, and some are deleted at revision 3."""
+    gone = "(path LIKE '%3.py' AND rev = 2) OR (path LIKE '%4.py' AND rev = 3)"
+    return sources(spark, sf_dir).withColumn("content", F.expr(f"CASE WHEN NOT ({gone}) THEN content END"))
+
+
+@query
+def replay_deleted(spark, sf_dir):
+    files = materialize(deleted_sources(spark, sf_dir), "deleted")
+    commits = files.select("rev").distinct()
+    drop, keep = (replay_history(files, commits, 0, 3, stand_in(), TEMPLATE, keep_deleted=k).docs.withColumn("keep", F.lit(k)) for k in (False, True))
+    return drop.unionByName(keep)
+
+
+@query
+def src_path_lives(spark, sf_dir):
+    files = deleted_sources(spark, sf_dir)
+    drop, keep = (path_lives(files, keep_deleted=k).withColumn("keep", F.lit(k)) for k in (False, True))
+    return drop.unionByName(keep)
+
+
 def _feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = table(spark, sf_dir, name).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)

@@ -62,3 +62,10 @@ def load_attempts(spark: SparkSession, root: str, name: str = "success_rate.csv"
 def append_run(df: DataFrame, target: str, run_id: str) -> None:
     """Append the rows of one run to a parquet table with a folder per run."""
     df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(target)
+
+
+def replace_run(df: DataFrame, target: str, run_id: str) -> None:
+    """Put the rows of one run into such a table in place of what the run has there. Other runs stay, and a job that is
+    started again leaves the rows once."""
+    rows = df.withColumn("run_id", F.lit(run_id))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(target)

@@ -4,7 +4,11 @@ import ast
 import random
 import re
 
-from codeloom.plans.replay import replay_history
+from pyspark.sql import functions as F
+
+from codeloom.functions.similarity import jaccard
+from codeloom.operators.revisions import path_lives
+from codeloom.plans.replay import replay_history, score_replay
 
 
 def text_of(functions):
@@ -95,3 +99,106 @@ def test_replay_equals_the_loop(spark):
     got = {(r.path, r.rev, r.qualname): r.doc for r in replay.docs.collect()}
     named = {k: v and '"""' + v[3:].split(" ")[0] + '"""' for k, v in docs.items()}
     assert got == named
+
+    # The tree of every revision holds these docs and the bare functions, nothing else.
+    rows_of = {(path, rev): bare_functions(text) for rev, path, text in rows if rev >= 1}
+    for r in replay.tree.collect():
+        assert bare_functions(r.content) == rows_of.pop((r.path, r.rev))
+        found = {node.name: ast.get_docstring(node) for node in ast.parse(r.content).body}
+        assert found == {name: got[r.path, r.rev, name] and got[r.path, r.rev, name].strip('"') for name in found}
+    assert not rows_of
+
+
+def replay_of(spark, rows, revs, **settings):
+    """A replay whose docs tell the code that they were made for."""
+
+    def factory():
+        return lambda prompts: ['"""' + " ".join(p.split()).replace('"', "") + '"""' for p in prompts]
+
+    sources = spark.createDataFrame(rows, "rev bigint, path string, content string")
+    return replay_history(sources, spark.range(revs).selectExpr("id AS rev"), 0, revs, factory, template="{code}", **settings)
+
+
+def test_setter_keeps_its_doc_when_the_getter_goes(spark):
+    getter, setter = "    @property\n    def x(self):\n        return {}\n", "    @x.setter\n    def x(self, v):\n        self.v = {}\n"
+    other = "    def y(self):\n        return 5\n"
+    rows = [
+        (0, "a.py", "class A:\n" + getter.format(1) + setter.format(1)),
+        (1, "a.py", "class A:\n" + getter.format(2) + setter.format(2)),
+        (2, "a.py", "class A:\n" + other + setter.format(2)),
+        (3, "a.py", "class A:\n" + getter.format(7) + other + setter.format(2)),
+        (4, "a.py", "class A:\n" + other + setter.format(3)),
+    ]
+    docs = {(r.rev, r.qualname): r.doc for r in replay_of(spark, rows, 5).docs.collect()}
+    told = lambda n: f'"""def x(self, v): self.v = {n}"""'
+    assert docs[1, "A.x"] == '"""def x(self): return 2"""' and docs[1, "A.x#2"] == told(2)
+    assert docs[2, "A.x"] == told(2)
+    assert docs[3, "A.x"] == '"""def x(self): return 7"""' and docs[3, "A.x#2"] == told(2)
+    assert docs[4, "A.x"] == told(3) and (4, "A.x#2") not in docs
+
+
+def test_overloads_keep_their_docs(spark):
+    """Copies of one name that come, go and change: a doc stays with the function that it was made for."""
+    rng = random.Random(5)
+    rows, truth = [], {}
+    text = lambda fns: "".join(f"def f(x):\n    y = x + {n}\n    return y - {n}\n\n" for _, n in fns)
+    for p in range(25):
+        fns = [(k, n) for k, n in enumerate(rng.sample(range(1000, 9999), 3))]
+        for rev in range(7):
+            rows.append((rev, f"p{p}.py", text(fns)))
+            truth[f"p{p}.py", rev] = fns
+            step, at = rng.choice(["body", "new", "drop", "none"]), rng.randrange(len(fns))
+            n = rng.randint(1000, 9999)
+            if step == "body":
+                fns = [*fns[:at], (fns[at][0], n), *fns[at + 1 :]]
+            elif step == "new":
+                fns = [*fns[:at], (10 + rev, n), *fns[at:]]
+            elif step == "drop" and len(fns) > 1:
+                fns = fns[:at] + fns[at + 1 :]
+    replay = replay_of(spark, rows, 7, span=2)
+    asked = {(r.path, r.rev, r.qualname) for r in replay.events.collect()}
+    got = {(r.path, r.rev, r.qualname): r.doc for r in replay.docs.collect()}
+    wrong, docs, before = [], {}, {}
+    for (path, rev), fns in truth.items():
+        for k, (own, n) in enumerate(fns):
+            place = (path, rev, "f" if k == 0 else f"f#{k + 1}")
+            if place in asked:
+                docs[path, own] = f'"""def f(x): y = x + {n} return y - {n}"""'
+            # The line diff may blame a neighbour's equal header too; whose body is new is always asked.
+            assert place in asked or rev == 0 or before[path, own] == n
+            before[path, own] = n
+            if got.pop(place) != docs.get((path, own)):
+                wrong.append(place)
+    assert not got and len(asked) > 60 and not wrong, (len(wrong), wrong[:5])
+
+
+def test_deleted_files(spark):
+    one = lambda n: f"def f(x):\n    y = x + {n}\n    return y\n"
+    rows = [(0, "a.py", one(1)), (1, "a.py", one(2)), (2, "a.py", None), (3, "a.py", one(2)), (4, "a.py", None), (0, "b.py", one(9)), (3, "b.py", None)]
+    told = {keep: replay_of(spark, rows, 5, keep_deleted=keep) for keep in (False, True)}
+    events = {keep: {(r.path, r.rev) for r in told[keep].events.collect()} for keep in told}
+    assert events == {False: {("a.py", 1), ("a.py", 3)}, True: {("a.py", 1)}}
+    docs = {(r.path, r.rev): r.doc for r in told[True].docs.collect()}
+    assert docs["a.py", 3] == docs["a.py", 1] != None and set(docs) == {("a.py", r) for r in (0, 1, 3)} | {("b.py", 0)}  # noqa: E711
+    sources = spark.createDataFrame(rows, "rev bigint, path string, content string")
+    for span in (1, 1024):
+        lives = {keep: {tuple(r) for r in path_lives(sources, keep, span).collect()} for keep in (False, True)}
+        assert lives == {False: {("a.py", 0, 2), ("a.py", 3, 4), ("b.py", 0, 3)}, True: {("a.py", 0, None), ("b.py", 0, None)}}
+
+
+def test_excluded_paths(spark):
+    one = lambda n: f"def f(x):\n    return x + {n}\n"
+    rows = [(r, p, one(r)) for r in range(2) for p in ("a.py", "b.py")]
+    assert {r.path for r in replay_of(spark, rows, 2, exclude=["b.py"]).events.collect()} == {"a.py"}
+
+
+def test_scores_are_written_once(spark, tmp_path):
+    one = lambda n, doc: f'def f(x):\n    """{doc}"""\n    y = x + {n}\n    return y\n'
+    rows = [(0, "a.py", one(1, "old")), (1, "a.py", one(2, "def of f")), (2, "a.py", one(3, "later"))]
+    sources = spark.createDataFrame(rows, "rev bigint, path string, content string")
+    replay = replay_of(spark, rows, 3)
+    scorer = lambda pairs: pairs.withColumn("score", jaccard(F.col("original_comment"), F.col("agent_comment")))
+    for run in ("one", "two", "one"):
+        table = score_replay(replay, sources, scorer, str(tmp_path / "scores"), run)
+    found = sorted((r.run_id, r.rev, r.original_comment) for r in table.collect())
+    assert found == [(run, rev, f'"""{doc}"""') for run in ("one", "two") for rev, doc in ((1, "def of f"), (2, "later"))]
