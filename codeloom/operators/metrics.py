@@ -11,6 +11,10 @@ from codeloom.operators.skew import salted_join
 #: Accuracy of the sketch that answers inexact quartiles.
 _ACCURACY = 10_000
 
+#: Groups of more different values are cut into ranges, so many at most, for exact quartiles.
+_WHOLE = 100_000
+_RANGES = 500
+
 
 def box_stats(df: DataFrame, value: str, group: list[str], exact: bool = True) -> DataFrame:
     """(…group, n, min, q1, median, q3, max, whisker_low, whisker_high, n_outliers).
@@ -18,16 +22,17 @@ def box_stats(df: DataFrame, value: str, group: list[str], exact: bool = True) -
     Quartiles are interpolated linearly. Whiskers end at the last values within 1.5 interquartile ranges of the
     box. Null and NaN values do not count; a null group is a group.
 
-    All figures follow from one table of (group, value, count). Exact quartiles do not gather a group: its values are
-    dealt by ranges over all tasks, ranges are summed first, and the value that holds a rank is found within its
-    range. ``exact=False`` takes a sketch's answer.
+    All figures follow from one table of (group, value, count). Exact quartiles come from a group's counts. A group of more than
+    ``_WHOLE`` different values is not gathered: its values are dealt by ranges over all tasks, ranges are summed first, and
+    the value that holds a rank is found within its range. Which groups these are is counted first. ``exact=False`` takes a
+    sketch's answer.
     """
     key = F.struct(*(F.col(g) for g in group)) if group else F.struct(F.lit(1))
     values = df.select(key.alias("g"), F.expr(f"cast({value} AS double)").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     counts = values.groupBy("g", "v").agg(F.expr("count(1) AS c"))
     basics = counts.groupBy("g").agg(F.expr("sum(c) AS n"), F.expr("min(v) AS min"), F.expr("max(v) AS max"))
     if exact:
-        quartiles = _exact_quartiles(counts, basics)
+        quartiles = _exact_quartiles(counts)
     else:
         sketch = f"percentile_approx(v, array(0.25D, 0.5D, 0.75D), {_ACCURACY})"
         found = values.groupBy("g").agg(F.expr(f"{sketch} AS p"))
@@ -47,9 +52,22 @@ def box_stats(df: DataFrame, value: str, group: list[str], exact: bool = True) -
     return stats.join(whiskers, "g").select(*(F.col("g")[g].alias(g) for g in group), *names)
 
 
-def _exact_quartiles(counts: DataFrame, basics: DataFrame) -> DataFrame:
-    """Rows of equal ranks by (group, value) fill ranges of like size; a range's first rank is the sum of those before."""
-    ranged = counts.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id())
+def _exact_quartiles(counts: DataFrame) -> DataFrame:
+    large = counts.groupBy("g").agg(F.expr("count(1) AS m"), F.expr("sum(c) AS n")).where(F.col("m") > _WHOLE)
+    whole = F.expr("percentile(v, array(0.25D, 0.5D, 0.75D), c) AS p")
+    if large.isEmpty():
+        return counts.groupBy("g").agg(whole).selectExpr("g", "p[0] AS q1", "p[1] AS median", "p[2] AS q3")
+    small = counts.join(large.select("g"), "g", "left_anti").groupBy("g").agg(whole)
+    split = salted_join(counts, large.select("g"), ["g"], ["v"], "left_semi")
+    return small.selectExpr("g", "p[0] AS q1", "p[1] AS median", "p[2] AS q3").unionByName(_quartiles_by_ranges(split, large.select("g", "n")))
+
+
+def _quartiles_by_ranges(counts: DataFrame, basics: DataFrame) -> DataFrame:
+    """Values of a group fall into ranges of like size, by sketched bounds, which decide the work and not the result; a range's
+    first rank is the sum of those before."""
+    cuts = F.percentile_approx("v", [k / _RANGES for k in range(1, _RANGES)], _ACCURACY).alias("cuts")
+    bounds = counts.groupBy("g").agg(cuts)
+    ranged = salted_join(counts, bounds, ["g"], ["v"]).selectExpr("g", "v", "c", "size(filter(cuts, b -> b < v)) AS part")
     sums = ranged.groupBy("g", "part").agg(F.expr("sum(c) AS c"))
     before = "sum(c) OVER (PARTITION BY g ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     first = sums.selectExpr("g", "part", "c AS in_part", f"ifnull({before}, 0) AS first")

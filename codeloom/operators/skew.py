@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from codeloom.session import materialize
+
 #: Rows of one key that share a window task when ordered by a dense counter.
 BLOCK_SPAN = 1024
 
@@ -19,6 +21,9 @@ ORDERED_SHARE = 0.00001
 HOT_MIN_ROWS = 100_000
 ORDERED_MIN_ROWS = 10_000
 
+#: Stretches that one hot key is cut into at most.
+CUTS = 1000
+
 SALTS = 16
 
 
@@ -27,13 +32,29 @@ def block_of(order: str, span: int = BLOCK_SPAN) -> Column:
     return F.floor(F.col(order) / F.lit(span)).cast("bigint")
 
 
-def _in_blocks(df: DataFrame, keys: list[str], block: Column, share: float, min_rows: int) -> DataFrame:
-    """Add ``_hot`` and ``_block``: rows of hot keys get their block, those of other keys share one."""
+def _in_blocks(df: DataFrame, keys: list[str], order: str, block: Column, share: float, hot: DataFrame) -> DataFrame:
+    """Add ``_hot`` and ``_block``: rows of hot keys get the number of their stretch of ``order``, those of other keys share one.
+
+    A hot key is cut at sketched quantiles of its own order, so stretches have rows alike whether that counts densely or
+    holds time stamps. A key gets a cut for every ``share`` of all rows that it has, ``CUTS`` at most, so all cuts together
+    are no more than ``1 / share`` numbers, and are broadcast. Equal values of the order stay together.
+    """
     if not keys:
         return df.withColumn("_hot", F.lit(True)).withColumn("_block", block)
-    hot = hot_keys(df, keys, share, min_rows).withColumn("_hot", F.lit(True))
+    total = df.agg(F.count(F.lit(1)).alias("n"))
+    cuts = F.percentile_approx(order, [k / CUTS for k in range(1, CUTS)], 10 * CUTS)
+    counts = df.join(F.broadcast(hot), keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), cuts.alias("_cuts"))
+    wanted = F.least(F.lit(CUTS), F.ceil(F.col("_n") / (F.lit(share) * total.scalar()))).cast("int")
+    step = F.greatest(F.lit(1), F.floor(F.lit(CUTS) / wanted)).cast("int")
+    kept = counts.withColumn("_step", step).selectExpr(*keys, "true AS _hot", "filter(_cuts, (c, i) -> (i + 1) % _step = 0) AS _cuts")
+    number = F.expr(f"cast(size(filter(_cuts, c -> c < {order})) AS bigint)")
     one = F.lit(0).cast("bigint")
-    return df.join(F.broadcast(hot), keys, "left").withColumn("_block", F.when(F.col("_hot"), block).otherwise(one))
+    return df.join(F.broadcast(kept), keys, "left").withColumn("_block", F.when(F.col("_hot"), number).otherwise(one)).drop("_cuts")
+
+
+def listed_keys(df: DataFrame, keys: list[str], share: float = ORDERED_SHARE, min_rows: int = ORDERED_MIN_ROWS) -> DataFrame:
+    """The hot keys, found once and written: at most ``1 / share`` rows, mostly none, and then a plain window will do."""
+    return materialize(hot_keys(df.select(*keys), keys, share, min_rows), "hot")
 
 
 def with_previous(
@@ -45,15 +66,21 @@ def with_previous(
     name: str,
     share: float = ORDERED_SHARE,
     min_rows: int = ORDERED_MIN_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add struct ``name``: ``values`` of the row before this one in its key, null for the first row.
 
+    ``hot`` are the keys that need splitting, if ``listed_keys`` has told them before; they are counted when this is called.
     A plain ``lag`` sends all rows of a key to one task. Here the lag of a hot key runs per (key, block); only
     the last row of each of its blocks travels on, is lagged over the key's blocks, and fills the first row of the
-    next block. ``block`` must grow with ``order``. Other keys need the one shuffle of a lag and nothing else.
+    next block. Without ``keys`` blocks are ``block``, which must grow with ``order``. Other keys need the one shuffle of a lag and
+    nothing else.
     """
     picked = F.struct(*values)
-    rows = _in_blocks(df, keys, block, share, min_rows)
+    hot = listed_keys(df, keys, share, min_rows) if keys and hot is None else hot
+    if keys and hot.isEmpty():
+        return df.withColumn(name, F.lag(picked).over(Window.partitionBy(*keys).orderBy(order)))
+    rows = _in_blocks(df, keys, order, block, share, hot)
     in_block = Window.partitionBy(*keys, "_block").orderBy(order)
     lagged = rows.withColumn(name, F.lag(picked).over(in_block))
     tails = rows.where("_hot").groupBy(*keys, "_block").agg(F.max_by(picked, F.col(order)).alias("_tail"))
@@ -75,9 +102,13 @@ def with_latest(
     name: str,
     share: float = ORDERED_SHARE,
     min_rows: int = ORDERED_MIN_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``name``: the last non-null ``value`` at or before this row in its key, split like above."""
-    rows = _in_blocks(df, keys, block, share, min_rows)
+    hot = listed_keys(df, keys, share, min_rows) if keys and hot is None else hot
+    if keys and hot.isEmpty():
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order)))
+    rows = _in_blocks(df, keys, order, block, share, hot)
     in_block = Window.partitionBy(*keys, "_block").orderBy(order)
     filled = rows.withColumn(name, F.last(value, ignorenulls=True).over(in_block))
     tails = rows.where("_hot").groupBy(*keys, "_block").agg(

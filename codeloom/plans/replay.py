@@ -15,7 +15,7 @@ from codeloom.operators.lines import FILE_KEY, cluster_files
 from codeloom.operators.revisions import as_of_snapshot, commit_range, filter_supported, previous_revision
 from codeloom.operators.rewrite import apply_insertions, strip_comments
 from codeloom.operators.score import match_pairs
-from codeloom.operators.skew import BLOCK_SPAN, block_of, with_latest, with_previous
+from codeloom.operators.skew import BLOCK_SPAN, block_of, listed_keys, with_latest, with_previous
 from codeloom.operators.structure import changed_functions, function_doc_pairs, functions, with_code
 from codeloom.session import materialize
 from codeloom.sources.results import replace_run
@@ -75,7 +75,7 @@ def replay_history(
         *FILE_KEY, "qualname", "key", "success", F.col("answer").alias("comment")
     )
     accepted = events.where("success").select(*FILE_KEY, "qualname", "comment")
-    known = with_identity(fns, steps).join(accepted, [*FILE_KEY, "qualname"], "left")
+    known = materialize(with_identity(fns, steps).join(accepted, [*FILE_KEY, "qualname"], "left"), "known")
     docs = materialize(current_docs(known, bare.select(*FILE_KEY), span), "docs")
     tree = documented_tree(bare.where("content IS NOT NULL").select(*FILE_KEY, "content"), docs, step)
     return Replay(events, docs.select(*FILE_KEY, "qualname", "key", "doc"), tree)
@@ -127,10 +127,11 @@ def score_replay(
 def current_docs(known: DataFrame, files: DataFrame, span: int = BLOCK_SPAN) -> DataFrame:
     """Add ``doc``, the last accepted comment of a function at or before each revision of its file, to rows (path, rev,
     identity, comment, …). A function that the revision before lacks is a new one and starts without a doc."""
-    block = block_of("rev", span)
+    block, keys = block_of("rev", span), ["path", "identity"]
+    hot = listed_keys(known, keys)
     steps = with_previous(files, ["path"], "rev", ["rev"], block, "_step").select(*FILE_KEY, F.col("_step.rev").alias("_before"))
-    seen = with_previous(known, ["path", "identity"], "rev", ["rev"], block, "_own").join(steps, FILE_KEY)
+    seen = with_previous(known, keys, "rev", ["rev"], block, "_own", hot=hot).join(steps, FILE_KEY)
     stays = F.col("_own.rev").eqNullSafe(F.col("_before")) & F.col("_before").isNotNull()
     told = F.when(F.col("comment").isNotNull() | ~stays, F.struct("comment"))
-    latest = with_latest(seen.withColumn("_told", told), ["path", "identity"], "rev", "_told", block, "_doc")
+    latest = with_latest(seen.withColumn("_told", told), keys, "rev", "_told", block, "_doc", hot=hot)
     return latest.withColumn("doc", F.col("_doc.comment")).drop("_own", "_before", "_told", "_doc")

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from codeloom.operators import metrics
 from codeloom.operators.metrics import box_stats, compare_runs, failure_sample, success_ratio, success_report
 
 ATTEMPTS = "success boolean, comment string"
@@ -20,6 +21,17 @@ def test_quartiles_of_small_groups(spark):
     assert (both.count(), wrong.count()) == (117, 0)
 
 
+def test_quartiles_by_ranges(spark, monkeypatch):
+    """Groups above the size that is gathered, beside smaller ones, have the same quartiles."""
+    df = spark.range(20_000).selectExpr("if(id % 10 = 0, null, id % 3) AS g", "CASE id % 3 WHEN 0 THEN 5D ELSE round(pow(rand(1), 4), 3) END AS v")
+    names = ("g", "n", "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers")
+    rows = lambda: sorted(([getattr(r, c) if c == "g" else round(getattr(r, c), 9) for c in names] for r in box_stats(df, "v", ["g"]).collect()), key=str)
+    whole = rows()
+    monkeypatch.setattr(metrics, "_WHOLE", 400)
+    monkeypatch.setattr(metrics, "_RANGES", 7)
+    assert rows() == whole and len(whole) == 4
+
+
 def test_quartiles_of_a_hot_group(spark):
     df = spark.range(300_000).selectExpr("id % 3 AS g", "CASE id % 3 WHEN 0 THEN 5D ELSE pow(rand(1), 8) END AS v")
     plain = df.groupBy("g").agg(F.expr("percentile(v, array(0.25, 0.5, 0.75)) AS p"))

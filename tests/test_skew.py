@@ -1,7 +1,18 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.skew import block_of, hot_keys, hot_split_join, salted_join, with_latest, with_previous
+from codeloom.operators.skew import (
+    CUTS,
+    ORDERED_SHARE,
+    _in_blocks,
+    block_of,
+    hot_keys,
+    hot_split_join,
+    listed_keys,
+    salted_join,
+    with_latest,
+    with_previous,
+)
 
 
 def sample(spark):
@@ -45,3 +56,18 @@ def test_split_joins_are_joins(spark):
         split = hot_split_join(df, right, ["k"], ["rev"], how, share=0.2, min_rows=100)
         assert sorted(map(str, split.collect())) == expected
     assert [r.k for r in hot_keys(df, ["k"], share=0.2, min_rows=100).collect()] == [0]
+
+
+def test_sparse_orders_are_cut_evenly(spark):
+    """A key of a million revisions that are time stamps: no block is large, and there are not many of them."""
+    df = spark.range(1_000_000).selectExpr("'p' AS path", "1700000000000 + id * id AS rev").union(spark.sql("SELECT 'q', 5L"))
+    got = with_previous(df, ["path"], "rev", ["rev"], block_of("rev"), "prev")
+    assert got.where("prev IS NULL").count() == 2 and got.where("prev.rev >= rev").count() == 0
+    blocks = _in_blocks(df, ["path"], "rev", block_of("rev"), ORDERED_SHARE, listed_keys(df, ["path"])).where("_hot").groupBy("_block").count()
+    assert blocks.count() <= CUTS and blocks.agg(F.max("count")).first()[0] < 3 * 1_000_000 / CUTS
+
+
+def test_cuts_are_bounded_by_the_share(spark):
+    df = spark.range(30_000).selectExpr("id % 3 AS k", "id AS rev")
+    blocks = _in_blocks(df, ["k"], "rev", block_of("rev"), 0.05, listed_keys(df, ["k"], 0.05, 100)).groupBy("k").agg(F.countDistinct("_block").alias("n"))
+    assert all(6 <= r.n <= 9 for r in blocks.collect())
