@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
-import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,18 +25,22 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: Kinds in their order among spans that start at one place; the first three are the plain ones.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 
-JWT = re.compile(r"(?<![A-Za-z0-9_-])e[A-Za-z0-9_-]{9,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
-LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])e[A-Za-z0-9_-]{9,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+")
+MARKER = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,40})-----")
+FRAMED = re.compile(r"[A-Za-z0-9+/=\s:,.-]*+")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]++")
 HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?([0-9A-Fa-f]{64,})(?![0-9A-Za-z])")
 
 #: How base64 of a sequence, of a public key's first field and of a private key file begins.
 BEGINNINGS = ("M", "AAAA", "b3BlbnNzaC1rZXktdjEA")
 
 SSH_MARK = b"openssh-key-v1\0"
-SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+#: Public keys by name, with the number of fields that follow it. Fixed values.
+SSH_FIELDS = {
+    b"ssh-rsa": 2, b"ssh-dss": 4, b"ssh-ed25519": 1, b"ecdsa-sha2-nistp256": 2, b"ecdsa-sha2-nistp384": 2, b"ecdsa-sha2-nistp521": 2,
+}
 
 DEPTH = 8
 
@@ -102,52 +106,109 @@ def is_der_key(data: bytes) -> bool:
     return private or (tags == [0x30, 3] and data[found[1]] == 0x30)
 
 
+def ssh_size(read: Callable[[int, int], bytes]) -> int | None:
+    """Bytes that the OpenSSH private key file or public key at the start of what ``read(at, n)`` reads says it has, by its
+    length fields. A private key file holds one key, as all that are written do."""
+    at = 0
+
+    def fields(n: int) -> bool:
+        nonlocal at
+        for _ in range(n):
+            size = read(at, 4)
+            if len(size) < 4:
+                return False
+            at += 4 + int.from_bytes(size, "big")
+        return True
+
+    if read(0, len(SSH_MARK)) == SSH_MARK:
+        at = len(SSH_MARK)
+        if not fields(3) or read(at, 4) != b"\0\0\0\1":
+            return None
+        at += 4
+        return at if fields(2) else None
+    name = read(4, min(int.from_bytes(read(0, 4), "big"), 32))
+    return at if name in SSH_FIELDS and fields(1 + SSH_FIELDS[name]) else None
+
+
 def is_ssh_key(data: bytes) -> bool:
     """An OpenSSH private key file, or a public key: fields each behind its length, filling the bytes exactly."""
-    private = data.startswith(SSH_MARK)
-    at, fields = (len(SSH_MARK) if private else 0), []
-    while at < len(data):
-        if private and len(fields) == 3:
-            at += 4  # the number of keys
-            fields.append(b"")
-            continue
-        if at + 4 > len(data):
-            return False
-        (n,) = struct.unpack_from(">I", data, at)
-        if at + 4 + n > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    if private:
-        return len(fields) >= 6
-    return len(fields) >= 2 and fields[0] in SSH_NAMES
+    return ssh_size(lambda at, n: data[at : at + n]) == len(data)
+
+
+def der_size(read: Callable[[int, int], bytes]) -> int | None:
+    """Bytes that the sequence at the start says it has, if at most twelve well-formed elements fill it and the first is
+    a version or an algorithm: all that the elements' heads tell of a key."""
+    def head(at: int) -> tuple[int, int] | None:
+        got = read(at, 6)
+        n = got[1] & 0x7F if len(got) > 1 and got[1] & 0x80 else 0
+        if len(got) < 2 + n or n > 4 or (got[1] == 0x80):
+            return None
+        return got[0], 2 + n + (int.from_bytes(got[2 : 2 + n], "big") if n else got[1])
+
+    whole = head(0)
+    if whole is None or whole[0] != 0x30:
+        return None
+    first = read(1, 1)[0]
+    at, seen = 2 + (first & 0x7F if first & 0x80 else 0), 0
+    while at < whole[1]:
+        found = head(at)
+        if found is None or seen == 12 or (seen == 0 and found[0] not in (2, 0x30)):
+            return None
+        at, seen = at + found[1], seen + 1
+    return whole[1] if at == whole[1] and seen > 1 else None
 
 
 def wrapped_spans(text: str) -> list[tuple[int, int, int]]:
-    """Keys whose base64 goes on over several lines, whatever lines stand before and after."""
+    """Keys whose base64 goes on over several lines, whatever lines stand before and after. The first bytes of a key say
+    where it ends, and single bytes of base64 are read where they stand, so a line that only looks like a beginning
+    costs a few reads and not the lines behind it."""
     spans = []
     for m in WRAPPED.finditer(text):
-        lines, k = list(LINE.finditer(text, m.start(), m.end())), 0
+        lines = list(LINE.finditer(text, m.start(), m.end()))
+        body = "".join(x[0] for x in lines)
+        starts, total = [], 0
+        for x in lines:
+            starts.append(total)
+            total += x.end() - x.start()
+        stops = starts[1:] + [total]
+        k = 0
         while k < len(lines):
-            end = k + 1
-            head = (decoded(lines[k][0][:40].rstrip("=")) or b"") if lines[k][0].startswith(BEGINNINGS) else b""
-            if head[:1] == b"\x30" and len(head) > 5 or head.startswith(SSH_MARK) or head[4:].startswith(SSH_NAMES):
-                n = head[1] & 0x7F if head[1] & 0x80 else 0
-                size = 0 if head[0] != 0x30 else 2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + head[1]
-                chars = len(lines[k][0])
-                for j in range(k + 1, len(lines)):
-                    chars += len(lines[j][0].rstrip("="))
-                    if chars * 3 // 4 < size:
-                        continue
-                    if head[0] == 0x30 and chars * 3 // 4 > size:
-                        break
-                    data = decoded("".join(x[0] for x in lines[k : j + 1]))
-                    kind = None if data is None else 5 if is_der_key(data) else 6 if is_ssh_key(data) else None
-                    if kind:
-                        spans.append((lines[k].start(), kind, lines[j].end()))
-                        end = j + 1
-                        break
-            k = end
+            at, k = starts[k], k + 1
+            if not body.startswith(BEGINNINGS, at):
+                continue
+
+            def read(p: int, n: int, at: int = at) -> bytes:
+                lo = at + p // 3 * 4
+                return (decoded(body[lo : lo + (p % 3 + n + 2) // 3 * 4]) or b"")[p % 3 : p % 3 + n]
+
+            for kind, size in ((5, der_size(read)), (6, ssh_size(read))):
+                stop = at + -(-size * 4 // 3) if size else 0
+                j = bisect.bisect_left(stops, stop)
+                if not size or j < k or j == len(stops) or stops[j] != stop:
+                    continue
+                data = decoded(body[at:stop])
+                if data is not None and (is_der_key if kind == 5 else is_ssh_key)(data):
+                    end = lines[j].end()
+                    end += len(text[end : end + 2]) - len(text[end : end + 2].lstrip("=")) if j == len(lines) - 1 else 0
+                    spans.append((lines[k - 1].start(), kind, end))
+                    k = j + 1
+                    break
+    return spans
+
+
+def framed_spans(text: str) -> list[tuple[int, int, int]]:
+    """PEM blocks, each from the last head before a foot of its name, whose contents parse or say that they are encrypted."""
+    spans, opened = [], None
+    for m in MARKER.finditer(text):
+        if m[1] == "BEGIN":
+            opened = m
+            continue
+        if opened is not None and opened[2] == m[2] and FRAMED.fullmatch(text, opened.end(), m.start()):
+            inner = text[opened.end() : m.start()]
+            body = decoded("".join("".join(line.split()) for line in inner.split("\n") if ":" not in line))
+            if body and (is_der_key(body) or is_ssh_key(body) or "Proc-Type" in inner):
+                spans.append((opened.start(), 4, m.end()))
+        opened = None
     return spans
 
 
@@ -181,20 +242,20 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     spans = []
     if "." in text and ("ey" in text or "ew" in text):
         spans += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
-    inside = []
-    if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            body = decoded("".join(line for line in m[2].split("\n") if ":" not in line and line.strip() != "").replace(" ", "").replace("\r", ""))
-            if body and (is_der_key(body) or is_ssh_key(body) or "Proc-Type" in m[2]):
-                spans.append((m.start(), 4, m.end()))
-                inside.append((m.start(), m.end()))
+    framed = framed_spans(text) if "-----BEGIN " in text else []
+    spans += framed
+
+    def free(at: int) -> bool:
+        k = bisect.bisect_right(framed, at, key=lambda span: span[0])
+        return k == 0 or framed[k - 1][2] <= at
+
     for m in RUN.finditer(text):
         data = decoded(m[0])
-        if data and not any(a <= m.start() < b for a, b in inside):
+        if data and free(m.start()):
             kind = 5 if is_der_key(data) else 6 if is_ssh_key(data) else None
             if kind:
                 spans.append((m.start(), kind, m.end()))
-    spans += [s for s in wrapped_spans(text) if not any(a <= s[0] < b for a, b in inside)]
+    spans += [s for s in wrapped_spans(text) if free(s[0])]
     for m in HEX_RUN.finditer(text):
         if len(m[1]) % 2 == 0:
             data = bytes.fromhex(m[1])
