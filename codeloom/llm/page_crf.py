@@ -7,33 +7,34 @@ import math
 import random
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages that the field is trained on at most, smallest hashes of their ids first, and the longest of them
-#: in characters and in blocks.
+#: Pages that the field is trained on at most, smallest hashes first, the longest of them in characters, the blocks
+#: of a stretch, and the stretches.
 TRAINED = 240
-TRAINED_CHARS = 20_000
+TRAINED_CHARS = 200_000
 TRAINED_BLOCKS = 60
+TRAINED_STRETCHES = 2_000
 
 #: Layouts that each training page is written in, besides its own.
 LAYOUTS = 3
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|template|noscript|svg|iframe|textarea|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+)>"
-    r"|</?[a-zA-Z][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+#: A tag up to the first ``>`` outside of quoted values, and up to the first at all. A quote that follows no ``=``, or is
+#: without its partner before the next tag, is an ordinary character.
+TAG = re.compile(r"""</?([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>="']++|=\s*+(?:"[^"<]*+"|'[^'<]*+')?|["'])*+)>""")
+PLAIN_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 
 # Elements of HTML by how they break text.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = set("script style textarea title xmp iframe noembed noframes".split())
+HIDDEN = set("svg math template noscript select".split())
+LEAVES_DRAWING = set("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head hr li ol p pre table ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
@@ -45,6 +46,7 @@ ANCESTORS = (
     "head title nav header footer aside form article main section table ul ol li h1 h2 h3 h4 p blockquote pre figure "
     "figcaption button label fieldset dl td body"
 ).split()
+ANCESTOR_SET = frozenset(ANCESTORS)
 
 #: Words of class, id and role names, in groups that mean alike. Fixed values.
 ROLES = {
@@ -70,27 +72,76 @@ PHRASES = re.compile(
 
 @dataclass
 class Block:
-    """Text between two breaks, and where it stands."""
+    """Text between two breaks, and where it stands: the kinds of its ancestors, the roles of their names, their number."""
 
     text: str
-    tags: tuple[str, ...]
+    tags: frozenset[str]
     roles: frozenset[str]
+    depth: int
     linked: int = 0
     label: int | None = None
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
+    """An open element, with what it takes over from those around it."""
+
     tag: str
-    roles: frozenset[str]
+    tags: frozenset[str] = frozenset()
+    roles: frozenset[str] = frozenset()
     label: int | None = None
-
-
-@dataclass
-class _State:
-    stack: list[_Open] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
+    linked: bool = False
+    hidden: int = 0
+    foreign: bool = False
+
+
+class _Stack:
+    """Open elements. Closing one costs no more than the elements it removes: places are kept by tag, those that end a
+    run of inline elements (``solid``) and those that an inline end tag does not cross (``walls``) in lists of their own."""
+
+    def __init__(self) -> None:
+        self.open = [_Open("")]
+        self.places: dict[str, list[int]] = {}
+        self.solid: list[int] = []
+        self.walls: list[int] = []
+
+    @property
+    def top(self) -> _Open:
+        return self.open[-1]
+
+    def push(self, tag: str, attrs: str) -> None:
+        mark = re.search(r'data-label="([01])"', attrs) if "data-label" in attrs else None
+        up, k = self.top, len(self.open)
+        tags = up.tags if tag not in ANCESTOR_SET or tag in up.tags else up.tags | {tag}
+        own = _roles(attrs)
+        self.open.append(_Open(
+            tag, tags, up.roles if own <= up.roles else up.roles | own, int(mark[1]) if mark else up.label, up.linked or tag == "a",
+            up.hidden + (tag in HIDDEN), up.foreign or tag in ("svg", "math"),
+        ))
+        self.places.setdefault(tag, []).append(k)
+        if tag not in INLINE:
+            self.solid.append(k)
+            if tag not in HIDDEN:
+                self.walls.append(k)
+
+    def cut(self, k: int) -> None:
+        while len(self.open) > k:
+            self.places[self.open.pop().tag].pop()
+        for places in (self.solid, self.walls):
+            while places and places[-1] >= k:
+                places.pop()
+
+    def matching(self, tag: str) -> int | None:
+        """Place of the element that an end tag closes."""
+        places = self.places.get(tag)
+        if not places or (tag in INLINE and self.walls and self.walls[-1] > places[-1]):
+            return None
+        return places[-1]
+
+    def close_before(self, tag: str) -> None:
+        """Close what a start tag closes without saying so."""
+        while self.solid and self.open[self.solid[-1]].tag in CLOSES[tag]:
+            self.cut(self.solid[-1])
 
 
 def _roles(attrs: str) -> frozenset[str]:
@@ -106,57 +157,118 @@ def _roles(attrs: str) -> frozenset[str]:
 
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks of text in page order. Character references are decoded, white space inside a block is one space, and
-    blocks without text are left out. What scripts, styles and comments hold is no text. Broken markup is read as far
-    as it goes: an element that was never closed ends with the one around it."""
+    blocks without text are left out. What scripts, styles, comments, drawings, templates and choices hold is no text.
+
+    Broken markup is read as far as it goes, in time proportional to the page: an element that was never closed ends with
+    the one around it, and one that hides its contents does so only if its end tag follows. Scripts and styles without an end
+    go on to the end of the page, as in browsers, and so do comments; a tag that nothing ends is text.
+    """
     blocks: list[Block] = []
-    s = _State()
+    s = _Stack()
+    parts: list[str] = []
+    linked = 0
+    ends: dict[str, int] = {}
+    low = page.lower()
+    if len(low) != len(page):  # letters whose small form is longer
+        low = re.sub("[A-Z]+", lambda m: m[0].lower(), page)
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(s.parts)).split())
+        nonlocal linked
+        text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            roles = frozenset().union(*(o.roles for o in s.stack))
-            labels = [o.label for o in s.stack if o.label is not None]
-            blocks.append(Block(text, tuple(o.tag for o in s.stack), roles, min(s.linked, len(text)), labels[-1] if labels else None))
-        s.parts, s.linked = [], 0
+            up = s.top
+            blocks.append(Block(text, up.tags, up.roles, len(s.open) - 1, min(linked, len(text)), up.label))
+        parts.clear()
+        linked = 0
 
     def add(text: str) -> None:
-        s.parts.append(text)
-        if any(o.tag == "a" for o in s.stack):
-            s.linked += len(" ".join(text.split()))
-
+        nonlocal linked
+        if not s.top.hidden:
+            parts.append(text)
+            if s.top.linked:
+                linked += len(" ".join(text.split()))
+
+    def ended(tag: str, at: int) -> bool:
+        if tag not in ends:
+            ends[tag] = low.rfind("</" + tag)
+        return ends[tag] >= at
+
+    def skipped(at: int) -> int:
+        """End of the comment or declaration that begins here."""
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 2)
+            return stop + 3 if stop >= 0 else len(page)
+        if page.startswith("<![CDATA[", at) and sections > at:
+            return page.index("]]>", at) + 3
+        return page.find(">", at) + 1
+
+    tags, last, sections = TAG, page.rfind(">"), page.rfind("]]>")
     at = 0
-    for m in TAG.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
+    while (mark := page.find("<", at)) >= 0:
+        if mark > at:
+            add(page[at:mark])
+        if page.startswith("<!--", mark) or page[mark + 1 : mark + 2] in ("!", "?") and mark < last:
+            at = skipped(mark)
+            continue
+        m = tags.match(page, mark) if mark < last else None
+        if m is None and mark < last and PLAIN_TAG.match(page, mark):
+            tags = PLAIN_TAG  # every tag end behind here stands in quotes, so those are none
+            m = tags.match(page, mark)
+        if m is None:
+            add("<")
+            at = mark + 1
+            continue
         at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            if m["raw"]:
-                s.parts.append(" ")
+        tag, attrs = m[1].lower(), m[2]
+        if page[mark + 1] == "/":
+            k = s.matching(tag)
+            if s.top.hidden:
+                if k is None or s.open[k - 1].hidden:
+                    s.cut(k or len(s.open))
+                    continue
+                s.cut(next(i for i in range(k, len(s.open)) if s.open[i].hidden))
+                parts.append(" ")
+            if tag not in INLINE and tag not in HIDDEN:
+                flush()
+            if k is not None:
+                s.cut(k)
             continue
-        if tag == "br":
-            s.parts.append(" ")
+        if s.top.foreign and tag in LEAVES_DRAWING and not s.places.get("foreignobject"):
+            s.cut(min(s.places[t][0] for t in ("svg", "math") if s.places.get(t)))
+        self_closed = attrs.endswith("/")
+        if tag in RAW and not (self_closed and (s.top.foreign or not ended(tag, at))):
+            if ended(tag, at):
+                stop = low.index("</" + tag, at)
+                if tag == "title" and not s.top.hidden and not s.top.foreign:
+                    flush()
+                    s.push(tag, attrs)
+                    add(page[at:stop])
+                    flush()
+                    s.cut(len(s.open) - 1)
+                elif not s.top.hidden:
+                    parts.append(" ")
+                gt = page.find(">", stop)
+                at = gt + 1 if gt >= 0 else len(page)
+            elif tag in ("script", "style"):
+                at = len(page)
             continue
-        if tag not in INLINE:
-            flush()
-        if m["end"]:
-            for k in range(len(s.stack) - 1, -1, -1):
-                if s.stack[k].tag == tag:
-                    del s.stack[k:]
-                    break
-                if tag in INLINE and s.stack[k].tag not in INLINE:
-                    break
+        if tag == "br" or tag in RAW:
+            if not s.top.hidden:
+                parts.append(" ")
+            continue
+        if tag in HIDDEN:
+            if not self_closed and ended(tag, at) and not (tag in ("select", "noscript") and s.places.get(tag)):
+                if not s.top.hidden:
+                    parts.append(" ")
+                s.push(tag, attrs)
             continue
-        if tag in VOID or m["attrs"].endswith("/"):
+        if tag not in INLINE and not s.top.hidden:
+            flush()
+        if tag in VOID or self_closed:
             continue
         if tag in CLOSES:
-            k = len(s.stack)
-            while k and (s.stack[k - 1].tag in INLINE or s.stack[k - 1].tag in CLOSES[tag]):
-                k -= 1
-                if s.stack[k].tag in CLOSES[tag]:
-                    del s.stack[k:]
-        mark = re.search(r'data-label="([01])"', m["attrs"]) if "data-label" in m["attrs"] else None
-        s.stack.append(_Open(tag, _roles(m["attrs"]), int(mark[1]) if mark else None))
+            s.close_before(tag)
+        s.push(tag, attrs)
     if at < len(page):
         add(page[at:])
     flush()
@@ -180,8 +292,8 @@ def block_features(blocks: list[Block]) -> np.ndarray:
         x[k] = places[place] + [
             1.0, math.log1p(words) / 4, words >= 8, words >= 20, b.linked / len(b.text), b.linked * 2 > len(b.text),
             b.text[-1] in ".!?…\"'»”:", min((b.text.count(",") + b.text.count(".")) / words, 1.0), phrase,
-            phrase and words < 30, sum(map(str.isdigit, b.text[:80])) / min(len(b.text), 80),
-            k == 0, k == n - 1, k / n, len(b.tags) / 10,
+            phrase and words < 30, sum(map(b.text.count, "0123456789")) / len(b.text),
+            k == 0, k == n - 1, k / n, b.depth / 10,
         ]
     return x
 
@@ -269,9 +381,9 @@ def plain_labels(blocks: list[Block]) -> list[int] | None:
     none for a page without such an element."""
     apart = {"nav", "header", "footer", "aside", "form", "button", "head", "title"}
     other = {"advert", "talk", "notice", "form", "menu", "side", "share", "foot"}
-    if not any({"article", "main"} & set(b.tags) for b in blocks):
+    if not any({"article", "main"} & b.tags for b in blocks):
         return None
-    return [int(bool({"article", "main"} & set(b.tags)) and not apart & set(b.tags) and not other & b.roles) for b in blocks]
+    return [int(bool({"article", "main"} & b.tags) and not apart & b.tags and not other & b.roles) for b in blocks]
 
 
 LINKS = "Home|About us|Contact|News|Products|Archive|Help|Accueil|Startseite|Kontakt|Inicio|Blog|Shop|Politics|Sport|Search".split("|")
@@ -337,11 +449,15 @@ def laid_out(paragraphs: list[str], others: list[str], rng: random.Random) -> st
 
 
 def training_pages(sample: list[str], layouts: int = LAYOUTS, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Features and labels of the sample's pages that mark their article, and of their texts in other layouts."""
+    """Features and labels of the sample's pages that mark their article, and of their texts in other layouts. Where no
+    page marks one, long blocks of the pages serve as paragraphs of the drawn layouts, in which labels are known, and
+    short ones as what stands around them. Chains of many blocks are cut into stretches."""
     rng = random.Random(seed)
-    own = [(blocks, labels) for page in sample if (labels := plain_labels(blocks := leaf_blocks(page)))]
-    texts = [[b.text for b, y in zip(blocks, labels, strict=True) if y] for blocks, labels in own]
-    others = [b.text for blocks, labels in own for b, y in zip(blocks, labels, strict=True) if not y]
+    read = [(blocks, plain_labels(blocks)) for blocks in map(leaf_blocks, sample)]
+    own = [(blocks, labels) for blocks, labels in read if labels]
+    guessed = own or [(blocks, [int(b.text.count(" ") >= 12 and b.linked * 2 < len(b.text)) for b in blocks]) for blocks, _ in read]
+    texts = [[b.text for b, y in zip(blocks, labels, strict=True) if y] for blocks, labels in guessed]
+    others = [b.text for blocks, labels in guessed for b, y in zip(blocks, labels, strict=True) if not y]
     sentences = [t for ts in texts for t in ts[:3]]
     pages = [(block_features(blocks), np.array(labels)) for blocks, labels in own]
     for paragraphs in texts:
@@ -349,13 +465,25 @@ def training_pages(sample: list[str], layouts: int = LAYOUTS, seed: int = 7) ->
             around = rng.sample(sentences, min(6, len(sentences))) + rng.sample(others, min(4, len(others)))
             blocks = leaf_blocks(laid_out(paragraphs[:25], around, rng))
             pages.append((block_features(blocks), np.array([b.label or 0 for b in blocks])))
-    return [p for p in pages if len(p[1]) <= TRAINED_BLOCKS]
+    cuts = [(x[lo : lo + TRAINED_BLOCKS], y[lo : lo + TRAINED_BLOCKS]) for x, y in pages for lo in range(0, len(y), TRAINED_BLOCKS)]
+    return cuts if len(cuts) <= TRAINED_STRETCHES else rng.sample(cuts, TRAINED_STRETCHES)
+
+
+def sampled_pages(pages: DataFrame, most: int) -> list[str]:
+    """At most ``most`` pages, those with the smallest hashes: hashes first, so that a task sends numbers and not pages,
+    and copies of one page count once."""
+    fit = pages.select("html", F.xxhash64("page_id", "url", "html").alias("h"))
+    least = [r["h"] for r in fit.select("h").distinct().orderBy("h").limit(most).collect()]
+    if not least:
+        return []
+    taken = fit.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("html").alias("html"))
+    return [r["html"] for r in sorted(taken.collect(), key=lambda r: r["h"])]
 
 
 def trained_field(pages: DataFrame, most: int = TRAINED) -> Field:
-    """The field, trained on a bounded sample of the pages."""
-    fit = pages.where(F.length("html").between(1, TRAINED_CHARS)).select("html", F.xxhash64("page_id", "url").alias("h"))
-    sample = [r["html"] for r in fit.orderBy("h", F.xxhash64("html")).limit(most).collect()]
+    """The field, trained on a bounded sample of the pages that mark their article, or of all where none does."""
+    fit = pages.where(F.length("html").between(1, TRAINED_CHARS))
+    sample = sampled_pages(fit.where(F.col("html").rlike(r"(?i)<(?:article|main)[\s>/]")), most) or sampled_pages(fit, most)
     rows = training_pages(sample)
     return train_field(rows) if rows else Field(np.zeros(N_FEATURES), np.zeros((2, 2)))
 
@@ -366,8 +494,8 @@ def main_texts(pages: DataFrame, model: Field | None = None) -> DataFrame:
 
     The field is trained on at most ``TRAINED`` pages that mark their article themselves and on their texts in layouts drawn
     at random, in which every element's label is known; then every page is cut into blocks and decoded by itself, whole
-    and without a shuffle. Null or empty pages, and pages without main text, give an empty text. Without pages that mark
-    an article nothing can be learned and all texts are empty. Repeated rows are each extracted. Other columns are not read.
+    and without a shuffle. Without pages that mark an article, the layouts hold the long blocks of any pages. Null or empty
+    pages, and pages without main text, give an empty text. Repeated rows are each extracted. Other columns are not read.
     """
     model = model or trained_field(pages)
 
