@@ -213,6 +213,7 @@ ORACLES: dict[str, str] = {
         WHERE p.rev = 1 AND step.old_content IS NOT NULL GROUP BY path""",
     "src_prompt": f"WITH {_FN}, {_ASKED} SELECT path, rev, name, prompt FROM asked",
     "src_generate": f"WITH {_FN}, {_ASKED} SELECT path, rev, name, answer FROM answered",
+    "src_generate_again": f"WITH {_FN}, {_ASKED} SELECT path, rev, name, answer FROM answered",
     "src_validate": f"""WITH {_FN} SELECT path, rev, ok AS success, count(*) AS n FROM py, (SELECT unnest([true, false]) AS ok)
         WHERE dl > 0 GROUP BY path, rev, ok""",
     "src_attempts": f"WITH {_FN}, {_ASKED} SELECT path, rev, fn_id, success, answer AS comment FROM answered",
@@ -225,7 +226,7 @@ ORACLES: dict[str, str] = {
     "src_comment_pairs": f"""WITH {_FN}, {_ASKED} SELECT path, key AS code, doc AS original_comment, new_doc AS agent_comment
         FROM documented WHERE path LIKE '%.py' AND doc <> new_doc""",
     "src_snapshot": f"WITH {_FN} SELECT rev, path, md5(content) AS content_md5 FROM file",
-    "load_snapshot_files": f"WITH {_FN} SELECT 0::BIGINT AS rev, path, md5(content || chr(10)) AS content_md5 FROM pyfile WHERE rev = 0",
+    "load_snapshot_files": f"WITH {_FN} SELECT rev, path, md5(content || chr(10)) AS content_md5 FROM file",
     "pair_jaccard": f"""WITH {_PAIR}, d AS (SELECT conv_id, turn, list_distinct(wa) AS x, list_distinct(wb) AS y FROM words)
         SELECT conv_id, turn, round(coalesce(len(list_intersect(x, y)) / nullif(len(list_distinct(list_concat(x, y))), 0), 0.0), 6) AS score FROM d""",
     "pair_levenshtein": f"""WITH {_PAIR}, c AS (SELECT conv_id, turn, translate(a, '{_LETTERS}', '{_SIGNS}') AS x, translate(b, '{_LETTERS}', '{_SIGNS}') AS y FROM pair)

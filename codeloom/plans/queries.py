@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -297,6 +298,22 @@ def src_generate(spark, sf_dir):
     return generate.map_generate(step_prompts(step(spark, sf_dir)), stand_in()).select("path", "rev", "name", "answer")
 
 
+@query
+def src_generate_again(spark, sf_dir):
+    # The second run finds every answer in the store: its model would refuse.
+    def refuses() -> generate.TextModel:
+        def answer(prompts: list[str]) -> list[str]:
+            raise RuntimeError(f"{len(prompts)} prompts asked again")
+
+        return answer
+
+    store = scratch_dir(spark, "store")
+    prompts = materialize(step_prompts(step(spark, sf_dir)), "again")
+    generate.fill_answers(prompts, stand_in(), store, tasks=8, batch_chars=20_000, rounds=2)
+    generate.fill_answers(prompts, refuses, store)
+    return generate.with_answers(prompts, store).select("path", "rev", "name", "answer")
+
+
 @query
 def src_validate(spark, sf_dir):
     docs = function_doc_pairs(functions(python_sources(spark, sf_dir)))
@@ -359,10 +376,10 @@ def src_snapshot(spark, sf_dir):
 def load_snapshot_files(spark, sf_dir):
     # Spark names the files, so a source's path is the folder its file lies in.
     root = scratch_dir(spark, "tree")
-    python_sources(spark, sf_dir, 0).select("path", "content").write.partitionBy("path").text(root)
-    files = load_snapshot(spark, root, 0, "*.txt")
+    sources(spark, sf_dir, *range(4)).select("rev", "path", "content").write.partitionBy("rev", "path").text(root)
     folder = F.url_decode(F.regexp_extract("path", "^path=([^/]+)/", 1))
-    return content_md5(files.withColumn("path", folder))
+    trees = [load_snapshot(spark, f"{root}/rev={rev}", rev, "*.txt") for rev in range(4)]
+    return content_md5(reduce(DataFrame.unionByName, trees).withColumn("path", folder))
 
 
 # Scores of pairs: a user's turn and the assistant's answer to it.

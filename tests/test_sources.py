@@ -1,3 +1,5 @@
+import pytest
+
 from codeloom.sources.results import append_run, load_attempts, load_scores
 from codeloom.sources.snapshots import load_snapshot, read_snapshot, write_snapshot
 
@@ -8,18 +10,44 @@ def test_snapshot_of_a_tree(spark, tmp_path):
     (tmp_path / "top.py").write_bytes(b"a\xff\n")
     (tmp_path / "empty.py").write_text("")
     (tmp_path / "notes.txt").write_text("no")
+    (tmp_path / "pkg" / "__init__.py").write_text("")
+    (tmp_path / "none" / "in here").mkdir(parents=True)
     (tmp_path / "bom.py").write_text("\ufeffdef f(): pass\n")
     inner = tmp_path / str(tmp_path).strip("/") / "deep%20é"
     inner.mkdir(parents=True)
     (inner / "m.py").write_text("y\n")
     want = {
-        "pkg/a b+c/m.py": "x = 'é'\n", "top.py": "a\ufffd\n", "empty.py": "", "bom.py": "def f(): pass\n",
+        "pkg/a b+c/m.py": "x = 'é'\n", "top.py": "a\ufffd\n", "empty.py": "", "pkg/__init__.py": "", "bom.py": "def f(): pass\n",
         f"{str(tmp_path).strip('/')}/deep%20é/m.py": "y\n",
     }
     for root in (str(tmp_path), f"{tmp_path}/", f"file://{tmp_path}"):
         assert {r.path: (r.rev, r.content) for r in load_snapshot(spark, root, 7).collect()} == {p: (7, c) for p, c in want.items()}
 
 
+def test_listing_is_done_by_tasks(spark, tmp_path, monkeypatch):
+    """Deep and wide trees, batches cut by bytes, other globs; nothing but counts is collected."""
+    from codeloom.sources import snapshots
+
+    want = {}
+    for k in range(60):
+        name = "/".join(["d"] * (k % 7) + [f"x{k % 5}", f"f{k}.{'py' if k % 2 else 'txt'}"])
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"line {k}\n" * (k * 10))
+        want[name] = f"line {k}\n" * (k * 10)
+    monkeypatch.setattr(snapshots, "BATCH_BYTES", 1000)
+    for glob, fits in (("*", lambda n: True), ("*.{py,txt}", lambda n: True), ("f[12]*.txt", lambda n: n.split("/")[-1][1] in "12" and n.endswith("txt"))):
+        got = {r.path: r.content for r in load_snapshot(spark, str(tmp_path), 1, glob).collect()}
+        assert got == {n: c for n, c in want.items() if fits(n)}
+    assert load_snapshot(spark, str(tmp_path), 1, "*.java").count() == 0
+    only = f"{tmp_path}/x1/f1.py" if (tmp_path / "x1/f1.py").exists() else str(next(tmp_path.rglob("f1.py")))
+    assert [r.content for r in load_snapshot(spark, only, 1).collect()] == ["line 1\n" * 10]
+
+
+def test_a_tree_that_is_not_there(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)not exist|no such|cannot get"):
+        load_snapshot(spark, str(tmp_path / "gone"), 1).count()
+
+
 def test_snapshot_writes_few_files(spark, tmp_path):
     rows = spark.range(400, numPartitions=16).selectExpr("id % 4 AS rev", "concat('p', id) AS path", "repeat('x', 50) AS content")
     write_snapshot(rows, str(tmp_path / "t"))
