@@ -6,9 +6,14 @@ of contents, which bounds each group; no key here collects several files or revi
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import ArrayType, IntegerType
 
 from codeloom.functions.text import line_array
 from codeloom.operators.lines import FILE_KEY
@@ -44,70 +49,104 @@ def _trim(regions: DataFrame) -> DataFrame:
     )
 
 
-def _line_rows(regions: DataFrame, context: bool) -> DataFrame:
-    """One row per line of a region; its key is its text, alone or between its neighbours."""
+def _line_rows(regions: DataFrame) -> DataFrame:
+    """One row per line of a region."""
 
     def tagged(side: int, lines: str, start: str) -> str:
-        around = f"ifnull(get({lines}, i - 1), '\\0'), t, ifnull(get({lines}, i + 1), '\\0')"
-        key = f"xxhash64({around if context else 't'})"
-        return f"transform({lines}, (t, i) -> struct({side} AS side, {start} + i AS ln, t AS text, {key} AS key))"
+        return f"transform({lines}, (t, i) -> struct({side} AS side, {start} + i AS ln, t AS text))"
 
     old, new = tagged(OLD, "old_lines", "old_start"), tagged(NEW, "new_lines", "new_start")
     return regions.selectExpr(*_REGION.split(", "), f"inline(concat({old}, {new}))")
 
 
+def _chain(values: Sequence[int]) -> list[int]:
+    """Positions of a longest increasing subsequence, by patience piles: the top of a pile is the least value that ends
+    a chain of the pile's number."""
+    tops: list[int] = []
+    top_at: list[int] = []
+    before: list[int] = []
+    for at, value in enumerate(values):
+        pile = bisect_left(tops, value)
+        before.append(top_at[pile - 1] if pile else -1)
+        tops[pile : pile + 1] = [value]
+        top_at[pile : pile + 1] = [at]
+    chain = []
+    at = top_at[-1] if top_at else -1
+    while at >= 0:
+        chain.append(at)
+        at = before[at]
+    return chain[::-1]
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _longest_chain(partners: pd.Series) -> pd.Series:
+    return partners.map(_chain)
+
+
+def _context_key(lines: str) -> str:
+    return f"xxhash64(ifnull(get({lines}, i - 1), '\\0'), t, ifnull(get({lines}, i + 1), '\\0'))"
+
+
 def _split_at_anchors(regions: DataFrame, context: bool) -> DataFrame:
-    """Split regions at lines whose key occurs once on each side, unless two such anchors cross. A line without
-    a letter or digit says too little to be an anchor by itself."""
-    same_key = f"OVER (PARTITION BY {_REGION}, key)"
-    side = f"PARTITION BY {_REGION}, side ORDER BY ln"
-    telling = "true" if context else "text RLIKE '(?U)\\\\w'"
-    earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    # Later anchors are read in descending order: frames that follow the current row cost quadratic time.
-    gaps = (
-        _line_rows(regions, context)
-        .selectExpr(
-            "*",
-            f"""CASE WHEN {telling} AND count_if(side = {OLD}) {same_key} = 1 AND count_if(side = {NEW}) {same_key} = 1
-                      AND min(text) {same_key} = max(text) {same_key}
-                 THEN sum(ln) {same_key} - ln END AS partner""",
-        )
-        .selectExpr(
-            "*",
-            f"min(partner) OVER ({side} DESC {earlier}) AS following",
-            f"max(partner) OVER ({side} {earlier}) AS preceding",
-        )
-        .selectExpr(
-            "*",
-            "partner IS NOT NULL AND ifnull(preceding < partner, true) AND ifnull(following > partner, true) AS anchor",
-        )
-        .selectExpr("*", f"count_if(anchor) OVER ({side} ROWS UNBOUNDED PRECEDING) AS gap")
-        .where("NOT anchor")
-        .groupBy(*_REGION.split(", "), "gap")
-        .agg(
-            F.expr(f"array_sort(collect_list(struct(ln, text)) FILTER (WHERE side = {OLD})) AS old_rows"),
-            F.expr(f"array_sort(collect_list(struct(ln, text)) FILTER (WHERE side = {NEW})) AS new_rows"),
-        )
+    """Split regions at lines that occur once on each side, alone or (``context``) with their neighbours too. Where such
+    anchors cross, as around a moved block, a longest chain of them that does not is kept. A line without a letter or digit says
+    too little to be an anchor by itself.
+
+    All of it happens inside the row, before any shuffle, in n log n of its lines: equal keys are neighbours in sorted
+    order. Only the anchors of rows in which some cross go to a Python worker.
+    """
+
+    def tagged(side: int, lines: str) -> str:
+        rows = "transform({0}, (t, i) -> struct({1} AS key, {2} AS side, i AS at))"
+        alone = f"filter({rows.format(lines, 'xxhash64(t)', side)}, x -> {lines}[x.at] RLIKE '(?U)\\\\w')"
+        return f"{alone}, {rows.format(lines, _context_key(lines), side)}" if context else alone
+
+    keyed = regions.selectExpr("*", f"array_sort(concat({tagged(OLD, 'old_lines')}, {tagged(NEW, 'new_lines')})) AS keyed")
+    once = f"""x.side = {OLD} AND get(keyed, i + 1).side = {NEW} AND get(keyed, i + 1).key = x.key
+               AND NOT get(keyed, i - 1).key <=> x.key AND NOT get(keyed, i + 2).key <=> x.key
+               AND old_lines[x.at] = get(new_lines, get(keyed, i + 1).at)"""
+    anchored = keyed.selectExpr(
+        *_REGION.split(", "),
+        "old_lines",
+        "new_lines",
+        f"""array_sort(filter(transform(keyed, (x, i) -> if({once}, struct(x.at AS a, get(keyed, i + 1).at AS b), NULL)),
+                              x -> x IS NOT NULL)) AS found""",
     )
-    return _trim(
-        gaps.selectExpr(
-            "path",
-            "rev",
-            "cast(ifnull(get(old_rows, 0).ln, 0) AS int) AS old_start",
-            "cast(ifnull(get(new_rows, 0).ln, 0) AS int) AS new_start",
-            "old_rows.text AS old_lines",
-            "new_rows.text AS new_lines",
-        )
+    if context:  # a line may be an anchor by itself and by its neighbours, with one partner
+        anchored = anchored.withColumn("anchors", F.expr("filter(found, (x, i) -> NOT x <=> get(found, i - 1))"))
+    else:
+        anchored = anchored.withColumnRenamed("found", "anchors")
+    anchored = anchored.selectExpr("*", "anchors.b <> array_sort(anchors.b) AS crossed")
+    chained = anchored.withColumn("chain", _longest_chain(F.expr("if(crossed, anchors.b, cast(array() AS array<int>))")))
+    ends = chained.selectExpr(
+        *_REGION.split(", "),
+        "old_lines",
+        "new_lines",
+        """concat(array(struct(-1 AS a, -1 AS b)), if(crossed, transform(chain, i -> anchors[i]), anchors),
+                  array(struct(size(old_lines) AS a, size(new_lines) AS b))) AS ends""",
+    )
+
+    def between(lines: str, at: str) -> str:
+        return f"slice({lines}, ends[i].{at} + 2, ends[i + 1].{at} - ends[i].{at} - 1)"
+
+    gaps = ends.selectExpr(
+        "path",
+        "rev",
+        f"""inline(transform(sequence(0, size(ends) - 2), i -> struct(
+              old_start + ends[i].a + 1 AS old_start, new_start + ends[i].b + 1 AS new_start,
+              {between("old_lines", "a")} AS old_lines, {between("new_lines", "b")} AS new_lines)))""",
     )
+    return _trim(gaps.where("size(old_lines) + size(new_lines) > 0"))
 
 
 def line_changes(pairs: DataFrame, mode: str = "aligned") -> DataFrame:
     """(path, rev, side, ln): lines of the old side (0) that are gone and of the new side (1) that are new.
 
-    ``aligned``: files are cut at unique lines first, so repeated lines are matched near their neighbours.
+    ``aligned``: files are cut at unique lines first, so repeated lines are matched near their neighbours. Of unique lines
+    that crossed, as many as can keep their order stay.
     ``multiset``: the k-th copy of a line matches the k-th copy on the other side, wherever it stands.
 
-    Unchanged files and common heads and tails are dropped inside the content row, before any shuffle.
+    Unchanged files, common heads and tails and kept unique lines are dropped inside the content row, before the shuffle.
     """
     if mode not in ("aligned", "multiset"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -123,13 +162,11 @@ def line_changes(pairs: DataFrame, mode: str = "aligned") -> DataFrame:
         )
     )
     if mode == "aligned":
-        regions = _trim(regions)
+        regions = _split_at_anchors(_split_at_anchors(_trim(regions), context=True), context=False)
     regions = regions.repartition(*FILE_KEY)
-    if mode == "aligned":
-        regions = _split_at_anchors(_split_at_anchors(regions, context=True), context=False)
     copy = f"row_number() OVER (PARTITION BY {_REGION}, side, text ORDER BY ln) AS copy"
     return (
-        _line_rows(regions, context=False)
+        _line_rows(regions)
         .selectExpr("*", copy)
         .selectExpr("*", f"count(1) OVER (PARTITION BY {_REGION}, text, copy) AS sides")
         .where("sides = 1")

@@ -64,6 +64,42 @@ step AS (
   WHERE o.content IS DISTINCT FROM n.content)
 """
 
+# Lines that differ from revision 0 to 1. Between two functions that stay, the last blank lines of both sides are one, other
+# blank and quote lines of functions that go match those of functions that come in order. Where the last difference of several
+# is only lines that go or come, the blank line above them counts and not the one below.
+_LINES = """
+stays AS (SELECT path, k FROM py WHERE rev <= 1 GROUP BY path, k HAVING count(*) = 2),
+placed AS (
+  SELECT p.path, p.k, p.rev, p.dl, p.start_ln, s.k IS NOT NULL AS common,
+         count(s.k) OVER (PARTITION BY p.path, p.rev ORDER BY p.k) AS gap
+  FROM py p LEFT JOIN stays s ON s.path = p.path AND s.k = p.k
+  WHERE p.rev <= 1 AND p.path IN (SELECT path FROM step)),
+numbered AS (SELECT *, unnest(range(0, dl + 4)) AS i FROM placed),
+kinds AS (
+  SELECT *, (start_ln + i)::INTEGER AS ln,
+         CASE WHEN dl = 3 AND i IN (1, 3) THEN 'quote' WHEN i = dl + 3 THEN 'blank' ELSE 'own' END AS kind
+  FROM numbered),
+counts AS (SELECT path, 1 - rev AS rev, gap, kind, count(*) AS there FROM kinds WHERE NOT common GROUP BY ALL),
+lone AS (
+  SELECT k.*, row_number() OVER w AS copy, count(*) OVER (PARTITION BY k.path, k.rev, k.gap, k.kind) AS here, coalesce(c.there, 0) AS there
+  FROM kinds k LEFT JOIN counts c ON c.path = k.path AND c.rev = k.rev AND c.gap = k.gap AND c.kind = k.kind
+  WHERE NOT common WINDOW w AS (PARTITION BY k.path, k.rev, k.gap, k.kind ORDER BY ln)),
+plain AS (
+  SELECT path, rev, gap, ln, true AS common, false AS ends FROM kinds
+  WHERE common AND ((k % 5 = 0 AND i = dl + 1) OR (k % 7 = 0 AND dl > 0 AND i = CASE dl WHEN 1 THEN 1 ELSE 2 END))
+  UNION ALL SELECT path, rev, gap, ln, false, kind = 'blank' AND there = 0 AND copy = here FROM lone
+  WHERE CASE kind WHEN 'own' THEN true WHEN 'quote' THEN copy > there
+                  ELSE there = 0 OR (copy < here AND copy > there - 1) END),
+slid AS (
+  SELECT p.path, p.rev, p.gap FROM plain p
+  WHERE ends AND gap = (SELECT max(gap) FROM plain q WHERE q.path = p.path)
+    AND EXISTS (SELECT 1 FROM plain q WHERE q.path = p.path AND (q.gap < p.gap OR q.common))),
+differ AS (
+  SELECT path, rev AS side, ln FROM plain WHERE NOT (ends AND (path, rev, gap) IN (SELECT path, rev, gap FROM slid))
+  UNION ALL SELECT k.path, k.rev, k.ln FROM kinds k JOIN slid s ON s.path = k.path AND s.rev = k.rev AND s.gap = k.gap
+  WHERE k.common AND k.kind = 'blank')
+"""
+
 # The stand-in model: prompts and answers for the functions touched at revision 1.
 _ASKED = """
 asked AS (
@@ -190,15 +226,16 @@ ORACLES: dict[str, str] = {
     "src_comment_lines": f"""WITH {_FN} SELECT path, rev, unnest(range(start_ln + 1, start_ln + dl + 1))::INTEGER AS ln FROM py""",
     "src_comment_ranges": f"""WITH {_FN} SELECT path, rev, fn_id, start_ln + 1 AS doc_start_ln, start_ln + dl AS doc_end_ln FROM py WHERE dl > 0""",
     "src_doc_pairs": f"WITH {_FN} SELECT path, rev, fn_id, doc, key FROM py WHERE dl > 0",
+    "src_changed_lines": f"WITH {_FN}, {_LINES} SELECT path, 1::BIGINT AS rev, ln FROM differ WHERE side = 1",
+    "src_removed_lines": f"WITH {_FN}, {_LINES} SELECT path, 1::BIGINT AS rev, ln FROM differ WHERE side = 0",
     "src_changed_functions": f"WITH {_FN} SELECT path, rev, fn_id, name FROM touched",
     "src_changed_history": f"""WITH {_FN}, born AS (SELECT path, min(rev) AS first_rev FROM pyfile GROUP BY path)
         SELECT path, rev, name FROM py JOIN born USING (path)
-        WHERE rev > first_rev AND (k % 5 = 0 OR (rev = 1 AND (k % 13 = 0 OR (k % 7 = 0 AND dl > 0))))""",
+        WHERE rev = first_rev OR k % 5 = 0 OR (rev = 1 AND (k % 13 = 0 OR (k % 7 = 0 AND dl > 0)))""",
     "src_docs_changed": f"WITH {_FN} SELECT path, rev, fn_id, doc, key FROM touched WHERE dl > 0",
-    "src_doc_change_lines": f"""WITH {_FN}
-        SELECT path, 1::BIGINT AS rev, start_ln + CASE dl WHEN 1 THEN 1 ELSE 2 END AS ln,
-               CASE dl WHEN 1 THEN '    ' || doc ELSE '    ' || words END AS text
-        FROM py WHERE rev = 0 AND dl > 0 AND (k % 7 = 0 OR k % 11 = 0) AND path IN (SELECT path FROM step)""",
+    "src_doc_change_lines": f"""WITH {_FN}, {_LINES}
+        SELECT d.path, 1::BIGINT AS rev, d.ln, CASE WHEN dl = 1 THEN '    ' || doc WHEN d.ln = start_ln + 2 THEN '    ' || words ELSE '    \"\"\"' END AS text
+        FROM differ d JOIN py p ON p.path = d.path AND p.rev = 0 AND d.ln BETWEEN p.start_ln + 1 AND p.start_ln + p.dl WHERE d.side = 0""",
     "src_doc_slots": f"""WITH {_FN} SELECT path, rev, name, code, start_ln + 1 AS slot_ln, start_ln + dl AS replace_to_ln, 4 AS slot_col FROM touched""",
     "src_strip": f"WITH {_FN} SELECT path, rev, false AS leaves_empty, md5(bare || chr(10)) AS content_md5 FROM pyfile",
     "src_strip_changed": f"""WITH {_FN}
@@ -311,5 +348,5 @@ ORACLES: dict[str, str] = {
     "stream_changed": f"WITH {_TURNS} SELECT * FROM changed",
     "stream_functions": f"""WITH {_FN}, born AS (SELECT path, min(rev) AS first_rev FROM pyfile GROUP BY path)
         SELECT path, rev, name FROM py JOIN born USING (path)
-        WHERE rev > 0 AND (rev = first_rev OR k % 5 = 0 OR (rev = 1 AND (k % 13 = 0 OR (k % 7 = 0 AND dl > 0))))""",
+        WHERE rev = first_rev OR k % 5 = 0 OR (rev = 1 AND (k % 13 = 0 OR (k % 7 = 0 AND dl > 0)))""",
 }

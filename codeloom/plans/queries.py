@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import strip_ws
 from codeloom.operators import generate, metrics, rewrite, score
 from codeloom.operators.diff import change_hunks, changed_lines, removed_lines
 from codeloom.operators.lines import assemble_files, cluster_files, explode_lines
@@ -211,6 +210,16 @@ def src_doc_pairs(spark, sf_dir):
     return function_doc_pairs(functions(python_sources(spark, sf_dir)))
 
 
+@query
+def src_changed_lines(spark, sf_dir):
+    return changed_lines(step(spark, sf_dir))
+
+
+@query
+def src_removed_lines(spark, sf_dir):
+    return removed_lines(step(spark, sf_dir))
+
+
 @query
 def src_changed_functions(spark, sf_dir):
     return step_functions(step(spark, sf_dir)).select("path", "rev", "fn_id", "name")
@@ -218,7 +227,7 @@ def src_changed_functions(spark, sf_dir):
 
 @query
 def src_changed_history(spark, sf_dir):
-    pairs = materialize(previous_revision(python_sources(spark, sf_dir)).where("prev_rev IS NOT NULL"), "pairs")
+    pairs = materialize(previous_revision(python_sources(spark, sf_dir)), "pairs")
     changed = changed_functions(functions(cluster_files(rewrite.new_side(pairs))), changed_lines(pairs))
     return changed.select("path", "rev", "name")
 
@@ -230,12 +239,10 @@ def src_docs_changed(spark, sf_dir):
 
 @query
 def src_doc_change_lines(spark, sf_dir):
-    # Bare quote lines repeat, so that more than one line may stand for the changed one.
     pairs = step(spark, sf_dir)
     old = rewrite.old_side(pairs)
     lines = doc_change_lines(changed_functions(functions(cluster_files(old)), removed_lines(pairs)))
-    texts = explode_lines(old).where(strip_ws(F.col("text")) != '"""')
-    return lines.join(texts, ["path", "rev", "ln"]).select("path", "rev", "ln", "text")
+    return lines.join(explode_lines(old), ["path", "rev", "ln"]).select("path", "rev", "ln", "text")
 
 
 def step_slots(pairs: DataFrame) -> DataFrame:
@@ -606,5 +613,4 @@ def stream_functions(spark, sf_dir):
     files.write.parquet(staged)
     feed = spark.readStream.schema(files.schema).parquet(staged)
     stream_changed_functions(feed, target, scratch_dir(spark, "functions-query")).awaitTermination()
-    rows = spark.read.option("recursiveFileLookup", "true").schema("path string, rev bigint, name string").parquet(target)
-    return rows.where("rev > 0")
+    return spark.read.option("recursiveFileLookup", "true").schema("path string, rev bigint, name string").parquet(target)

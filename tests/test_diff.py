@@ -1,5 +1,6 @@
 import difflib
 import random
+import time
 
 import pytest
 
@@ -66,6 +67,39 @@ def test_kept_lines_agree_on_both_sides(spark):
     assert longer <= 6
 
 
+def test_crossing_anchors_keep_a_longest_chain(pairs):
+    """Lines that are unique on both sides: what stays is a longest common subsequence."""
+    rng, texts, most = random.Random(11), {}, {}
+    for i in range(60):
+        n = rng.randint(2, 60)
+        new = list(range(n))
+        for _ in range(rng.randint(1, 4)):
+            at, to = sorted(rng.sample(range(n + 1), 2))
+            block = new[at:to]
+            del new[at:to]
+            at = rng.randint(0, len(new))
+            new[at:at] = block
+        if i % 6 == 0:
+            rng.shuffle(new)
+        best = []
+        for at, value in enumerate(new):
+            best.append(1 + max((best[b] for b in range(at) if new[b] < value), default=0))
+        texts[f"f{i}"] = tuple("".join(f"line {v}\n" for v in side) for side in (range(n), new))
+        most[f"f{i}"] = n - max(best)
+    df = pairs(**texts)
+    for rows in (removed_lines(df).collect(), changed_lines(df).collect()):
+        assert {p: sum(r.path == p for r in rows) for p in texts} == most
+
+
+def test_long_file_of_crossing_lines(pairs):
+    """Every second line moved to the end: as many chains as lines, and still no more than n log n steps."""
+    n = 60_000
+    new = [*range(0, n, 2), *range(1, n, 2)]
+    start = time.monotonic()
+    assert len(numbers(changed_lines(pairs(f=tuple("".join(f"line {v}\n" for v in side) for side in (range(n), new)))), "f")) == n // 2 - 1
+    assert time.monotonic() - start < 60
+
+
 def test_hunks(spark):
     lines = spark.createDataFrame([("f", 1, n) for n in (1, 2, 5, 7, 8, 9)], "path string, rev bigint, ln int")
     rows = change_hunks(lines).orderBy("start_ln").collect()
