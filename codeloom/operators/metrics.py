@@ -15,6 +15,17 @@ _ACCURACY = 10_000
 _WHOLE = 100_000
 _RANGES = 500
 
+#: Size of a stored quantile sketch: some 50 KB.
+SKETCH_K = 2000
+
+#: Evenly spaced ranks at which a sketch is asked for the values within the fences.
+_GRID = 2000
+
+
+def sketch_error(k: int = SKETCH_K) -> float:
+    """Share of all values by which the rank of a sketched quantile is off at most, 99 times in a hundred, merged or not."""
+    return 2.296 / k**0.9723
+
 
 def box_stats(df: DataFrame, value: str, group: list[str], exact: bool = True) -> DataFrame:
     """(…group, n, min, q1, median, q3, max, whisker_low, whisker_high, n_outliers).
@@ -91,6 +102,38 @@ def _quartiles_by_ranges(counts: DataFrame, basics: DataFrame) -> DataFrame:
     )
 
 
+def score_sketches(df: DataFrame, value: str, group: list[str], k: int = SKETCH_K) -> DataFrame:
+    """(…group, n, min, max, sketch): what is stored of a run's scores, a row per group. Null and NaN values do not count,
+    a null group is a group. Sketches are made before the shuffle, so a hot group sends one per task."""
+    values = df.select(*group, F.expr(f"cast({value} AS double)").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    return values.groupBy(*group).agg(
+        F.expr("count(1) AS n"), F.expr("min(_v) AS min"), F.expr("max(_v) AS max"), F.kll_sketch_agg_double("_v", k).alias("sketch")
+    )
+
+
+def box_stats_merged(sketches: DataFrame, group: list[str]) -> DataFrame:
+    """The columns of ``box_stats`` from stored sketches, merged to ``group``, which may be coarser than theirs.
+
+    ``n``, ``min`` and ``max`` are exact. Quartiles are values of the data, whose ranks are off by ``sketch_error`` at most;
+    whiskers and the number of outliers are told from values at evenly spaced ranks, and are off by one more such space.
+    """
+    ranks = F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)], *[F.lit((i + 0.5) / _GRID) for i in range(_GRID)])
+    return (
+        sketches.groupBy(*group)
+        .agg(F.expr("sum(n) AS n"), F.expr("min(min) AS min"), F.expr("max(max) AS max"), F.kll_merge_agg_double("sketch").alias("sketch"))
+        .withColumn("p", F.kll_sketch_get_quantile_double("sketch", ranks))
+        .selectExpr(*group, "n", "min", "max", "p[0] AS q1", "p[1] AS median", "p[2] AS q3", f"slice(p, 4, {_GRID}) AS grid")
+        .selectExpr("*", "q1 - 1.5 * (q3 - q1) AS low", "q3 + 1.5 * (q3 - q1) AS high")
+        .selectExpr("*", "filter(grid, v -> v >= low AND v <= high) AS inner")
+        .selectExpr(
+            *group, "n", "min", "max", "q1", "median", "q3",
+            "if(min >= low, min, least(q1, inner[0])) AS whisker_low",
+            "if(max <= high, max, greatest(q3, get(inner, size(inner) - 1))) AS whisker_high",
+            f"cast(round((1 - size(inner) / {_GRID}) * n) AS bigint) AS n_outliers",
+        )
+    )
+
+
 def success_ratio(attempts: DataFrame, group: list[str] | None = None) -> DataFrame:
     """(…group, total, successes, ratio); the ratio of no attempts is 0."""
     return attempts.groupBy(*(group or [])).agg(
@@ -146,7 +189,15 @@ def compare_runs(scores: DataFrame, attempts: DataFrame) -> DataFrame:
 
     Runs are a small table, one row each, whatever the number of their scores; it is ordered as a whole.
     """
-    stats = box_stats(scores, "score", ["run_id"])
+    return _beside_ratios(box_stats(scores, "score", ["run_id"]), attempts)
+
+
+def compare_stored_runs(sketches: DataFrame, attempts: DataFrame) -> DataFrame:
+    """``compare_runs`` from ``score_sketches`` with a ``run_id``: a run's scores are read once, when it is written."""
+    return _beside_ratios(box_stats_merged(sketches, ["run_id"]), attempts)
+
+
+def _beside_ratios(stats: DataFrame, attempts: DataFrame) -> DataFrame:
     ratios = success_ratio(attempts, ["run_id"])
     both = stats.alias("s").join(ratios.alias("r"), F.col("s.run_id").eqNullSafe(F.col("r.run_id")), "full_outer")
     run = F.coalesce(F.col("s.run_id"), F.col("r.run_id")).alias("run_id")

@@ -287,6 +287,15 @@ ORACLES: dict[str, str] = {
     "box_stats": f"WITH {_box('value', 'event_type', 'events')} SELECT g AS event_type, n, {_rounded(*_SIX)}, n_outliers FROM box",
     "box_stats_null_group": f"""WITH {_box('l_extendedprice', 'line', '(SELECT nullif(l_linenumber, 2) AS line, l_extendedprice FROM lineitem)')}
         SELECT g AS line, n, {_rounded(*_SIX)}, n_outliers FROM box""",
+    "box_stats_merged": """SELECT event_type, count(*) AS n, round(min(value), 6) AS min, round(max(value), 6) AS max,
+        true AS q1_near, true AS median_near, true AS q3_near FROM events WHERE value IS NOT NULL GROUP BY event_type""",
+    "compare_stored_runs": f"""WITH {_LABELLED},
+        s AS (SELECT lang AS run_id, count(*) AS n, min(n_chars) / 1000 AS min, max(n_chars) / 1000 AS max FROM documents GROUP BY lang),
+        a AS (SELECT lang, count(*) AS total, count(*) FILTER (WHERE success) AS successes,
+                     count(*) FILTER (WHERE success) / count(*) AS ratio FROM labelled GROUP BY lang)
+        SELECT run_id, n, round(min, 6) AS min, round(max, 6) AS max, total, successes, round(ratio, 6) AS ratio,
+               round(ratio - lag(ratio) OVER (ORDER BY run_id), 6) AS ratio_change
+        FROM s LEFT JOIN a ON a.lang = s.run_id""",
     "success_ratio": f"""WITH {_LABELLED} SELECT source, count(*) AS total, count(*) FILTER (WHERE success) AS successes,
         round(count(*) FILTER (WHERE success) / count(*), 6) AS ratio FROM labelled GROUP BY source""",
     "failure_sample": f"""WITH {_LABELLED} SELECT row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id)::INTEGER AS pick, doc_id, source

@@ -40,7 +40,7 @@ from codeloom.plans.replay import replay_history, score_replay
 from codeloom.plans.update import comment_pairs, function_docs_changed, update_docs
 from codeloom.session import materialize, scratch_dir
 from codeloom.sources.built import built_sources
-from codeloom.sources.results import append_run, load_attempts, load_scores
+from codeloom.sources.results import append_run, load_attempts, load_scores, replace_run
 from codeloom.sources.snapshots import load_snapshot, read_snapshot, write_snapshot
 from codeloom.streaming.changes import stream_changed_functions, stream_changed_lines
 from codeloom.streaming.ratio import stream_success_ratio
@@ -461,6 +461,32 @@ def box_stats_null_group(spark, sf_dir):
     return rounded(stats, "min", "q1", "median", "q3", "max", "whisker_low", "whisker_high")
 
 
+@query
+def box_stats_merged(spark, sf_dir):
+    # Sketches of days are stored as runs and merged; the quartiles' true ranks are counted afterwards.
+    events, target = table(spark, sf_dir, "events").select("event_type", "value", F.expr("date(ts) AS day")), scratch_dir(spark, "sketches")
+    half = metrics.score_sketches(events.where("day(day) % 2 = 0"), "value", ["event_type", "day"])
+    rest = metrics.score_sketches(events.where("day(day) % 2 = 1"), "value", ["event_type", "day"])
+    for run, rows in (("even", half), ("odd", rest), ("even", half)):  # the third time in place of the first
+        replace_run(rows, target, run)
+    stats = metrics.box_stats_merged(spark.read.parquet(target), ["event_type"])
+    counted = salted_join(events.where("value IS NOT NULL AND NOT isnan(value)"), stats, ["event_type"], ["value"])
+    error = 3 * metrics.sketch_error()
+    near = [
+        F.expr(f"count_if(value < {q}) / count(1) - {error} <= {r} AND count_if(value <= {q}) / count(1) + {error} >= {r} AS {q}_near")
+        for q, r in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
+    ]
+    return rounded(counted.groupBy("event_type", "n", "min", "max").agg(*near), "min", "max")
+
+
+@query
+def compare_stored_runs(spark, sf_dir):
+    scores = table(spark, sf_dir, "documents").selectExpr("lang AS run_id", "source", "n_chars / 1000 AS score")
+    sketches = materialize(metrics.score_sketches(scores, "score", ["run_id", "source"]), "sketches")
+    runs = metrics.compare_stored_runs(sketches, labelled(spark, sf_dir).withColumnRenamed("lang", "run_id"))
+    return rounded(runs, "min", "max", "ratio", "ratio_change").select("run_id", "n", "min", "max", "total", "successes", "ratio", "ratio_change")
+
+
 @query
 def success_ratio(spark, sf_dir):
     return rounded(metrics.success_ratio(labelled(spark, sf_dir), ["source"]), "ratio")

@@ -1,3 +1,4 @@
+import bisect
 import random
 
 from pyspark.sql import functions as F
@@ -39,6 +40,31 @@ def test_quartiles_of_a_hot_group(spark):
         assert max(abs(a - b) for a, b in zip((row.q1, row.median, row.q3), row.p)) < 1e-12
 
 
+def test_merged_sketches_are_within_their_error(spark):
+    df = spark.range(400_000).selectExpr("if(id % 4 = 3, null, id % 4) AS g", "id % 37 AS part", "CASE id % 4 WHEN 0 THEN 5D ELSE pow(rand(1), 8) END AS v").cache()
+    merged = metrics.box_stats_merged(metrics.score_sketches(df, "v", ["g", "part"]), ["g"])
+    exact, found = ({r.g: r for r in rows.collect()} for rows in (box_stats(df, "v", ["g"]), merged))
+    error = 3 * metrics.sketch_error()
+    assert set(exact) == set(found) == {0, 1, 2, None}
+    assert merged.columns == ["g", "n", "min", "max", "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"]
+    for g, row in found.items():
+        assert (row.n, row.min, row.max) == (exact[g].n, exact[g].min, exact[g].max)
+        values = sorted(r.v for r in df.where(F.col("g").eqNullSafe(g)).select("v").collect())
+        for quantile, rank in ((row.q1, 0.25), (row.median, 0.5), (row.q3, 0.75)):
+            assert bisect.bisect_left(values, quantile) / row.n - error <= rank <= bisect.bisect_right(values, quantile) / row.n + error
+        assert abs(row.n_outliers - exact[g].n_outliers) / row.n < 2 * error
+        assert row.whisker_low <= row.q1 and row.whisker_high >= row.q3
+    constant = found[0]
+    assert (constant.q1, constant.whisker_low, constant.whisker_high, constant.n_outliers) == (5, 5, 5, 0)
+
+
+def test_small_and_empty_sketches(spark):
+    df = spark.createDataFrame([("a", v) for v in (1.0, 2.0, 3.0, 4.0, 5.0, 100.0, None, float("nan"))] + [("b", None)], "g string, v double")
+    row = metrics.box_stats_merged(metrics.score_sketches(df, "v", ["g"]), ["g"]).collect()
+    assert [(r.g, r.n, r.median, r.whisker_low, r.whisker_high, r.n_outliers) for r in row] == [("a", 6, 3.0, 1.0, 5.0, 1)]
+    assert metrics.box_stats_merged(metrics.score_sketches(df.limit(0), "v", ["g"]), ["g"]).count() == 0
+
+
 def test_null_group_and_one_scan(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("a", None)], "g string, v double")
     rows = {r.g: (r.n, r.min, r.median, r.max, r.whisker_high) for r in box_stats(df, "v", ["g"]).collect()}
