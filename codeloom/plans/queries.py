@@ -599,8 +599,9 @@ def src_path_lives(spark, sf_dir):
 
 
 def _feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # As a glob the table may be one file or, as Spark writes it, a folder of files; a plain path must be a folder.
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{name}}}.parquet")
 
 
 @query

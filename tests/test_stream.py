@@ -3,6 +3,7 @@ import time
 
 from codeloom.operators.diff import changed_lines
 from codeloom.operators.revisions import previous_revision
+from codeloom.plans.queries import QUERIES
 from codeloom.streaming import changes
 from codeloom.streaming.changes import stream_changed_functions, stream_changed_lines
 
@@ -90,3 +91,13 @@ def test_forgotten_paths_return_as_if_remembered(spark, tmp_path):
 
 def test_empty_feed(spark, tmp_path):
     assert run_lines(spark, [("p", None, "a\n")], tmp_path) == []
+
+
+def test_feeds_read_tables_that_are_folders(spark, tmp_path):
+    """Tables as Spark writes them, a folder of part files, and as one file, give the streams the same rows."""
+    for name in ("conversations", "events"):
+        whole = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        whole.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for query in ("stream_changed", "stream_ratio"):
+        found, wanted = (sorted(map(tuple, QUERIES[query](spark, d).collect())) for d in (str(tmp_path), "/root/testdata/sf0.001"))
+        assert found and found == wanted
