@@ -19,6 +19,44 @@ def test_quality_held_out(sf):
     assert right.agg(F.avg("r")).first()[0] > 0.97
 
 
+def fitted_by_hand(x, better, size):
+    """Weights of the ranking and the gradient they leave, over the given blocks of rows."""
+    w = np.zeros(size)
+    for _ in range(40):
+        sums = [R.newton_sums(rows, n, w) for rows, n in zip(x, better)]
+        w = w - np.linalg.solve(sum(h for _, h in sums) + np.eye(size), sum(g for g, _ in sums) + w)
+    return w
+
+
+def test_quality_learns_from_every_labelled_document(spark):
+    """Blocks hold all rows, either label in each, equal rows as often as they occur, and the ranking is that of all of them."""
+    rng = np.random.default_rng(3)
+    rows = [(int(k % 40 == 0), int(k), (float(rng.normal() + (k % 40 == 0)), float(rng.normal()))) for k in range(3000)]
+    rows += [(0, 5000, (0.5, 0.25))] * 130
+    known = spark.createDataFrame(rows, "label int, h bigint, f struct<a: double, b: double>").repartition(7)
+    blocks = R.learning_blocks(known, 300, 20)
+    got = [(r.better, np.frombuffer(r.x, "f8").reshape(-1, 2)) for r in blocks.collect()]
+    assert len(got) == 11 and all(len(x) < 700 for _, x in got)
+    ordinary = sorted(tuple(v) for n, x in got for v in x[n:])
+    assert ordinary == sorted(f for label, _, f in rows if not label)
+    assert {tuple(v) for n, x in got for v in x[:n]} == {f for label, _, f in rows if label} and min(n for n, _ in got) >= 10
+    mean, spread = np.arange(6) / 10, np.arange(1, 7) / 2.0
+    want = fitted_by_hand([(R.expanded(x) - mean) / spread for _, x in got], [n for n, _ in got], 6)
+    assert np.abs(R.fit_ranking(blocks, mean, spread) - want).max() < 1e-6
+
+
+def test_quality_threshold_is_that_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    for values, bins in ((rng.normal(size=2000), 10), (np.round(rng.normal(size=2000), 1), 7), (np.zeros(5), 10)):
+        labels = (rng.random(len(values)) < 0.3).astype(int)
+        share = float((labels == 0).mean())
+        rows = spark.createDataFrame([(float(v), int(y)) for v, y in zip(values, labels)], "merit double, label int")
+        order = sorted(values)
+        k = min(round(share * len(values)), len(values) - 1)
+        assert R.quantile_of(rows, share, bins) == pytest.approx((order[k] + order[max(k - 1, 0)]) / 2, abs=1e-12)
+    assert R.quantile_of(rows.limit(0), 0.0) == 0.0
+
+
 def held_out_hits(docs, labels):
     """(lang, toxic, share of rows predicted toxic, rows) of the held-out fold."""
     rows = T.toxicity_scores(docs, labels).select("row.doc_id", "row.lang", "held_out", (F.col("score") >= 0.5).cast("int").alias("hit"))
