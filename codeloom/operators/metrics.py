@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import strip_ws
 from codeloom.operators.skew import salted_join
+from codeloom.session import materialize
 
 #: Accuracy of the sketch that answers inexact quartiles.
 _ACCURACY = 10_000
 
 #: Groups of more different values are cut into ranges, so many at most, for exact quartiles.
 _WHOLE = 100_000
-_RANGES = 500
+_RANGES = 512
 
 #: Size of a stored quantile sketch: some 50 KB.
 SKETCH_K = 2000
@@ -33,14 +34,14 @@ def box_stats(df: DataFrame, value: str, group: list[str], exact: bool = True) -
     Quartiles are interpolated linearly. Whiskers end at the last values within 1.5 interquartile ranges of the
     box. Null and NaN values do not count; a null group is a group.
 
-    All figures follow from one table of (group, value, count). Exact quartiles come from a group's counts. A group of more than
+    All figures follow from one table of (group, value, count), written once. Exact quartiles come from a group's counts. A group of more than
     ``_WHOLE`` different values is not gathered: its values are dealt by ranges over all tasks, ranges are summed first, and
     the value that holds a rank is found within its range. Which groups these are is counted first. ``exact=False`` takes a
     sketch's answer.
     """
     key = F.struct(*(F.col(g) for g in group)) if group else F.struct(F.lit(1))
     values = df.select(key.alias("g"), F.expr(f"cast({value} AS double)").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    counts = values.groupBy("g", "v").agg(F.expr("count(1) AS c"))
+    counts = materialize(values.groupBy("g", "v").agg(F.expr("count(1) AS c")), "counts")
     basics = counts.groupBy("g").agg(F.expr("sum(c) AS n"), F.expr("min(v) AS min"), F.expr("max(v) AS max"))
     if exact:
         quartiles = _exact_quartiles(counts)
@@ -78,7 +79,7 @@ def _quartiles_by_ranges(counts: DataFrame, basics: DataFrame) -> DataFrame:
     first rank is the sum of those before."""
     cuts = F.percentile_approx("v", [k / _RANGES for k in range(1, _RANGES)], _ACCURACY).alias("cuts")
     bounds = counts.groupBy("g").agg(cuts)
-    ranged = salted_join(counts, bounds, ["g"], ["v"]).selectExpr("g", "v", "c", "size(filter(cuts, b -> b < v)) AS part")
+    ranged = _with_range(salted_join(counts, bounds, ["g"], ["v"])).select("g", "v", "c", "part")
     sums = ranged.groupBy("g", "part").agg(F.expr("sum(c) AS c"))
     before = "sum(c) OVER (PARTITION BY g ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     first = sums.selectExpr("g", "part", "c AS in_part", f"ifnull({before}, 0) AS first")
@@ -102,6 +103,15 @@ def _quartiles_by_ranges(counts: DataFrame, basics: DataFrame) -> DataFrame:
     )
 
 
+def _with_range(rows: DataFrame) -> DataFrame:
+    """Add ``part``, how many of the ascending ``cuts`` are below ``v``, by a binary search: there are fewer than ``_RANGES``."""
+    rows, step = rows.withColumn("part", F.lit(0)), (1 << (_RANGES - 1).bit_length()) >> 1
+    while step:
+        rows = rows.withColumn("part", F.expr(f"part + if(get(cuts, part + {step - 1}) < v, {step}, 0)"))
+        step //= 2
+    return rows
+
+
 def score_sketches(df: DataFrame, value: str, group: list[str], k: int = SKETCH_K) -> DataFrame:
     """(…group, n, min, max, sketch): what is stored of a run's scores, a row per group. Null and NaN values do not count,
     a null group is a group. Sketches are made before the shuffle, so a hot group sends one per task."""

@@ -33,6 +33,16 @@ def test_quartiles_by_ranges(spark, monkeypatch):
     assert rows() == whole and len(whole) == 4
 
 
+def test_ranges_are_found_by_a_few_comparisons(spark, monkeypatch):
+    """A value's range is the number of cuts below it, found without looking at each cut."""
+    rng = random.Random(5)
+    cuts = [sorted(rng.choice([rng.random(), 0.5]) for _ in range(n)) for n in (1, 2, 6, 499, 511)]
+    rows = [(c, v) for c in cuts for v in [c[0], c[-1], c[len(c) // 2], -1.0, 2.0, rng.random(), 0.5]]
+    found = metrics._with_range(spark.createDataFrame(rows, "cuts array<double>, v double"))
+    assert [r.part for r in found.collect()] == [bisect.bisect_left(c, v) for c, v in rows]
+    assert "lambdafunction" not in found._jdf.queryExecution().toString()
+
+
 def test_quartiles_of_a_hot_group(spark):
     df = spark.range(300_000).selectExpr("id % 3 AS g", "CASE id % 3 WHEN 0 THEN 5D ELSE pow(rand(1), 8) END AS v")
     plain = df.groupBy("g").agg(F.expr("percentile(v, array(0.25, 0.5, 0.75)) AS p"))
