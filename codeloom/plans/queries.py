@@ -381,9 +381,11 @@ def src_snapshot(spark, sf_dir):
 
 @query
 def load_snapshot_files(spark, sf_dir):
-    # Spark names the files, so a source's path is the folder its file lies in.
+    # Spark names the files, so a source's path is the folder its file lies in. Tasks put their files in place themselves: there is
+    # one per source, which the driver would rename one by one.
     root = scratch_dir(spark, "tree")
-    sources(spark, sf_dir, *range(4)).select("rev", "path", "content").write.partitionBy("rev", "path").text(root)
+    files = sources(spark, sf_dir, *range(4)).select("rev", "path", "content")
+    files.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("rev", "path").text(root)
     folder = F.url_decode(F.regexp_extract("path", "^path=([^/]+)/", 1))
     trees = [load_snapshot(spark, f"{root}/rev={rev}", rev, "*.txt") for rev in range(4)]
     return content_md5(reduce(DataFrame.unionByName, trees).withColumn("path", folder))
