@@ -71,8 +71,9 @@ def replay_history(
     changed = changed_functions(fns, changed_lines(steps.where("NOT is_base")))
     asked = with_code(changed, cluster_files(bare)).select(*FILE_KEY, "fn_id", "qualname", "key", "code")
     answers = map_generate(render_prompt(asked.withColumn("language", F.lit("python")), template), factory)
-    events = validate_comment(answers).select(
-        *FILE_KEY, "qualname", "key", "success", F.col("answer").alias("comment")
+    # Written once: the docs, the tree and each scoring read them, and would compare and ask again.
+    events = materialize(
+        validate_comment(answers).select(*FILE_KEY, "qualname", "key", "success", F.col("answer").alias("comment")), "events"
     )
     accepted = events.where("success").select(*FILE_KEY, "qualname", "comment")
     known = materialize(with_identity(fns, steps).join(accepted, [*FILE_KEY, "qualname"], "left"), "known")

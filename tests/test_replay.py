@@ -202,3 +202,22 @@ def test_scores_are_written_once(spark, tmp_path):
         table = score_replay(replay, sources, scorer, str(tmp_path / "scores"), run)
     found = sorted((r.run_id, r.rev, r.original_comment) for r in table.collect())
     assert found == [(run, rev, f'"""{doc}"""') for run in ("one", "two") for rev, doc in ((1, "def of f"), (2, "later"))]
+
+
+def test_each_prompt_is_asked_once(spark, tmp_path):
+    """Events, docs, tree and scores read the same answers: the model is not asked again for each."""
+    rows, asked = histories(random.Random(8), 3, 4), str(tmp_path / "asked")
+
+    def factory():
+        def answer(prompts):
+            with open(asked, "a") as f:
+                f.write("".join("x\n" for _ in prompts))
+            return [f'"""Doc of {len(p)} signs."""' for p in prompts]
+
+        return answer
+
+    files = spark.createDataFrame(rows, "rev bigint, path string, content string")
+    replay = replay_history(files, files.select("rev").distinct(), 0, 4, factory)
+    for _ in range(2):
+        score_replay(replay, files, lambda pairs: pairs.withColumn("score", F.lit(1.0)), str(tmp_path / "scores"), "run")
+    assert 0 < sum(1 for _ in open(asked)) <= replay.events.count()
