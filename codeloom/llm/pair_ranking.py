@@ -161,8 +161,8 @@ def quantile_of(merits: DataFrame, share: float, bins: int = BINS) -> float:
     if known["lo"] is None:
         return 0.0
     weigh = np.array([share / max(known["n0"], 1), (1 - share) / max(known["n1"], 1)])
-    # Half a row's weight keeps the sums' rounding from deciding.
-    least = share * float(weigh @ (known["n0"], known["n1"])) + float(weigh.max()) / 2
+    # A millionth of a row's weight keeps the sums' rounding from deciding.
+    least = share * float(weigh @ (known["n0"], known["n1"])) + float(weigh.max()) / 1e6
     lo, hi, below, before = known["lo"], known["hi"], 0.0, None
     while True:
         inside = merits.where(F.col("merit").between(lo, hi))
