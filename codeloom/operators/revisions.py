@@ -68,12 +68,13 @@ def previous_revision(sources: DataFrame, span: int = BLOCK_SPAN, keep: Sequence
     """(path, rev, prev_rev, old_content, new_content, …keep): every revision with the one before it. A null content
     is a deletion: the revision after it has no old content.
 
-    Only paths and revision numbers are ordered; contents meet by an equality join on both, spread by revision."""
+    Only paths and revision numbers are ordered; contents meet by an equality join on both, spread by revision. They are
+    never broadcast: their compressed size, by which Spark would decide, is small beside what the driver would get."""
     narrow = with_previous(sources.select("path", "rev"), ["path"], "rev", ["rev"], block_of("rev", span), "_prev")
     steps = narrow.select("path", "rev", F.col("_prev.rev").alias("prev_rev"))
     before = sources.select("path", F.col("rev").alias("prev_rev"), F.col("content").alias("old_content"))
-    paired = sources.select("path", "rev", F.col("content").alias("new_content"), *keep).join(steps, ["path", "rev"])
-    return paired.join(before, ["path", "prev_rev"], "left").select("path", "rev", "prev_rev", "old_content", "new_content", *keep)
+    paired = sources.select("path", "rev", F.col("content").alias("new_content"), *keep).hint("merge").join(steps, ["path", "rev"])
+    return paired.join(before.hint("merge"), ["path", "prev_rev"], "left").select("path", "rev", "prev_rev", "old_content", "new_content", *keep)
 
 
 def as_of_snapshot(sources: DataFrame, rev: int | Column) -> DataFrame:

@@ -5,6 +5,7 @@ import time
 import pytest
 
 from codeloom.operators.diff import change_hunks, changed_lines, line_changes, removed_lines
+from codeloom.operators.revisions import previous_revision
 
 
 def numbers(rows, path):
@@ -114,3 +115,12 @@ def test_one_shuffle(pairs):
 def test_unknown_mode(pairs):
     with pytest.raises(ValueError):
         changed_lines(pairs(f=("a", "b")), "other")
+
+
+def test_contents_are_not_broadcast(spark):
+    """Contents of all revisions compress well, yet they meet by a shuffle and not through the driver."""
+    rows = spark.range(600).selectExpr("cast(id div 3 AS string) AS path", "id % 3 AS rev", "repeat(cast(id AS string), 50) AS content")
+    paired = previous_revision(rows.groupBy("path", "rev").agg({"content": "max"}).toDF("path", "rev", "content"))
+    found = paired.collect()
+    assert len(found) == 600 and all((r.old_content is None) == (r.rev == 0) for r in found)
+    assert "BroadcastExchange" not in paired._jdf.queryExecution().executedPlan().toString()
