@@ -136,6 +136,57 @@ def test_ratios_against_brute_force(sf, discount, floor):
         assert abs(r.ratio - sum(want.get(w, 0.0) for w in words) / max(len(words), 1)) < 1e-6
 
 
+def brute_histories(rows, discount, floor):
+    """(word before or None, stem) -> log ratio, where it is evidence, as the docstring of ``history_models`` says."""
+    n, before = {0: Counter(), 1: Counter()}, {}
+    for text, label in rows:
+        last = None
+        for word in re.findall(r"\w+", text.lower()):
+            n[label][last, word[:4]] += 1
+            before.setdefault(word[:4], set()).add(last)
+            last = word
+    n[2] = n[0] + n[1]
+    types = sum(map(len, before.values()))
+    left = lambda k: max(k - discount * k**0.5, 0.0)
+    sums, free = {c: Counter() for c in n}, {c: Counter() for c in n}
+    for c in n:
+        for (v, _), k in n[c].items():
+            sums[c][v] += k
+            free[c][v] += k - left(k)
+    p = lambda c, v, w, low: (left(n[c][v, w]) + free[c][v] * low) / sums[c][v] if sums[c][v] else low
+    out = {}
+    for v, w in n[2]:
+        if left(n[0][v, w]) + left(n[1][v, w]) > 0:
+            shared = p(2, v, w, len(before[w]) / types)
+            out[v, w] = math.log(p(1, v, w, shared) / p(0, v, w, shared))
+    return {k: x for k, x in out.items() if abs(x) >= floor}
+
+
+@pytest.mark.parametrize("discount, floor, blocks", [(T.DISCOUNT, T.FLOOR, 1), (1.0, 0.5, 3)])
+def test_histories_against_brute_force(sf, spark, discount, floor, blocks):
+    docs, labels = sf("documents", "sf0.01"), sf("labels", "sf0.01").withColumnRenamed("toxic", "label")
+    said = [("you rat", 1), ("hey all", 1)] * 60 + [("you may", 0)] * 600  # the first words of texts count, too
+    rows = docs.join(labels, "doc_id").select("text", "label").union(spark.createDataFrame(said, "text string, label int"))
+    given = [(r.text, r.label) for r in rows.collect()]
+    stems, pairs = brute_model(given, discount, floor), brute_histories(given, discount, floor)
+    model = T.history_models(rows, discount, floor)
+    assert (("you", "rat") in pairs and (None, "hey") in pairs) and model.count() == len(stems) + len(pairs)
+    texts = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, "hey you rat you rat"), (-2, ""), (-3, None)], "doc_id bigint, text string"))
+    for r in T.log_ratios(texts, model, -(-model.count() // blocks)).collect():
+        words = re.findall(r"\w+", (r.text or "").lower())
+        want = sum(pairs.get((v, w[:4]), stems.get(w[:4], 0.0)) for v, w in zip([None, *words], words))
+        assert abs(r.ratio - want / max(len(words), 1)) < 1e-6
+
+
+def test_the_word_before_counts(spark):
+    """A stem that both classes use alike is told by the word before it."""
+    rows = [("you rat ran home", 1), ("the cat ran home", 1)] * 50 + [("the rat ran home", 0), ("you may run home", 0)] * 500
+    rows += [("one more word of many that say nothing", k % 2) for k in range(100)]
+    model = T.history_models(spark.createDataFrame(rows, "text string, label int"))
+    ratio = {r.text: r.ratio for r in T.log_ratios(spark.createDataFrame([("you rat",), ("the rat",)], "text string"), model).collect()}
+    assert ratio["you rat"] > 0.5 > ratio["the rat"]
+
+
 def test_nothing_is_rejected_without_evidence(odd, none, spark, sf):
     labels = sf("labels")
     assert T.without_toxic(odd, labels.limit(0)).count() == odd.count() and T.without_toxic(none, labels).count() == 0
