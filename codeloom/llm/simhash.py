@@ -22,6 +22,14 @@ SEED = 42
 SHARD = 4096
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half the hashes."""
+    counts = np.zeros(64, "i8")
+    for at in range(0, len(hashes), 4096):
+        counts += np.unpackbits(hashes[at : at + 4096].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i8")
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
     """Bits that are set in over half the hashes of the shingles; zero without words."""
     if not words:
@@ -30,11 +38,7 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
     starts = [0, *ends[:-1]]
     digest = xxhash.xxh64_intdigest
     k = min(shingle, len(words))
-    hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[k - 1 :], strict=False)], "<u8")
-    counts = np.zeros(64, "i8")
-    for at in range(0, len(hashes), 4096):
-        counts += np.unpackbits(hashes[at : at + 4096].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i8")
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[k - 1 :], strict=False)], "<u8"))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

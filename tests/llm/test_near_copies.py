@@ -1,6 +1,9 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from codeloom.llm import near_copies as N
 from codeloom.llm import simhash as S
@@ -92,3 +95,29 @@ def test_recall_on_the_given_tables(sf):
     component = {r.doc_id: r.component_id for r in N.near_copies(docs).collect()}
     hit = sum(component[a] == component[b] for a, b in wanted)
     assert len(wanted) > 40 and hit >= 0.99 * len(wanted), (hit, len(wanted))
+
+
+def test_candidates_come_through_the_trees(spark, texts, monkeypatch):
+    """Near copies lie within the radius of each other's fingerprints; what lies beyond is no candidate, whatever its bands."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    docs = texts(" ".join(base), edited(rng, base, 3))
+    prints = [r.simhash & 0xFFFFFFFFFFFFFFFF for r in N.marks(docs).orderBy("doc_id").collect()]
+    assert prints == [S.majority(N.shingles(r.text.encode())) for r in docs.orderBy("doc_id").collect()]
+    assert 0 < (prints[0] ^ prints[1]).bit_count() <= N.RADIUS
+    assert {r.component_id for r in N.near_copies(docs).collect()} == {0}
+    classes = N.marks(docs).select("fp", "keys", "simhash", "sketch")
+    assert N.candidates(classes).count() == 1
+    assert N.candidates(classes.withColumn("simhash", F.when(F.col("simhash") == min(r.simhash for r in classes.collect()), F.lit(-1)).otherwise(F.lit(0)).cast("bigint"))).count() == 0
+
+
+def test_radius_covers_the_similarity():
+    """Pairs at the least similarity, of long and of the shortest texts: their fingerprints stay within the radius."""
+    rng = np.random.default_rng(5)
+    for common, own in ((4, (1, 0)), (8, (1, 1)), (8, (2, 0)), (80, (10, 10)), (400, (50, 50))):
+        far = 0
+        for _ in range(500):
+            x = rng.integers(0, 2**64, common + sum(own), "u8")
+            a, b = x[: common + own[0]], np.concatenate([x[:common], x[common + own[0] :]])
+            far += (S.majority(a) ^ S.majority(b)).bit_count() > N.RADIUS
+        assert far <= 1
