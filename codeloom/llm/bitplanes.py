@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,9 +38,9 @@ CHUNK_IDS = 65536
 FILE_IDS = 1 << 22
 END_ID = 1
 
-#: Pieces of text and plain words whose ids a worker remembers, and the longest of them.
-PIECES = 500_000
-WORDS = 700_000
+#: Pieces of another kind and plain words whose ids a worker remembers, and the longest of them.
+PIECES = 100_000
+WORDS = 400_000
 REMEMBERED_CHARS = 40
 
 #: Files that a task reads back.
@@ -95,9 +96,9 @@ class Encoder:
     """Ids of texts as bytes, equal to encoding each whole text.
 
     Where the tokenizer's file says that it drops white space before it looks for merges, no id spans a space or line break: a
-    text's ids are those of its pieces in turn. Pieces recur, and pieces that differ by case or punctuation share a word, so
-    a worker remembers the ids of both, in tables of bounded size. All ids come from the tokenizer; many words are given to
-    it at once. With any other file, whole texts are.
+    text's ids are those of its pieces in turn. Pieces that differ by case or punctuation share a word, so a worker remembers the
+    ids of words, and of pieces of another kind, in tables of bounded size, and looks up each different piece of a group of texts
+    once. All ids come from the tokenizer; many words are given to it at once. With any other file, whole texts are.
     """
 
     def __init__(self, path: str):
@@ -119,8 +120,6 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Ids of words of letters: many in a string, cut where an id ends a word."""
-        if len(self.words) + len(words) > WORDS:
-            self.words = {}
         groups = [words[k : k + LEARNED] for k in range(0, len(words), LEARNED)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
@@ -133,34 +132,57 @@ class Encoder:
             else:
                 self.words.update(zip(group, self._each(group), strict=True))
 
-    def _group(self, texts: list[str]) -> list[bytes]:
-        if not self.mark:
-            return self._each(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.pieces)
+    def _remember(self, words: list[str], others: list[str]) -> None:
+        """Put the ids of words and punctuation, and of other pieces, into the tables."""
+        new = [p for p in others if p not in self.pieces]
         if len(self.pieces) + len(new) > PIECES:
-            self.pieces = {}
-            new = set().union(*split)
-        plain = {p: (p.lower(), "") if p.isascii() and p.isalpha() else _plain(p) for p in new}
-        odd = [p for p, x in plain.items() if x is None]
-        parts = {w for x in plain.values() if x for w in x if w}
+            self.pieces, new = {}, others
+        plain = {p: _plain(p) for p in new}
+        parts = set(words).union(*filter(None, plain.values()))
         unknown = parts.difference(self.words)
-        letters = [w for w in unknown if w[0].isalpha()]
+        if len(self.words) + len(unknown) > WORDS:
+            self.words, unknown = {}, parts
+        unknown.discard("")
+        self._learn([w for w in unknown if w[0].isalpha()])
         marks = [w for w in unknown if not w[0].isalpha()]
-        self._learn(letters)
         self.words.update(zip(marks, self._each(marks), strict=True))
-        late = list(parts.difference(self.words))  # forgotten while this group was learned
-        known = {**{w: self.words[w] for w in parts.intersection(self.words)}, **dict(zip(late, self._each(late), strict=True)), "": b""}
-        pieces = self.pieces
-        pieces.update(zip(odd, self._each(odd), strict=True))
-        pieces.update((p, known[x[0]] + known[x[1]] if x[1] else known[x[0]]) for p, x in plain.items() if x)
-        out = [b"".join(map(pieces.__getitem__, own)) for own in split]
-        for p in [p for p in new if len(p) > REMEMBERED_CHARS]:
-            del pieces[p]
-        return out
+        self.words[""] = b""
+        odd = [p for p, x in plain.items() if x is None]
+        self.pieces.update(zip(odd, self._each(odd), strict=True))
+        self.pieces.update((p, self.words[x[0]] + self.words[x[1]]) for p, x in plain.items() if x)
+
+    def _group(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.mark:
+            return [np.frombuffer(ids, "<u4") for ids in self._each(texts)]
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        pieces, offsets = coded.dictionary, split.offsets.to_numpy()
+        # Most pieces are ASCII letters and punctuation: told without Python, as ``_plain`` tells the others.
+        word = pc.ascii_rtrim(pieces, characters=PUNCTUATION)
+        letters = pc.or_(pc.ascii_is_alpha(word), pc.equal(word, ""))
+        plain = pc.and_(pc.and_(pc.string_is_ascii(pieces), letters), pc.invert(pc.match_substring(pieces, "<|")))
+        words = pc.ascii_lower(word).filter(plain).dictionary_encode()
+        marks = pc.ascii_ltrim(pieces, characters=string.ascii_letters).filter(plain).dictionary_encode()
+        known = words.dictionary.to_pylist() + marks.dictionary.to_pylist()
+        others = pieces.filter(pc.invert(plain)).to_pylist()
+        self._remember(known, others)
+        parts = [*map(self.words.__getitem__, known), *map(self.pieces.__getitem__, others), b""]
+        for table, keys in ((self.words, known), (self.pieces, others)):
+            for p in {p for p in keys if len(p) > REMEMBERED_CHARS}:
+                del table[p]
+        # A piece's ids are those of one or two parts, a text's those of its pieces.
+        told, two = plain.to_numpy(zero_copy_only=False), np.full((len(pieces), 2), len(parts) - 1)
+        two[told, 0] = words.indices.to_numpy()
+        two[told, 1] = marks.indices.to_numpy() + len(words.dictionary)
+        two[~told, 0] = np.arange(len(others)) + len(known)
+        sizes = np.fromiter(map(len, parts), "i8", len(parts)) >> 2
+        ids, ends = _strung(np.frombuffer(b"".join(parts), "<u4"), sizes, two.ravel())
+        ids, ends = _strung(ids, np.diff(ends[::2]), coded.indices.to_numpy())
+        at = ends[offsets - offsets[0]]
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        end = np.array([END_ID], "<u4").tobytes()
+        end = np.array([END_ID], "<u4")
         group: list[str] = []
         size = 0
         for text in [*texts, None]:
@@ -169,10 +191,20 @@ class Encoder:
                 size += len(text)
             if group and (text is None or size >= GROUP_CHARS):
                 for ids in self._group(group):
-                    yield np.frombuffer(ids + end, "<u4")
+                    yield np.concatenate([ids, end])
                 group, size = [], 0
 
 
+def _strung(ids: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``ids``, which lie behind each other in these sizes, in the order of ``rows``; and where each begins there, and
+    the last ends."""
+    n = sizes[rows]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat((np.cumsum(sizes) - sizes)[rows] - ends[:-1], n)
+    at += np.arange(len(at))
+    return ids[at], ends
+
+
 #: Encoders of this process, by the tokenizer's file: a worker that runs several tasks keeps what it remembers.
 _ENCODERS: dict[str, Encoder] = {}
 

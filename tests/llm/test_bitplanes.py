@@ -105,3 +105,16 @@ def test_tables_that_overflow(sf, whole, monkeypatch):
         monkeypatch.setattr(B, name, size)
     texts = [r.text for r in sf("documents").limit(40).collect()] + ["A'b <|endoftext|> " + "x" * 90, "ÉÀ é 'll ...", ""]
     assert [ids.tolist() for ids in B.Encoder(PATH)(texts)] == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_no_word_is_learned_twice(sf, whole, monkeypatch):
+    """A group's words are learned once, and none is encoded by itself where the tables overflow."""
+    learned, alone = [], []
+    learn, each = B.Encoder._learn, B.Encoder._each
+    monkeypatch.setattr(B.Encoder, "_learn", lambda self, words: learned.append(words) or learn(self, words))
+    monkeypatch.setattr(B.Encoder, "_each", lambda self, texts: alone.extend(texts) or each(self, texts))
+    monkeypatch.setattr(B, "WORDS", 300)
+    monkeypatch.setattr(B, "GROUP_CHARS", 3000)
+    texts = [r.text for r in sf("documents").limit(40).collect()]
+    assert [ids.tolist() for ids in B.Encoder(PATH)(texts)] == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert all(len(words) == len(set(words)) for words in learned) and not [w for w in alone if w.isascii() and w.isalpha()]
