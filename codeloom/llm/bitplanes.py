@@ -34,6 +34,9 @@ from codeloom.llm.common import scratch, stored, text_of
 MAGIC = b"BPL1"
 PUNCTUATION = string.punctuation
 
+#: Letters that have one lower case and no other form: those of ASCII and Latin-1.
+LETTERS = string.ascii_letters + "".join(chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha())
+
 CHUNK_IDS = 65536
 FILE_IDS = 1 << 22
 END_ID = 1
@@ -67,11 +70,8 @@ def _plain(piece: str) -> tuple[str, str] | None:
     """A piece as (letters in lower case, ASCII punctuation), where its ids are those of the two in turn: a run of letters
     ends before punctuation, and lower-casing is what the tokenizer does first."""
     word = piece.rstrip(PUNCTUATION)
-    lower = word.lower()
-    if word.isascii() and (word.isalpha() or not word) and "<|" not in piece:
-        return lower, piece[len(word) :]
-    if word == lower and word.isalpha() and unicodedata.is_normalized("NFC", word):
-        return lower, piece[len(word) :]
+    if word == word.lower() and word.isalpha() and unicodedata.is_normalized("NFC", word):
+        return word, piece[len(word) :]
     return None
 
 
@@ -92,8 +92,41 @@ def splits_at_spaces(path: str) -> str | None:
     return told["model"].get("end_of_word_suffix") or None if as_known else None
 
 
+class Table:
+    """Strings and their ids: Arrow and numpy take few bytes for each, and find those of a group at once."""
+
+    def __init__(self):
+        self.names, self.ids, self.sizes = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, "i8")
+        self.long = False
+
+    def find(self, names: pa.Array, most: int) -> tuple[np.ndarray, pa.Array]:
+        """Rows of different strings, and those that are new, whose rows begin where the table ends now. A table that would hold
+        more than ``most`` is begun anew."""
+        at = pc.index_in(names, value_set=self.names)
+        if len(self.names) + at.null_count > most:
+            self.__init__()
+            at = pa.nulls(len(names), pa.int32())
+        rows = at.fill_null(-1).to_numpy().astype("i8")
+        rows[rows < 0] = len(self.names) + np.arange(at.null_count)
+        return rows, names.filter(at.is_null())
+
+    def add(self, names: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.names = pa.concat_arrays([self.names, names])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        self.long = pc.any(pc.greater(pc.utf8_length(names), REMEMBERED_CHARS)).as_py()
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _strung(self.ids, self.sizes, rows)[0], self.sizes[rows]
+
+    def drop_long(self) -> None:
+        if self.long:
+            short = pc.less_equal(pc.utf8_length(self.names), REMEMBERED_CHARS)
+            self.ids, self.sizes = self.of(np.flatnonzero(short.to_numpy(zero_copy_only=False)))
+            self.names = self.names.filter(short)
+
+
 class Encoder:
-    """Ids of texts as bytes, equal to encoding each whole text.
+    """Ids of texts, equal to encoding each whole text.
 
     Where the tokenizer's file says that it drops white space before it looks for merges, no id spans a space or line break: a
     text's ids are those of its pieces in turn. Pieces that differ by case or punctuation share a word, so a worker remembers the
@@ -108,91 +141,90 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = splits_at_spaces(path)
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = Table(), Table()
         if self.mark:
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[k for t, k in vocabulary.items() if t.endswith(self.mark)]] = True
 
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words of letters: many in a string, cut where an id ends a word."""
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, and how many each has: many in a string, cut where an id ends a word."""
+        out = [_behind([])]
         groups = [words[k : k + LEARNED] for k in range(0, len(words), LEARNED)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(group):
-                data, begin = ids.tobytes(), 0
-                for word, end in zip(group, (4 * ends).tolist(), strict=True):
-                    self.words[word] = data[begin:end]
-                    begin = end
-            else:
-                self.words.update(zip(group, self._each(group), strict=True))
-
-    def _remember(self, words: list[str], others: list[str]) -> None:
-        """Put the ids of words and punctuation, and of other pieces, into the tables."""
-        new = [p for p in others if p not in self.pieces]
-        if len(self.pieces) + len(new) > PIECES:
-            self.pieces, new = {}, others
-        plain = {p: _plain(p) for p in new}
-        parts = set(words).union(*filter(None, plain.values()))
-        unknown = parts.difference(self.words)
-        if len(self.words) + len(unknown) > WORDS:
-            self.words, unknown = {}, parts
-        unknown.discard("")
-        self._learn([w for w in unknown if w[0].isalpha()])
-        marks = [w for w in unknown if not w[0].isalpha()]
-        self.words.update(zip(marks, self._each(marks), strict=True))
-        self.words[""] = b""
-        odd = [p for p, x in plain.items() if x is None]
-        self.pieces.update(zip(odd, self._each(odd), strict=True))
-        self.pieces.update((p, self.words[x[0]] + self.words[x[1]]) for p, x in plain.items() if x)
-
-    def _group(self, texts: list[str]) -> list[np.ndarray]:
+            out.append((ids, np.diff(ends, prepend=0)) if len(ends) == len(group) else _behind(self._each(group)))
+        ids, sizes = zip(*out, strict=True)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words and punctuation, and how many each has, from the table or learned for it."""
+        rows, new = self.words.find(words, WORDS)
+        mark = pc.equal(pc.ascii_ltrim(new, characters=PUNCTUATION), "")
+        learned = self._learn(new.filter(pc.invert(mark)).to_pylist()), _behind(self._each(new.filter(mark).to_pylist()))
+        ids, sizes = map(np.concatenate, zip(*learned, strict=True))
+        # Learned are the words, then the punctuation: back into the order of both.
+        order = np.argsort(np.argsort(mark.to_numpy(zero_copy_only=False), kind="stable"))
+        self.words.add(new, _strung(ids, sizes, order)[0], sizes[order])
+        found = self.words.of(rows)
+        self.words.drop_long()
+        return found
+
+    def _group(self, texts: pa.Array) -> list[np.ndarray]:
         if not self.mark:
-            return [np.frombuffer(ids, "<u4") for ids in self._each(texts)]
-        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+            return self._each(texts.to_pylist())
+        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
         pieces, offsets = coded.dictionary, split.offsets.to_numpy()
-        # Most pieces are ASCII letters and punctuation: told without Python, as ``_plain`` tells the others.
-        word = pc.ascii_rtrim(pieces, characters=PUNCTUATION)
-        letters = pc.or_(pc.ascii_is_alpha(word), pc.equal(word, ""))
-        plain = pc.and_(pc.and_(pc.string_is_ascii(pieces), letters), pc.invert(pc.match_substring(pieces, "<|")))
-        words = pc.ascii_lower(word).filter(plain).dictionary_encode()
-        marks = pc.ascii_ltrim(pieces, characters=string.ascii_letters).filter(plain).dictionary_encode()
-        known = words.dictionary.to_pylist() + marks.dictionary.to_pylist()
-        others = pieces.filter(pc.invert(plain)).to_pylist()
-        self._remember(known, others)
-        parts = [*map(self.words.__getitem__, known), *map(self.pieces.__getitem__, others), b""]
-        for table, keys in ((self.words, known), (self.pieces, others)):
-            for p in {p for p in keys if len(p) > REMEMBERED_CHARS}:
-                del table[p]
-        # A piece's ids are those of one or two parts, a text's those of its pieces.
-        told, two = plain.to_numpy(zero_copy_only=False), np.full((len(pieces), 2), len(parts) - 1)
-        two[told, 0] = words.indices.to_numpy()
-        two[told, 1] = marks.indices.to_numpy() + len(words.dictionary)
-        two[~told, 0] = np.arange(len(others)) + len(known)
-        sizes = np.fromiter(map(len, parts), "i8", len(parts)) >> 2
-        ids, ends = _strung(np.frombuffer(b"".join(parts), "<u4"), sizes, two.ravel())
+        # Most pieces are Latin letters and punctuation: told without Python, as ``_plain`` tells the others.
+        behind = pc.utf8_ltrim(pieces, characters=LETTERS)
+        plain = pc.and_(pc.equal(pc.ascii_ltrim(behind, characters=PUNCTUATION), ""), pc.invert(pc.match_substring(pieces, "<|")))
+        letters = pc.utf8_lower(pc.ascii_rtrim(pieces.filter(plain), characters=PUNCTUATION))
+        at, new = self.pieces.find(pieces.filter(pc.invert(plain)), PIECES)
+        parts = {p: _plain(p) for p in new.to_pylist()}
+        more = pa.array([w for x in parts.values() if x for w in x], pa.large_string())
+        words = pa.concat_arrays([letters, behind.filter(plain), more]).dictionary_encode()
+        ids, sizes = self._words(words.dictionary)
+        rows, n = words.indices.to_numpy(), len(letters)
+        # A new piece of another kind has the ids of its two parts, or its own.
+        cut = _cut(*_strung(ids, sizes, rows[2 * n :]))
+        pairs = iter([np.concatenate(x) for x in zip(cut[::2], cut[1::2], strict=True)])
+        odd = iter(self._each([p for p, x in parts.items() if x is None]))
+        self.pieces.add(new, *_behind([next(pairs if x else odd) for x in parts.values()]))
+        others, counts = self.pieces.of(at)
+        self.pieces.drop_long()
+        # A piece's ids are those of one or two parts, a text's those of its pieces; the last part is empty.
+        sizes = np.concatenate([sizes, counts, [0]])
+        told, two = plain.to_numpy(zero_copy_only=False), np.full((len(pieces), 2), len(sizes) - 1)
+        two[told, 0], two[told, 1] = rows[:n], rows[n : 2 * n]
+        two[~told, 0] = np.arange(len(at)) + len(words.dictionary)
+        ids, ends = _strung(np.concatenate([ids, others]), sizes, two.ravel())
         ids, ends = _strung(ids, np.diff(ends[::2]), coded.indices.to_numpy())
-        at = ends[offsets - offsets[0]]
-        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return _cut(ids, ends[offsets - offsets[0]])
 
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def __call__(self, texts: list[str] | pa.Array) -> Iterator[np.ndarray]:
         end = np.array([END_ID], "<u4")
-        group: list[str] = []
-        size = 0
-        for text in [*texts, None]:
-            if text is not None:
-                group.append(text)
-                size += len(text)
-            if group and (text is None or size >= GROUP_CHARS):
-                for ids in self._group(group):
-                    yield np.concatenate([ids, end])
-                group, size = [], 0
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        ends = np.cumsum(pc.utf8_length(texts).to_numpy().astype("i8"))
+        at = 0
+        while at < len(texts):
+            size = GROUP_CHARS + (ends[at - 1] if at else 0)
+            begin, at = at, min(len(texts), int(np.searchsorted(ends, size)) + 1)
+            for ids in self._group(texts[begin:at]):
+                yield np.concatenate([ids, end])
+
+
+def _behind(stretches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ids behind each other, and the size of each."""
+    return np.concatenate([np.zeros(0, "<u4"), *stretches]), np.fromiter(map(len, stretches), "i8", len(stretches))
+
+
+def _cut(ids: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def _strung(ids: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -350,7 +382,7 @@ def write_planes(docs: DataFrame, tokenizer: str, path: str, level: int = 3) ->
             rows[-1] |= {"n_docs": len(writer.docs), "n_ids": writer.n_ids}
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 if writer is None:
                     name = f"part-{part:06d}-{len(rows):05d}-{attempt}.bpl"
                     out = store.open_output_stream(f"{folder}/{name}", compression=None)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -118,3 +119,38 @@ def test_no_word_is_learned_twice(sf, whole, monkeypatch):
     texts = [r.text for r in sf("documents").limit(40).collect()]
     assert [ids.tolist() for ids in B.Encoder(PATH)(texts)] == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
     assert all(len(words) == len(set(words)) for words in learned) and not [w for w in alone if w.isascii() and w.isalpha()]
+
+
+def test_latin_pieces_are_told_without_python(whole, monkeypatch):
+    """Letters of ASCII and Latin-1 in either case with punctuation behind are words, not encoded by themselves."""
+    told, alone = [], []
+    plain, each = B._plain, B.Encoder._each
+    monkeypatch.setattr(B, "_plain", lambda piece: told.append(piece) or plain(piece))
+    monkeypatch.setattr(B.Encoder, "_each", lambda self, texts: alone.extend(texts) or each(self, texts))
+    texts = ["Équeai était, là! STRASSE Straße. ÀÿÞß...", " ".join(a + b + c for a in B.LETTERS for b in "aÉ" for c in ("", ",", "'"))]
+    assert [ids.tolist() for ids in B.Encoder(PATH)(texts)] == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert not told and not [p for p in alone if p.strip(B.PUNCTUATION)]
+
+
+def test_slices_of_arrow_columns(whole, monkeypatch):
+    monkeypatch.setattr(B, "GROUP_CHARS", 20)
+    texts = ["not this", "Ünder dé 'x", "", "дом Дом. ДОМ, 中文 e\u0301", "a <| b<| <|endoftext|> c " * 3, "", "x" * 50 + " last"]
+    want = [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    encode = B.Encoder(PATH)
+    for kind in (pa.string(), pa.large_string()):
+        assert [ids.tolist() for ids in encode(pa.array(texts, kind)[1:])] == want[1:]
+        assert list(encode(pa.array([], kind))) == []
+
+
+def test_table_keeps_short_strings_and_begins_anew(monkeypatch):
+    monkeypatch.setattr(B, "REMEMBERED_CHARS", 3)
+    table = B.Table()
+    rows, new = table.find(pa.array(["a", "long", "b"], pa.large_string()), 9)
+    assert rows.tolist() == [0, 1, 2] and len(new) == 3
+    table.add(new, np.array([5, 6, 7, 8], "<u4"), np.array([1, 2, 1]))
+    assert [x.tolist() for x in table.of(rows)] == [[5, 6, 7, 8], [1, 2, 1]]
+    table.drop_long()
+    rows, new = table.find(pa.array(["c", "b", "long"], pa.large_string()), 9)
+    assert table.names.to_pylist() == ["a", "b"] and rows.tolist() == [2, 1, 3] and new.to_pylist() == ["c", "long"]
+    rows, new = table.find(pa.array(["c", "b"], pa.large_string()), 2)
+    assert len(table.names) == 0 and rows.tolist() == [0, 1] and new.to_pylist() == ["c", "b"]
