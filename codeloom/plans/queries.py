@@ -41,7 +41,7 @@ from codeloom.plans.update import comment_pairs, function_docs_changed, update_d
 from codeloom.session import materialize, scratch_dir
 from codeloom.sources.built import built_sources
 from codeloom.sources.results import append_run, load_attempts, load_scores, replace_run
-from codeloom.sources.snapshots import load_snapshot, read_snapshot, write_snapshot
+from codeloom.sources.snapshots import load_snapshot, read_snapshot, write_files, write_snapshot
 from codeloom.streaming.changes import stream_changed_functions, stream_changed_lines
 from codeloom.streaming.ratio import stream_success_ratio
 
@@ -381,11 +381,11 @@ def src_snapshot(spark, sf_dir):
 
 @query
 def load_snapshot_files(spark, sf_dir):
-    # Spark names the files, so a source's path is the folder its file lies in. Tasks put their files in place themselves: there is
-    # one per source, which the driver would rename one by one.
+    # A source's path is the folder its file lies in.
     root = scratch_dir(spark, "tree")
-    files = sources(spark, sf_dir, *range(4)).select("rev", "path", "content")
-    files.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("rev", "path").text(root)
+    folder = F.coalesce(F.url_encode("path"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    file = F.concat(F.lit("rev="), "rev", F.lit("/path="), folder, F.lit("/part.txt"))
+    write_files(sources(spark, sf_dir, *range(4)).select(file.alias("file"), F.concat("content", F.lit("\n")).alias("content")), root)
     folder = F.url_decode(F.regexp_extract("path", "^path=([^/]+)/", 1))
     trees = [load_snapshot(spark, f"{root}/rev={rev}", rev, "*.txt") for rev in range(4)]
     return content_md5(reduce(DataFrame.unionByName, trees).withColumn("path", folder))

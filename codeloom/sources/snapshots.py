@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,6 +58,30 @@ def load_snapshot(spark: SparkSession, root: str, rev: int, glob: str = "*.py")
     )
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Write each row (file, content) as the file ``root``/``file``, in UTF-8; folders are made where they lack. A name may come once
+    only. Tasks write through Arrow's file systems, where Spark's own writer takes many calls and on local disks new processes per
+    file. A file gets its name when it is whole, so a task that is run again does no harm.
+    """
+    store, path = _located(files.sparkSession, root)
+    base = path.rstrip("/") + "/"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, prefix = _opened(store)
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                target = prefix + base + name.as_py()
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as f:
+                    f.write(content.as_buffer() or b"")
+                system.move(part, target)
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    rows = files.select("file", F.col("content").cast("binary").alias("content"))
+    rows.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """(file, size) of every file below ``root`` whose name fits ``glob``, a glob as Spark's file sources take it. Each level of
     folders is listed by tasks and written, so neither names nor folders pass through the driver."""

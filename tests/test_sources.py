@@ -1,7 +1,7 @@
 import pytest
 
 from codeloom.sources.results import append_run, load_attempts, load_scores
-from codeloom.sources.snapshots import load_snapshot, read_snapshot, write_snapshot
+from codeloom.sources.snapshots import load_snapshot, read_snapshot, write_files, write_snapshot
 
 
 def test_snapshot_of_a_tree(spark, tmp_path):
@@ -48,6 +48,33 @@ def test_a_tree_that_is_not_there(spark, tmp_path):
         load_snapshot(spark, str(tmp_path / "gone"), 1).count()
 
 
+def test_files_are_written_by_tasks(spark, tmp_path):
+    """As many files as rows and nothing beside them, whatever their names; written again, they are the same."""
+    want = {f"rev=0/path=a%2Fb {k}/é{k % 3}.txt": f"line é {k}\n" * (k % 5) for k in range(200)}
+    files = spark.createDataFrame(list(want.items()), "file string, content string").repartition(7)
+    for _ in range(2):
+        write_files(files, str(tmp_path / "tree"))
+        found = {str(p.relative_to(tmp_path / "tree")): p.read_bytes().decode() for p in (tmp_path / "tree").rglob("*") if p.is_file()}
+        assert found == want
+    assert {r.path: r.content for r in load_snapshot(spark, str(tmp_path / "tree"), 1, "*.txt").collect()} == want
+
+
+def test_the_tree_of_the_query_has_a_file_per_source(spark, tmp_path):
+    """Paths that need escapes and a null one come back as they went in, and no checksum file is written beside a source."""
+    from pathlib import Path
+
+    from codeloom.plans.queries import load_snapshot_files, sources
+
+    rows = [(k, f"name {k}", ["Brand#1 +é", "a/b%2F", None][k % 3], "PROMO", k) for k in range(1, 60)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    old = set(root.glob("tree-*"))
+    got = {(r.rev, r.path) for r in load_snapshot_files(spark, str(tmp_path)).collect()}
+    want = {(r.rev, r.path or "__HIVE_DEFAULT_PARTITION__") for r in sources(spark, str(tmp_path)).collect()}
+    (tree,) = set(root.glob("tree-*")) - old
+    assert got == want and len(want) == 12 and sum(p.is_file() for p in tree.rglob("*")) == 12
+
+
 def test_snapshot_writes_few_files(spark, tmp_path):
     rows = spark.range(400, numPartitions=16).selectExpr("id % 4 AS rev", "concat('p', id) AS path", "repeat('x', 50) AS content")
     write_snapshot(rows, str(tmp_path / "t"))
