@@ -121,11 +121,13 @@ def newton_sums(x: np.ndarray, better: int, w: np.ndarray) -> tuple[np.ndarray,
     return d.T @ (p - 1), (d.T * (p * (1 - p))) @ d
 
 
-def fit_ranking(blocks: DataFrame, mean: np.ndarray, spread: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
+def fit_ranking(blocks: DataFrame | np.ndarray, mean: np.ndarray, spread: np.ndarray | None = None, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
     """Weights w for which the better of each pair has the higher w.x with probability 1 / (1 + exp(-w.(x1 - x0))): Newton's
     method on the logistic loss of the differences of scaled features, with a ridge. Tasks add up their blocks' gradients and
-    hessians; the driver gets one of each per task and solves for the step."""
-    size = len(mean)
+    hessians; the driver gets one of each per task and solves for the step. A few rows may also be given as an array of their features
+    and their labels in place of the mean."""
+    local = isinstance(blocks, np.ndarray)
+    size = blocks.shape[1] if local else len(mean)
 
     def task(w: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,9 +143,12 @@ def fit_ranking(blocks: DataFrame, mean: np.ndarray, spread: np.ndarray, ridge:
 
         return add
 
-    w = np.zeros(size)
+    w, rows = np.zeros(size), np.concatenate([blocks[mean > 0], blocks[mean <= 0]]) if local else None
     for _ in range(steps):
-        got = [np.frombuffer(r["sums"], "f8") for r in blocks.mapInArrow(task(w), "sums binary").collect()]
+        if local:
+            got = [np.concatenate([np.ravel(s) for s in newton_sums(rows, int((mean > 0).sum()), w)])]
+        else:
+            got = [np.frombuffer(r["sums"], "f8") for r in blocks.mapInArrow(task(w), "sums binary").collect()]
         sums = np.sum(got, 0) if got else np.zeros(size + size * size)
         step = np.linalg.solve(sums[size:].reshape(size, size) + ridge * np.eye(size), sums[:size] + ridge * w)
         w -= step
