@@ -2,6 +2,7 @@
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -178,6 +179,26 @@ def test_histories_against_brute_force(sf, spark, discount, floor, blocks):
         assert abs(r.ratio - want / max(len(words), 1)) < 1e-6
 
 
+def test_the_ratio_is_that_of_all_stems(spark):
+    """What the floor keeps out of the evidence counts in the ratio, and so do stems that the shared counts alone tell."""
+    docs = [(k, f"{'vile gang' if k % 9 == 0 else 'kind folk'} {'some' if k % 9 == 0 or k % 3 else 'many'} here odd{k % 50}") for k in range(900)]
+    docs += [(1000, "some here"), (1001, "many"), (1002, "vile new1 vile"), (1003, ""), (1004, None)]
+    labels = [(k, int(k % 9 == 0)) for k in range(900)]
+    learned = [(docs[k][1], y) for k, y in labels if zlib.crc32(str(k).encode()) % T.FOLDS in (1, 2, 3)]
+    stems, pairs = brute_model(learned, T.DISCOUNT, 0.0), brute_histories(learned, T.DISCOUNT, 0.0)
+    totals = {c: Counter(w[:4] for text, y in learned if y == c for w in text.split()) for c in (0, 1)}
+    free = {c: sum(min(k, T.DISCOUNT * k**0.5) for k in totals[c].values()) / sum(totals[c].values()) for c in (0, 1)}
+    alone = math.log(free[1] / free[0])
+    assert any(abs(r) < T.FLOOR for r in stems.values()) and any(abs(r) < T.FLOOR for r in pairs.values()) and abs(alone) > 0.01
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = T.toxicity_scores(table, spark.createDataFrame(labels, "doc_id bigint, toxic int")).select("row.*", "ratio", "score").collect()
+    for r in rows:
+        words = (r.text or "").split()
+        want = sum(pairs.get((v, w[:4]), stems.get(w[:4], alone)) for v, w in zip([None, *words], words))
+        assert abs(r.ratio - want / max(len(words), 1)) < 1e-5, r
+    assert {r.doc_id for r in rows if r.score >= 0.5 and r.text} == {*range(0, 900, 9), 1002}
+
+
 def test_the_word_before_counts(spark):
     """A stem that both classes use alike is told by the word before it."""
     rows = [("you rat ran home", 1), ("the cat ran home", 1)] * 50 + [("the rat ran home", 0), ("you may run home", 0)] * 500
