@@ -54,6 +54,19 @@ def test_dense_group_in_pieces(texts):
         assert {r.component_id for r in N.near_copies(docs, piece).collect()} == {0}
 
 
+def test_a_link_that_fails_hides_no_other(texts):
+    """Many texts of one group around the least similarity: whatever member of a set is asked first, each pair of 0.8 or more is
+    linked, and no candidate between two components is left unchecked."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(150)]
+    docs = [edited(rng, base, rng.choice((1, 2, 3, 4))) for _ in range(150)]
+    want = brute(docs)
+    assert len(set(want)) > 10
+    for piece in (4096, 40):
+        got = {r.doc_id: r.component_id for r in N.near_copies(texts(*docs), piece).collect()}
+        assert got == dict(enumerate(want))
+
+
 def test_odd(odd, none):
     kept = N.one_of_each(odd)
     assert kept.columns == odd.columns
